@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 MEMO = 700_000
 #: Bytes of text handled at once in a Python worker; longer texts stand alone.
 SLICE_BYTES = 12 << 20
+#: Chunks gathered at once.
+GATHER = 40_000
 #: White space by Unicode, with the separators that some libraries add to it.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -143,52 +145,45 @@ class Encoder:
     def _word_ends(self) -> bool:
         return bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
 
-    def _gather(self, texts: pa.Array):
-        """offsets by text and the memo row of every chunk, for texts that can be cut."""
-        offsets, index, distinct = self.chunker.cut(texts)
-        if not self.chunker.spaces_join:
-            return offsets, self.memo.look_up(distinct)[index] if len(index) else np.zeros(0, np.int64)
-        # A chunk that opens its text has no space before it, all others have one unless they begin with a line feed.
+    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets by text and the memo row of every chunk; a text that can't be cut is one chunk."""
+        whole = self.chunker.whole(texts)
+        offsets, index, distinct = self.chunker.cut(pc.if_else(pa.array(whole), "?", texts))
         opens = np.zeros(len(index), dtype=bool)
-        opens[offsets[:-1]] = True
+        if self.chunker.spaces_join:
+            # A chunk that opens its text has no space before it, all others have one unless they begin with a line feed.
+            opens[offsets[:-1]] = True
+            keys = [c if c.startswith("\n") else " " + c for c in distinct]
+        else:
+            keys = distinct
         first = sorted({distinct[i] for i in index[opens].tolist()})
-        keys = [c if c.startswith("\n") else " " + c for c in distinct]
-        rows = self.memo.look_up(keys + first)
-        out = rows[: len(keys)][index]
-        at = {c: r for c, r in zip(first, rows[len(keys) :].tolist(), strict=True)}
-        out[opens] = [at[distinct[i]] for i in index[opens].tolist()]
-        return offsets, out
+        apart = np.flatnonzero(whole).tolist()
+        found = self.memo.look_up(keys + first + [texts[i].as_py() for i in apart])
+        rows = found[index] if len(index) else np.zeros(0, np.int64)
+        at = dict(zip(first, found[len(keys) :].tolist(), strict=False))
+        rows[opens] = [at[distinct[i]] for i in index[opens].tolist()]
+        rows[offsets[apart]] = found[len(found) - len(apart) :]
+        return offsets, rows
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; null counts as empty."""
-        texts = pc.fill_null(texts, "")
-        whole = self.chunker.whole(texts)
-        offsets, rows = self._gather(pc.if_else(pa.array(whole), "", texts))
-        sums = np.concatenate([[0], np.cumsum(self.memo.counts[rows], dtype=np.int64)])
-        out = sums[offsets[1:]] - sums[offsets[:-1]]
-        for i in np.flatnonzero(whole).tolist():
-            out[i] = len(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
-        return out
+        offsets, rows = self._gather(pc.fill_null(texts, ""))
+        return np.diff(np.concatenate([[0], np.cumsum(self.memo.counts[rows], dtype=np.int64)])[offsets])
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, ``end`` after each text, and each text's offset (one more than texts)."""
-        texts = pc.fill_null(texts, "")
-        whole = self.chunker.whole(texts)
-        offsets, rows = self._gather(pc.if_else(pa.array(whole), "", texts))
-        lengths = self.memo.counts[rows]
-        flat = self.memo.ids[_runs(self.memo.starts[rows], lengths)] if len(rows) else np.zeros(0, np.uint32)
-        sums = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[offsets]
-        apart = {i: np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32) for i in np.flatnonzero(whole).tolist()}
-        sizes = np.diff(sums)
-        for i, own in apart.items():
-            sizes[i] = len(own)
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        offsets, rows = self._gather(pc.fill_null(texts, ""))
+        memo = self.memo
+        starts = np.concatenate([[0], np.cumsum(memo.counts[rows], dtype=np.int64)])[offsets] + np.arange(len(offsets))
         out = np.empty(int(starts[-1]), dtype=np.uint32)
-        out[starts[1:] - 1] = end
-        if apart:
-            sizes = sizes.copy()
-            for i, own in apart.items():
-                out[starts[i] : starts[i] + len(own)] = own
-                sizes[i] = 0
-        out[_runs(starts[:-1], sizes)] = flat
+        # Some texts at a time: small arrays stay in the processor's cache.
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + GATHER, side="right")) - 1)
+            own = np.insert(rows[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a], -1)
+            lengths = np.where(own < 0, 1, memo.counts[own])
+            ids = memo.ids[_runs(np.where(own < 0, 0, memo.starts[own]), lengths)]
+            ids[starts[a + 1 : b + 1] - 1 - starts[a]] = end
+            out[starts[a] : starts[b]] = ids
+            a = b
         return out, starts
