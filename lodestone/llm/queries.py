@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import huffman
 from lodestone.llm.packing import pack
 from lodestone.llm.scratch import table
 from lodestone.llm.token_counts import token_counts
@@ -22,9 +23,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as Huffman blocks in doc_id order, and read back."""
+    return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_packing": op4_packing,
+    "op6_huffman": op6_huffman,
 }
 
 ORACLE_SQL: dict[str, str] = {}
