@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import huffman
+from lodestone.llm.ann import ann_topk
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.packing import pack
 from lodestone.llm.scratch import table
@@ -34,11 +35,17 @@ def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every 20th vector, by inner product."""
+    return ann_topk(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_packing": op4_packing,
     "op5_exact_topk": op5_exact_topk,
     "op6_huffman": op6_huffman,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
