@@ -250,7 +250,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
     spark.createDataFrame(pa.table({"id": pa.array(used, pa.int64()), "bits": pa.array(bits[used].astype(np.int32))})).coalesce(1).write.parquet(f"{path}/codebook")
 
     parts = max(1, -(-int(counts.sum()) // PART_IDS))
-    cuts = held.agg(F.percentile_approx("doc_id", [F.lit(i / parts) for i in range(1, parts)], 100 * parts).alias("cuts")).first()["cuts"] if parts > 1 else []
+    cuts = held.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")).first()["cuts"] if parts > 1 else []
     shared = spark.sparkContext.broadcast((bits, canonical_codes(bits), np.array(cuts or [], dtype=np.int64)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
