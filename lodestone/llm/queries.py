@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import huffman
 from lodestone.llm.ann import ann_topk
 from lodestone.llm.exact_topk import exact_topk
+from lodestone.llm.langid import language_id
 from lodestone.llm.packing import pack
 from lodestone.llm.scratch import table
 from lodestone.llm.token_counts import token_counts
@@ -35,6 +36,11 @@ def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every 20th vector, by inner product."""
     return ann_topk(table(spark, sf_dir, "embeddings"), k=20, every=20)
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_exact_topk": op5_exact_topk,
     "op6_huffman": op6_huffman,
+    "op8_language_id": op8_language_id,
     "op10_ann": op10_ann,
 }
 
