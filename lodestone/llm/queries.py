@@ -11,6 +11,7 @@ from lodestone.llm import huffman
 from lodestone.llm.ann import ann_topk
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.langid import language_id
+from lodestone.llm.mixing import mix
 from lodestone.llm.packing import pack
 from lodestone.llm.scratch import table
 from lodestone.llm.token_counts import token_counts
@@ -36,6 +37,11 @@ def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents replicated so that sources have shares as the square roots of their bytes, shuffled."""
+    return mix(table(spark, sf_dir, "documents")).withColumnsRenamed({"_copy": "copy", "_copies": "copies", "_order": "shuffle_key"})
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of documents."""
     return language_id(table(spark, sf_dir, "documents"))
@@ -51,11 +57,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_exact_topk": op5_exact_topk,
     "op6_huffman": op6_huffman,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": """
+        WITH RECURSIVE sizes AS (
+            SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source
+        ), total AS (
+            SELECT CAST(sum(bytes) AS DOUBLE) AS everything, CAST(sum(CAST(round(sqrt(CAST(bytes AS DOUBLE)), 4) AS DECIMAL(38, 4))) AS DOUBLE) AS targets FROM sizes
+        ), rates AS (
+            SELECT source, round(sqrt(CAST(bytes AS DOUBLE)), 4) / targets * everything / bytes AS rate FROM sizes, total
+        ), below AS (
+            SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+            UNION ALL
+            SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM below
+            WHERE k < ceil(rate + 12 * sqrt(rate) + 24)
+        ), numbers AS (
+            SELECT doc_id, text, lang, source, n_chars,
+                   (CAST(CAST('0x' || substr(md5('7:' || doc_id || ':' || md5(text)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
+            FROM documents
+        ), counted AS (
+            SELECT n.doc_id, n.text, n.lang, n.source, n.n_chars, CAST(count(*) AS INTEGER) AS copies
+            FROM numbers n JOIN below b ON n.source = b.source AND b.c < n.u
+            GROUP BY ALL
+        ), each AS (
+            SELECT *, CAST(unnest(generate_series(1, copies)) AS INTEGER) AS copy FROM counted
+        )
+        SELECT doc_id, text, lang, source, n_chars, copies, copy,
+               CAST('0x' || substr(md5('7:' || doc_id || ':' || copy || ':order'), 1, 15) AS BIGINT) AS shuffle_key
+        FROM each
+    """,
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS e
