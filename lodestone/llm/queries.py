@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm import huffman
 from lodestone.llm.ann import ann_topk
 from lodestone.llm.exact_topk import exact_topk
+from lodestone.llm.jaccard import jaccard_classes
 from lodestone.llm.langid import language_id
 from lodestone.llm.mixing import mix
 from lodestone.llm.packing import pack
@@ -47,6 +48,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard_classes(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every 20th vector, by inner product."""
     return ann_topk(table(spark, sf_dir, "embeddings"), k=20, every=20)
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_huffman": op6_huffman,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_ann": op10_ann,
 }
 
