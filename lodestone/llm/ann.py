@@ -44,6 +44,8 @@ BLOCK, QUERY_BLOCK = 4096, 512
 DEGREE, ENTRIES = 24, 8
 #: Most centroids, so that they and their graph stay in memory.
 MOST_LISTS = 1 << 15
+#: Pairs a task holds before it reduces them to each query's best.
+HELD = 400_000
 #: Up to so many vectors there is one list, and the search is exact.
 ONE_LIST = 1024
 
@@ -151,6 +153,18 @@ def nearest(q_ids, q, floor, ids, m, k: int) -> list[tuple]:
     return out
 
 
+def leading(found: list[tuple], k: int) -> tuple:
+    """The k best of each query, without repeated pairs."""
+    query, ids, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    once = np.concatenate([[True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])])
+    query, ids, score = query[once], ids[once], score[once]
+    begin = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+    rank = np.arange(len(query)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(query)]])))
+    return query[rank < k], ids[rank < k], score[rank < k]
+
+
 class Index:
     """Posting lists over all vectors of a table, in the shared folder."""
 
@@ -261,12 +275,22 @@ class Index:
                     yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int32()), *(pa.array([blob(x[r]) for _, r in rows], pa.binary()) for x in (ids, q, floor))], ["list", "q_ids", "q", "floor"])
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            size = 0
             for batch in batches:
                 for i in range(batch.num_rows):
                     q_ids, q, floor, ids, m = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in enumerate((np.int64, np.float64, np.float64, np.int64, np.float64)))
-                    out = nearest(q_ids, q.reshape(-1, d), floor, ids, m.reshape(-1, d), k)
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    own = nearest(q_ids, q.reshape(-1, d), floor, ids, m.reshape(-1, d), k)
+                    held += own
+                    size += sum(len(x[0]) for x in own)
+                    if size > HELD:
+                        held = [leading(held, k)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "vec_id", "score"])
+                            held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in leading(held, k)], ["query_id", "vec_id", "score"])
 
         def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, s_ids, s = shared.value
