@@ -6,8 +6,9 @@ global order, frequent ones last and otherwise by hash; two sets whose Jaccard
 similarity reaches num/den share a shingle among the first n - ceil(n*num/den) + 1
 of each.  Sets with the same size and the same prefix form one group, which is
 posted once; pairs of groups that share a posted shingle and pass the size and
-position filters are expanded to their members, and these are verified on their
-whole sets.
+position filters are expanded to their members.  Members are compared by odd
+sketches (parities of hash buckets: two sketches differ in no more bits than the
+sets have unshared shingles), and what is left is verified on whole sets.
 
 No group is ever expanded to all its pairs.  Where a shingle (or a group) is shared
 by more than BUCKET sets, members are first compared with a few hubs only; what
@@ -32,8 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
@@ -57,7 +59,24 @@ def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _pool_size(n: int) -> int:
-    return min(n, n // 5 + 8)
+    return min(n, n * 3 // 20 + 8)
+
+
+def odd_sketch(own: np.ndarray) -> bytes:
+    """Parities of hash buckets: a power of two of bits, as many as shingles at least and 64 at least."""
+    size = max(64, 1 << max(0, len(own) - 1).bit_length())
+    bits = np.bincount((own >> np.uint64(7)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter one's size."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _signature(own: np.ndarray) -> bytes:
@@ -69,18 +88,19 @@ def _binaries(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _documents(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, sig, pool (the smallest hashes, ascending)."""
+    """doc_id, n, sig, pool (the smallest hashes, ascending), odd (sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sig, pool = [], [], []
+            n, sig, pool, odd = [], [], [], []
             for own in sets_of(batch.column(1), size):
                 n.append(len(own))
                 sig.append(_signature(own))
                 pool.append(own[: _pool_size(len(own))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool)], ["doc_id", "n", "sig", "pool"])
+                odd.append(odd_sketch(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary())], ["doc_id", "n", "sig", "pool", "odd"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, pool binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, pool binary, odd binary")
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -138,10 +158,14 @@ def _is_frequent(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[at] == low
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text of the documents named in ``ids`` (doc_id): sent to every task if few, joined if not."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", "left_semi")
+def _texts_of(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """set_id, sig, text of the documents that ``sets`` (set_id, sig) come from: sent to every task if few, joined if not.
+
+    A repeated id may bring texts of other sets; whoever reads a text compares its signature.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).cast("string").alias("text"))
+    found = rows.join(F.broadcast(sets) if sets.count() <= MOST_SENT else sets, "set_id")
+    return found.select("set_id", "sig", "text")
 
 
 class Join:
@@ -152,7 +176,7 @@ class Join:
         self.spark = docs.sparkSession
         self.documents = materialise(_documents(docs, size, id_col, text_col), "documents")
         known = self.documents.where("n > 0 AND doc_id IS NOT NULL")
-        self.sets = materialise(known.groupBy("n", "sig").agg(F.min("doc_id").alias("set_id"), F.first("pool").alias("pool")), "sets")
+        self.sets = materialise(known.groupBy("n", "sig").agg(F.min("doc_id").alias("set_id"), F.first("pool").alias("pool"), F.first("odd").alias("odd")), "sets")
         self.frequent = self.spark.sparkContext.broadcast(_frequent(self.sets))
 
     # -- prefixes
@@ -165,29 +189,32 @@ class Join:
             for batch in batches:
                 n = batch.column(1).to_numpy()
                 out = []
-                for own, p, count in zip(batch.column(2).to_pylist(), prefix_size(n, num, den).tolist(), n.tolist(), strict=True):
+                for own, p, count in zip(batch.column(3).to_pylist(), prefix_size(n, num, den).tolist(), n.tolist(), strict=True):
                     own = np.frombuffer(own, np.uint64)
                     hot = _is_frequent(own, shared.value)
                     rare = own[~hot]
                     if len(rare) < p and len(own) == count:
                         rare = np.concatenate([rare, own[hot]])
                     out.append(rare[:p].tobytes() if len(rare) >= p else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["set_id", "n", "prefix"])
+                # What has its prefix needs no signature any more.
+                sig = pc.if_else(pc.is_null(prefix := pa.array(out, pa.binary())), batch.column(2), None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig, prefix], ["set_id", "n", "sig", "prefix"])
 
         def in_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sigs, n, out = [], [], []
-                for own in sets_of(batch.column(1), size):
-                    hot = _is_frequent(own, shared.value)
-                    p = int(prefix_size(np.int64(len(own)), num, den))
-                    sigs.append(_signature(own)), n.append(len(own)), out.append(np.concatenate([own[~hot], own[hot]])[:p].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary()), pa.array(sigs, pa.binary())], ["set_id", "n", "prefix", "sig"])
-
-        made = materialise(self.sets.select("set_id", "n", "pool").mapInArrow(from_pool, "set_id long, n long, prefix binary"), "prefixes")
-        short = made.where("prefix IS NULL").select("set_id").join(self.sets.select("set_id", "n", "sig"), "set_id")
-        texts = _texts_of(self.docs, short.select(F.col("set_id").alias("doc_id")).distinct(), *self.cols)
-        full = texts.mapInArrow(in_full, "set_id long, n long, prefix binary, sig binary").join(short, ["set_id", "n", "sig"], "left_semi").dropDuplicates(["set_id", "sig"])
-        return made.where("prefix IS NOT NULL").union(full.select("set_id", "n", "prefix"))
+                at, n, out = [], [], []
+                for i, (own, sig) in enumerate(zip(sets_of(batch.column(2), size), batch.column(1).to_pylist(), strict=True)):
+                    if _signature(own) == sig:
+                        hot = _is_frequent(own, shared.value)
+                        p = int(prefix_size(np.int64(len(own)), num, den))
+                        at.append(i), n.append(len(own)), out.append(np.concatenate([own[~hot], own[hot]])[:p].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["set_id", "n", "prefix"])
+
+        made = self.sets.select("set_id", "n", "sig", "pool").mapInArrow(from_pool, "set_id long, n long, sig binary, prefix binary")
+        made = materialise(made, "prefixes")
+        texts = _texts_of(self.docs, made.where("prefix IS NULL").select("set_id", "sig"), *self.cols)
+        full = texts.mapInArrow(in_full, "set_id long, n long, prefix binary").dropDuplicates(["set_id"])
+        return made.where("prefix IS NOT NULL").select("set_id", "n", "prefix").union(full)
 
     # -- candidates
 
@@ -199,19 +226,19 @@ class Join:
 
     def links(self) -> DataFrame:
         """a, b: set ids; every component of the full join is one of these links, and each is verified."""
-        prefixes = materialise(self._prefixes(), "prefixes")
-        key = F.struct("n", F.md5("prefix"))
-        member = prefixes.groupBy(key.alias("key")).agg(F.min("set_id").alias("group_id"), F.count("*").alias("members"))
-        member = materialise(prefixes.select("set_id", "n", "prefix", key.alias("key")).join(member, "key").select("set_id", "group_id", "members", "n", "prefix"), "members")
-        posted = self._posted(member.where("set_id = group_id"))
+        prefixes = self._prefixes().withColumn("key", F.md5("prefix"))
+        many = prefixes.groupBy("n", "key").agg(F.min("set_id").alias("group_id"), F.count("*").alias("members")).where("members > 1")
+        # Groups of one need no row here.
+        grouped = materialise(prefixes.select("set_id", "n", "key").join(many, ["n", "key"]).select("set_id", "n", "group_id", "members"), "groups")
+        posted = self._posted(prefixes.select("set_id", "n", "prefix").join(grouped.where("set_id <> group_id").select("set_id"), "set_id", "left_anti"))
         # Postings of shingles that more than one group has.
-        many = posted.groupBy("token").agg(F.count("*").alias("share")).where("share > 1")
-        posted = materialise(posted.join(many, "token"), "postings")
+        share = F.count("*").over(Window.partitionBy("token"))
+        posted = materialise(posted.withColumn("share", share).where("share > 1"), "postings")
         few, hot = posted.where(F.col("share") <= BUCKET), posted.where(F.col("share") > BUCKET)
-        inside = member.where("members > 1").select(F.col("group_id").alias("token"), "set_id", "n", F.lit(0).cast("long").alias("pos"), F.col("members").alias("share"))
+        inside = grouped.select(F.col("group_id").alias("token"), "set_id", "n", F.lit(0).cast("long").alias("pos"), F.col("members").alias("share"))
 
         pairs = few.alias("a").join(few.alias("b"), "token").where((F.col("a.set_id") < F.col("b.set_id")) & self._near("a", "b")).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
-        grouped = member.where("members > 1").select("group_id", "set_id")
+        grouped = grouped.select("group_id", "set_id")
         for end in ("a", "b"):  # every member of either group
             pairs = pairs.join(grouped.withColumnRenamed("group_id", end), end, "left").withColumn(end, F.coalesce("set_id", end)).drop("set_id")
         # What a shingle of many groups, or a group of many members, asks for: hubs first, then pairs across components.
@@ -272,14 +299,20 @@ class Join:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the similarity."""
-        pairs = materialise(pairs, "pairs")
         size, num, den = self.size, self.num, self.den
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+        def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                # Sets of n and m shingles that link have (n + m) * (den - num) / (den + num) unshared ones at most.
+                most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num)
+                keep = [differing(x, y) * (den + num) <= m for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = list(sets_of(batch.column(1), size))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signature(o) for o in own], pa.binary()), _binaries(own)], ["set_id", "sig", "hashes"])
+                own = list(sets_of(batch.column(2), size))
+                right = pa.array([_signature(o) == sig for o, sig in zip(own, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), _binaries(own)], ["set_id", "hashes"]).filter(right)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -291,8 +324,12 @@ class Join:
                     keep.append(den * shared >= num * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        texts = _texts_of(self.docs, ids, *self.cols).mapInArrow(whole, "set_id long, sig binary, hashes binary")
-        full = materialise(texts.join(self.sets.select("set_id", "sig"), ["set_id", "sig"], "left_semi").dropDuplicates(["set_id", "sig"]), "whole")
+        own = self.sets.select("set_id", "n", "odd")
+        met = pairs.join(own.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("x")), "a").join(own.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("y")), "b")
+        pairs = materialise(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(hopeful, "a long, b long"), "hopeful")
+        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        wanted = materialise(self.sets.select("set_id", "sig").join(ids, "set_id", "left_semi"), "wanted")
+        full = materialise(_texts_of(self.docs, wanted, *self.cols).mapInArrow(whole, "set_id long, hashes binary").dropDuplicates(["set_id"]), "whole")
         met = pairs.join(full.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
         return materialise(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
