@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 MEMO = 700_000
 #: Bytes of text handled at once in a Python worker; longer texts stand alone.
 SLICE_BYTES = 12 << 20
+#: New chunks encoded as one text, and bytes of a chunk that is encoded by itself.
+JOINED, LONG = 100, 200
 #: Chunks gathered at once.
 GATHER = 40_000
 #: White space by Unicode, with the separators that some libraries add to it.
@@ -95,8 +97,9 @@ class Chunker:
 class Memo:
     """Distinct chunk -> number of pieces, and where its ids are if they are kept."""
 
-    def __init__(self, tokenizer, keep_ids: bool):
-        self.tokenizer, self.keep_ids = tokenizer, keep_ids
+    def __init__(self, tokenizer, keep_ids: bool, bytes_of: np.ndarray | None):
+        """``bytes_of``: bytes of each id of a byte-level vocabulary."""
+        self.tokenizer, self.keep_ids, self.bytes_of = tokenizer, keep_ids, bytes_of
         self.clear()
 
     def clear(self) -> None:
@@ -119,8 +122,7 @@ class Memo:
     def _add(self, fresh: list[str]) -> None:
         first, n = len(self.rows), len(fresh)
         self.rows.update(zip(fresh, range(first, first + n), strict=True))
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), dtype=np.int32, count=n)
+        lengths, ids = self._encode(fresh)
         if first + n > len(self.counts):
             self.counts = np.resize(self.counts, 2 * (first + n))
             self.starts = np.resize(self.starts, 2 * (first + n))
@@ -130,17 +132,50 @@ class Memo:
             if self.used + total > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * (self.used + total))
             self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
-            self.ids[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), dtype=np.uint32, count=total)
+            self.ids[self.used : self.used + total] = ids
             self.used += total
 
 
+    def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each chunk, and all ids."""
+        encode = self.tokenizer.encode_batch_fast
+        if self.bytes_of is None:
+            encoded = [e.ids for e in encode(fresh, add_special_tokens=False)]
+            return np.fromiter(map(len, encoded), dtype=np.int32, count=len(encoded)), np.fromiter((i for e in encoded for i in e), dtype=np.uint32)
+        # Chunks with a space or line feed in front and none behind can stand in one text; the bytes of its ids tell them apart.
+        joins = [len(c) > 1 and c[0] in " \n" and not c[1].isspace() and not c[-1].isspace() and len(c) < LONG for c in fresh]
+        together = [c for c, j in zip(fresh, joins, strict=True) if j]
+        alone = [e.ids for e in encode([c for c, j in zip(fresh, joins, strict=True) if not j], add_special_tokens=False)]
+        runs = ["".join(together[a : a + JOINED]) for a in range(0, len(together), JOINED)]
+        ids = np.fromiter((i for e in encode(runs, add_special_tokens=False) for i in e.ids), dtype=np.uint32)
+        ends = np.cumsum(self.bytes_of[ids])
+        sizes = np.fromiter((len(c.encode()) for c in together), dtype=np.int64, count=len(together))
+        cuts = np.searchsorted(ends, np.cumsum(sizes), side="left") + 1
+        lengths = np.empty(len(fresh), dtype=np.int32)
+        joins = np.array(joins, dtype=bool)
+        lengths[joins] = np.diff(cuts, prepend=0)
+        lengths[~joins] = [len(i) for i in alone]
+        out = np.empty(int(lengths.sum()), dtype=np.uint32)
+        which = np.repeat(joins, lengths)
+        out[which] = ids
+        out[~which] = np.fromiter((i for own in alone for i in own), dtype=np.uint32)
+        return lengths, out
+
+
 class Encoder:
     """Counts or ids of whole texts, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str, keep_ids: bool):
         self.tokenizer = load(path)
         self.chunker = Chunker(self.tokenizer, spaces_join=not self._word_ends())
-        self.memo = Memo(self.tokenizer, keep_ids)
+        self.memo = Memo(self.tokenizer, keep_ids, self._bytes() if self.chunker.spaces_join else None)
+
+    def _bytes(self) -> np.ndarray:
+        """A byte-level vocabulary writes each byte as one character."""
+        out = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for piece, i in self.tokenizer.get_vocab().items():
+            out[i] = len(piece)
+        return out
 
     def _word_ends(self) -> bool:
         return bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
