@@ -347,3 +347,23 @@ class Join:
 def jaccard_classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * |A & B| >= num * |A | B|."""
     return Join(docs, size, num, den, id_col, text_col).classes()
+
+
+def one_of_each(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the document of the smallest id of each class; of rows with the same id and text one stays.
+
+    Ids that go are sent to every task if few, joined if not, so texts are not shuffled.
+    """
+    found = materialise(jaccard_classes(docs, size, num, den, id_col, text_col), "classes")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    ids = materialise(ids.where("rows > 1 OR first = 0"), "ids")
+
+    def without(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias(id_col))
+        return rows.join(F.broadcast(some) if some.count() <= MOST_SENT else some, id_col, how)
+
+    kept = without(docs, ids.where("first = 0"), "left_anti")
+    again = ids.where("rows > 1 AND first = 1")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    return without(kept, again, "left_anti").select(docs.columns).union(without(kept, again, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns))

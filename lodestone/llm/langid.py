@@ -153,6 +153,18 @@ def learn(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", tex
     return Model(x, np.array([p[0] for p in pairs]))
 
 
+def predictions(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a column."""
+    lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+    able = np.flatnonzero(lettered) if model is not None else []
+    for start in range(0, len(able), 64):
+        own = able[start : start + 64]
+        won, sure = model.predict(features(pc.cast(texts.take(pa.array(own)), pa.binary()).to_pylist()))
+        lang[own], score[own] = np.array(model.langs, dtype=object)[won], sure
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (by default the id), then lang_pred and score of every whole text."""
     keep = [id_col] if keep is None else keep
@@ -161,21 +173,26 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column(0)
-            lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-            able = np.flatnonzero(lettered) if model is not None else []
-            for start in range(0, len(able), 64):
-                own = able[start : start + 64]
-                won, sure = model.predict(features(pc.cast(texts.take(pa.array(own)), pa.binary()).to_pylist()))
-                lang[own], score[own] = np.array(model.langs, dtype=object)[won], sure
+            lang, score = predictions(batch.column(0), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und``, with all their columns."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _ = predictions(batch.column(at), shared.value)
+            yield batch.filter(pa.array(lang != UNKNOWN))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from rows that are not held out."""
     return identify(docs, learn(docs, per_language)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import huffman, licenses
 from lodestone.llm.ann import ann_topk
@@ -15,6 +16,7 @@ from lodestone.llm.langid import language_id
 from lodestone.llm.mixing import mix
 from lodestone.llm.packing import pack
 from lodestone.llm.scratch import table
+from lodestone.llm.sharding import shard
 from lodestone.llm.token_counts import token_counts
 
 
@@ -23,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in four arrivals, compacted after each, and read back from the last manifest."""
+    rows = shard(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "lang", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every whole text of documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -65,6 +73,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_sharding": op2_sharding,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op5_exact_topk": op5_exact_topk,
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": "SELECT doc_id, source, lang, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
     "op3_license_scan": licenses.oracle(),
     "op7_mixing": """
         WITH RECURSIVE sizes AS (
