@@ -1 +1 @@
-"""Part of lodestone; see the package docstring."""
+"""Queries over the test tables, and SQL that must give the same rows."""
