@@ -2,7 +2,7 @@
 
 Method: grouped prefix join.  Every document becomes its set of distinct word
 shingles, hashed to 64 bits.  Equal sets are collapsed first.  Shingles have one
-global order, frequent ones last and otherwise by hash; two sets whose Jaccard
+global order, by how many sets have them if frequent (rare ones first), then by hash; two sets whose Jaccard
 similarity reaches num/den share a shingle among the first n - ceil(n*num/den) + 1
 of each.  Sets with the same size and the same prefix form one group, which is
 posted once; pairs of groups that share a posted shingle and pass the size and
@@ -50,8 +50,10 @@ MOST_FREQUENT = 2_000_000
 MOST_SENT = 500_000
 #: Comparisons with hubs before pairs of different components are compared in full.
 HUB_ROUNDS = 3
+#: Longs of the sketch by which joins of long lists leave out pairs that can't link.
+SKETCH = 8
 #: Shingles counted together in one task.
-COUNTED = 2_000_000
+COUNTED = 500_000
 
 
 def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -69,6 +71,12 @@ def odd_sketch(own: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
+def small_sketch(own: np.ndarray) -> np.ndarray:
+    """An odd sketch of SKETCH longs, for joins."""
+    bits = np.bincount((own >> np.uint64(9)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def differing(x: bytes, y: bytes) -> int:
     """Bits in which two sketches differ, the longer one folded to the shorter one's size."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -88,23 +96,24 @@ def _binaries(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _documents(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, sig, pool (the smallest hashes, ascending), odd (sketch)."""
+    """doc_id, n, sig, pool (the smallest hashes, ascending), odd and small (sketches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sig, pool, odd = [], [], [], []
+            n, sig, pool, odd, small = [], [], [], [], []
             for own in sets_of(batch.column(1), size):
                 n.append(len(own))
                 sig.append(_signature(own))
                 pool.append(own[: _pool_size(len(own))])
                 odd.append(odd_sketch(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary())], ["doc_id", "n", "sig", "pool", "odd"])
+                small.append(small_sketch(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "pool", "odd", "small"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, pool binary, odd binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, pool binary, odd binary, small array<long>")
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """The low halves of the shingles that more than BUCKET sets have, by count at most MOST_FREQUENT, ascending."""
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The low halves of the shingles that more than BUCKET sets have, MOST_FREQUENT at most, ascending, and their counts."""
     total = sets.agg(F.sum(F.octet_length("pool")).alias("n")).first()["n"] or 0
     parts = max(1, int(total) // 8 // COUNTED)
 
@@ -146,16 +155,20 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         return keys[at], np.add.reduceat(counts, at)
 
     found = sets.select("pool").mapInArrow(count, "part int, keys binary, counts binary").repartitionById(parts, F.col("part")).mapInArrow(add, "key long, n long")
-    most = found.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").toArrow()
-    return np.sort(most.column("key").to_numpy().astype(np.uint32))
+    most = found.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow()
+    keys, counts = (most.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys, kind="stable")
+    return keys[order].astype(np.uint32), np.minimum(counts[order], (1 << 32) - 1).astype(np.uint32)
 
 
-def _is_frequent(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(own), dtype=bool)
+def _counts(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many sets have each shingle if it is frequent, else 0."""
+    keys, counts = frequent
+    if not len(keys):
+        return np.zeros(len(own), dtype=np.uint32)
     low = own.astype(np.uint32)
-    at = np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)
-    return frequent[at] == low
+    at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+    return np.where(keys[at] == low, counts[at], 0)
 
 
 def _texts_of(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,7 +189,7 @@ class Join:
         self.spark = docs.sparkSession
         self.documents = materialise(_documents(docs, size, id_col, text_col), "documents")
         known = self.documents.where("n > 0 AND doc_id IS NOT NULL")
-        self.sets = materialise(known.groupBy("n", "sig").agg(F.min("doc_id").alias("set_id"), F.first("pool").alias("pool"), F.first("odd").alias("odd")), "sets")
+        self.sets = materialise(known.groupBy("n", "sig").agg(F.min("doc_id").alias("set_id"), F.first("pool").alias("pool"), F.first("odd").alias("odd"), F.first("small").alias("small")), "sets")
         self.frequent = self.spark.sparkContext.broadcast(_frequent(self.sets))
 
     # -- prefixes
@@ -191,11 +204,10 @@ class Join:
                 out = []
                 for own, p, count in zip(batch.column(3).to_pylist(), prefix_size(n, num, den).tolist(), n.tolist(), strict=True):
                     own = np.frombuffer(own, np.uint64)
-                    hot = _is_frequent(own, shared.value)
-                    rare = own[~hot]
-                    if len(rare) < p and len(own) == count:
-                        rare = np.concatenate([rare, own[hot]])
-                    out.append(rare[:p].tobytes() if len(rare) >= p else None)
+                    often = _counts(own, shared.value)
+                    whole = len(own) == count
+                    ready = whole or int((often == 0).sum()) >= p
+                    out.append(own[np.argsort(often, kind="stable")[:p]].tobytes() if ready else None)
                 # What has its prefix needs no signature any more.
                 sig = pc.if_else(pc.is_null(prefix := pa.array(out, pa.binary())), batch.column(2), None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig, prefix], ["set_id", "n", "sig", "prefix"])
@@ -205,9 +217,9 @@ class Join:
                 at, n, out = [], [], []
                 for i, (own, sig) in enumerate(zip(sets_of(batch.column(2), size), batch.column(1).to_pylist(), strict=True)):
                     if _signature(own) == sig:
-                        hot = _is_frequent(own, shared.value)
                         p = int(prefix_size(np.int64(len(own)), num, den))
-                        at.append(i), n.append(len(own)), out.append(np.concatenate([own[~hot], own[hot]])[:p].tobytes())
+                        order = np.argsort(_counts(own, shared.value), kind="stable")
+                        at.append(i), n.append(len(own)), out.append(own[order[:p]].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["set_id", "n", "prefix"])
 
         made = self.sets.select("set_id", "n", "sig", "pool").mapInArrow(from_pool, "set_id long, n long, sig binary, prefix binary")
@@ -219,10 +231,20 @@ class Join:
     # -- candidates
 
     def _near(self, a: str, b: str) -> Column:
-        """Sizes, and places of the shared shingle, allow enough overlap."""
-        overlap = F.lit(self.num) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
-        room = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-        return (F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) * self.den >= F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) * self.num) & (room * (self.den + self.num) >= overlap)
+        """Sizes and places of a shared shingle allow a link of two different sets.
+
+        At the first shingle in the global order that two sets share, all before it are
+        unshared; sets of n and m shingles that link have at most
+        (n + m) * (den - num) / (den + num) unshared ones.
+        """
+        n, m, i, j = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
+        unshared = F.greatest(i + j, n + m - F.lit(2) * F.least(n - i, m - j), F.lit(1))
+        return unshared * (self.den + self.num) <= (n + m) * (self.den - self.num)
+
+    def _alike(self) -> Column:
+        """The small sketches differ in no more bits than sets that link may have unshared shingles."""
+        bits = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+        return bits * (self.den + self.num) <= (F.col("a.n") + F.col("b.n")) * (self.den - self.num)
 
     def links(self) -> DataFrame:
         """a, b: set ids; every component of the full join is one of these links, and each is verified."""
@@ -279,20 +301,22 @@ class Join:
     def _open(self, lists: DataFrame, links: DataFrame) -> DataFrame:
         """The rows of lists that hold more than one component, with theirs."""
         of = components(links).select(F.col("node").alias("set_id"), "component")
+        small = self.sets.select("set_id", *(F.get("small", i).alias(f"s{i}") for i in range(SKETCH)))
         rows = lists.join(of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        return rows.join(mixed.select("token"), "token")
+        return rows.join(mixed.select("token"), "token").join(small, "set_id")
 
     def _hubs(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of a list's hub and its other members; the hub is another one each turn."""
-        order = F.struct(F.xxhash64("set_id", F.lit(turn)), "set_id", "n", "pos", "component") if turn else F.struct("component", "set_id", "n", "pos")
+        rest = [c for c in rows.columns if c not in ("token", "share", "component")]
+        order = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("by"), *rest, "component") if turn else F.struct("component", *rest)
         hub = rows.groupBy("token").agg(F.min(order).alias("hub")).select("token", "hub.*")
-        met = rows.alias("a").join(hub.alias("b"), "token").where((F.col("a.component") != F.col("b.component")) & self._near("a", "b"))
+        met = rows.alias("a").join(hub.alias("b"), "token").where((F.col("a.component") != F.col("b.component")) & self._near("a", "b") & self._alike())
         return met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")).distinct()
 
     def _across(self, rows: DataFrame) -> DataFrame:
         """All pairs of a list that lie in different components."""
-        met = rows.alias("a").join(rows.alias("b"), "token").where((F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component")) & self._near("a", "b"))
+        met = rows.alias("a").join(rows.alias("b"), "token").where((F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component")) & self._near("a", "b") & self._alike())
         return met.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
 
     # -- verification
