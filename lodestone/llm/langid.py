@@ -60,13 +60,13 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0, rounds: int = 80) -> np.ndarray:
     """A linear machine (squared hinge, last entry the bias) by accelerated gradient steps; y is +-1."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     weight = weight / weight.sum()
-    step = 1.0 / (1.0 / c + 2 * 2 * float((weight * (x * x).sum(1)).sum()))
-    w = v = np.zeros(x.shape[1], dtype=np.float64)
+    step = 1.0 / (1.0 / c + 2 * 2 * (1.0 + float((weight * np.einsum("ij,ij->i", x, x)).sum())))
+    w = v = np.zeros(x.shape[1] + 1, dtype=np.float64)
     for i in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v.astype(x.dtype)))
-        grad = v / c - 2 * ((weight * slack * y).astype(x.dtype) @ x)
+        slack = np.maximum(0, 1 - y * (x @ v[:-1].astype(x.dtype) + v[-1]))
+        pull = weight * slack * y
+        grad = v / c - 2 * np.append(pull.astype(x.dtype) @ x, pull.sum())
         new = v - step * grad
         v = new + i / (i + 3) * (new - w)
         w = new
@@ -130,27 +130,28 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def learn(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on at most ``per_language`` learning rows of each language; None without any."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("mix"), F.col(text_col).cast("string").alias("text"))
     # The hash below which a language has per_language rows: one number per language.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix"))
     cuts = rows.select("lang", "mix").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("mix").alias("cut"))
-    sample = rows.join(F.broadcast(cuts), "lang").where(F.col("mix") <= F.col("cut")).select("lang", "text")
+    sample = rows.join(F.broadcast(cuts), "lang").where(F.col("mix") <= F.col("cut")).select("lang", "mix", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 own = batch.slice(start, 64)
-                x = features(pc.cast(own.column(1), pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                x = features(pc.cast(own.column(2), pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "mix", "x"])
 
-    found = sample.mapInArrow(run, "lang string, x binary").toArrow()
+    found = sample.mapInArrow(run, "lang string, mix long, x binary").toArrow()
     if not found.num_rows:
         return None
-    pairs = sorted(zip(found.column("lang").to_pylist(), found.column("x").to_pylist(), strict=True))
-    x = np.frombuffer(b"".join(p[1] for p in pairs), dtype=np.float32).reshape(-1, SIZE)
-    return Model(x, np.array([p[0] for p in pairs]))
+    # One order, whatever the order of the rows, so that the same rows give the same model.
+    found = found.sort_by([("lang", "ascending"), ("mix", "ascending")]).combine_chunks()
+    x = np.frombuffer(found.column("x").chunk(0).buffers()[2], dtype=np.float32, count=found.num_rows * SIZE).reshape(-1, SIZE)
+    return Model(x, np.array(found.column("lang").to_pylist()))
 
 
 def predictions(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +194,6 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return docs.mapInArrow(run, docs.schema)
 
 
-def language_id(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+def language_id(docs: DataFrame, per_language: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from rows that are not held out."""
     return identify(docs, learn(docs, per_language)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
