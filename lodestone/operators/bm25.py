@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import is_term, raw_tokens, tokens
 
 K1, B = 1.5, 0.75
 
@@ -19,22 +19,22 @@ class Index:
     """Postings, document lengths, document frequencies and corpus statistics of ``docs`` (doc, text)."""
 
     def __init__(self, docs: DataFrame):
-        listed = docs.select("doc", tokens(F.col("text")).alias("terms"))
-        self.lengths = listed.select("doc", F.size("terms").alias("length"))
-        self.postings = listed.select("doc", F.explode("terms").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
+        # One pass over the texts; what is derived from the postings reuses their shuffle.
+        self.postings = docs.select("doc", F.explode(raw_tokens(F.col("text"))).alias("raw")).where(is_term(F.col("raw"))).groupBy(F.lower("raw").alias("term"), "doc").agg(F.count("*").alias("tf"))
+        self.lengths = self.postings.groupBy("doc").agg(F.sum("tf").alias("length"))
         self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         # Documents without tokens count, too.
-        self.stats = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length").cast("double") / F.count("*"), F.lit(1.0)).alias("avg_dl"))
+        n = docs.agg(F.count("*").alias("n"))
+        total = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
+        self.stats = n.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl"))
 
     def scores(self, queries: DataFrame, dedup_terms: bool = True) -> DataFrame:
         """query, doc, score for every document with a term of the query (query, text)."""
         asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
         asked = asked.distinct() if dedup_terms else asked
-        # One row of statistics: two numbers.
-        stats = self.stats.first()
-        n, avg = float(stats["n"]), stats["avg_dl"]
-        idf = F.ln((F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
-        tf = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(avg)))
+        n, avg = self.stats.select(F.col("n").cast("double")).scalar(), self.stats.select("avg_dl").scalar()
+        idf = F.ln((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
+        tf = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / avg))
         met = asked.join(self.frequencies, "term").join(self.postings, "term").join(self.lengths, "doc")
         return met.groupBy("query", "doc").agg(F.round(F.sum(idf * tf), 6).alias("score"))
 
