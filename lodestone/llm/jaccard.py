@@ -49,7 +49,7 @@ MOST_FREQUENT = 2_000_000
 #: Ids that are sent to every task to pick documents; more are joined instead.
 MOST_SENT = 500_000
 #: Comparisons with hubs before pairs of different components are compared in full.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Longs of the sketch by which joins of long lists leave out pairs that can't link.
 SKETCH = 8
 #: Shingles counted together in one task.
