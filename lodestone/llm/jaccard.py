@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.scratch import materialise
+from lodestone.llm.scratch import materialise, small_batches
 from lodestone.llm.shingles import sets_of
 
 #: Sets that may share a shingle without hubs.
@@ -370,7 +370,8 @@ class Join:
 
 def jaccard_classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * |A & B| >= num * |A | B|."""
-    return Join(docs, size, num, den, id_col, text_col).classes()
+    with small_batches(docs.sparkSession):  # what is returned reads written tables only
+        return Join(docs, size, num, den, id_col, text_col).classes()
 
 
 def one_of_each(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
