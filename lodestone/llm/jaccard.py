@@ -60,8 +60,9 @@ def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n + (-(n * num) // den) + 1
 
 
-def _pool_size(n: int) -> int:
-    return min(n, n * 3 // 20 + 8)
+def _pool_size(n: int, num: int, den: int) -> int:
+    """Half more than a prefix has, and 8."""
+    return min(n, n * 3 * (den - num) // (2 * den) + 8)
 
 
 def odd_sketch(own: np.ndarray) -> bytes:
@@ -95,7 +96,7 @@ def _binaries(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def _documents(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _documents(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n, sig, pool (the smallest hashes, ascending), odd and small (sketches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def _documents(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
             for own in sets_of(batch.column(1), size):
                 n.append(len(own))
                 sig.append(_signature(own))
-                pool.append(own[: _pool_size(len(own))])
+                pool.append(own[: _pool_size(len(own), num, den)])
                 odd.append(odd_sketch(own))
                 small.append(small_sketch(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "pool", "odd", "small"])
@@ -187,7 +188,7 @@ class Join:
     def __init__(self, docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"):
         self.docs, self.size, self.num, self.den, self.cols = docs, size, num, den, (id_col, text_col)
         self.spark = docs.sparkSession
-        self.documents = materialise(_documents(docs, size, id_col, text_col), "documents")
+        self.documents = materialise(_documents(docs, size, num, den, id_col, text_col), "documents")
         known = self.documents.where("n > 0 AND doc_id IS NOT NULL")
         self.sets = materialise(known.groupBy("n", "sig").agg(F.min("doc_id").alias("set_id"), F.first("pool").alias("pool"), F.first("odd").alias("odd"), F.first("small").alias("small")), "sets")
         self.frequent = self.spark.sparkContext.broadcast(_frequent(self.sets))

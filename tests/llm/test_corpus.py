@@ -212,6 +212,22 @@ def test_classes_equal_brute_force(spark, monkeypatch, bucket):
     assert got == _brute(rows)
 
 
+@pytest.mark.parametrize("bucket", [40, 2])
+def test_classes_at_a_lower_threshold(spark, monkeypatch, bucket):
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(25):
+        base = rng.choice(300, rng.integers(5, 200))
+        for _ in range(6):
+            own = base.copy()
+            at = rng.integers(len(own), size=int(len(own) * rng.uniform(0, 0.06)))
+            own[at] = rng.integers(300, size=len(at))
+            rows.append((len(rows), " ".join(map(str, own))))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), num=80).collect()}
+    assert got == _brute(rows, 80) != _brute(rows)
+
+
 def test_classes_of_messy_rows(messy, nothing):
     got = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in jaccard.jaccard_classes(messy).collect())
     assert got[1, True, 1] == 2 and got[2, True, 1] == 1

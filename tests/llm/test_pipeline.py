@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,3 +24,26 @@ def test_columns_and_an_empty_table(spark, messy):
         assert docs.count() == 0
         if name != "packed":
             assert docs.columns == COLUMNS
+
+
+def test_near_copies_of_five_words_and_08_go(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words), "en", "a", 0))
+
+    def edited(words, n):
+        own = list(words)
+        for i in range(n):
+            own[20 + i * len(own) // (n + 1)] = f"edit{len(rows)}x{i}"
+        return own
+
+    for g in range(4):
+        base = [f"g{g}w{w}" for w in rng.permutation(500)]
+        add(base)
+        add(edited(base, 10))  # 446 / 546 of five words, 468 / 528 of three
+        add([*base, *(f"g{g}tail{i}" for i in range(60))])  # 496 / 556 and 498 / 558
+        add(edited(base, 13))  # 431 / 561: no near copy
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(4 * g + i for g in range(4) for i in (0, 3))
