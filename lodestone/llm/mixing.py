@@ -6,8 +6,12 @@ found by inverting the distribution at a uniform number hashed from seed, id and
 text; rows are exploded by their copies and shuffled globally by a hash of seed,
 id and copy.
 
+A rate above MOST_RATE is split into equal parts of at most that, since exp(-rate)
+leaves the normal doubles near 708; a sum of independent Poisson numbers is one.
+Each further part has its own number, hashed from the row's.
+
 Only DataFrame functions: per source the cumulative probabilities are built once,
-up to where they equal 1 in doubles; a row counts those below its number.  Sources
+up to where they equal 1 in doubles; a row counts those below its numbers.  Sources
 are joined, not collected, and Spark broadcasts them only if their measured size
 allows it.  A source that holds a third of all rows is summed partially before
 the shuffle, and its side of the join is split by AQE if it is not broadcast.
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import materialise
 
+#: The largest mean that is inverted at once.
+MOST_RATE = 700.0
+
 _OURS = ("_copy", "_copies", "_order", "_source", "_bytes", "_rate", "_below", "_u")
 
 
@@ -64,18 +71,31 @@ def inverse(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["all"])
 
 
+def _copies() -> Column:
+    """The Poisson number of a row's _u and its source's _below."""
+
+    def at(u: Column) -> Column:
+        return F.size(F.filter(F.col("_below.c"), lambda c: c < u))
+
+    # 2 ** 53 * _u is a whole number.
+    own = (F.col("_u") * F.lit(float(1 << 53))).cast("long").cast("string")
+    more = F.transform(F.sequence(F.lit(1), F.col("_below.parts") - 1), lambda k: uniform(own, k.cast("string"), F.lit("part")))
+    return at(F.col("_u")) + F.when(F.col("_below.parts") > 1, F.aggregate(more, F.lit(0), lambda s, u: s + at(u))).otherwise(F.lit(0))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, and _copy (from 1), _copies and _order, shuffled by _order."""
     clash = [c for c in docs.columns if c in _OURS]
     if clash:
         raise ValueError(f"columns named like ours: {clash}")
-    below = rates(docs, weights, power, source_col, text_col).select("_source", inverse(F.col("_rate")).alias("_below"))
+    parts = F.greatest(F.ceil(F.col("_rate") / F.lit(MOST_RATE)), F.lit(1)).cast("int")
+    below = rates(docs, weights, power, source_col, text_col).select("_source", F.struct(parts.alias("parts"), inverse(F.col("_rate") / parts).alias("c")).alias("_below"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     # The number is hashed before the join, so that the text isn't read again after it.
     rows = docs.withColumn("_u", uniform(F.lit(str(seed)), key, F.md5(text.cast("binary"))))
     met = rows.join(below, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    copies = met.withColumn("_copies", F.size(F.filter("_below", lambda c: c < F.col("_u")))).drop("_below", "_u", "_source")
+    copies = met.withColumn("_copies", _copies()).drop("_below", "_u", "_source")
     each = copies.where(F.col("_copies") > 0).select(*docs.columns, "_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     order = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("_copy").cast("string"), F.lit("order")).cast("binary")), 1, 15)
     mixed = each.withColumn("_order", F.conv(order, 16, 10).cast("long"))

@@ -110,6 +110,19 @@ def test_copies_are_poisson(spark):
         assert abs(got[k] - want) < 5 * math.sqrt(want)
 
 
+@pytest.mark.parametrize("rate", [600, 900, 5000])
+def test_copies_of_a_high_rate_are_poisson(spark, rate):
+    n = 200
+    rows = [(i, "text", "tiny") for i in range(n)] + [(n, "x" * (2 * rate * 4 * n - 4 * n), "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, {"tiny": 0.5, "big": 0.5}).where("source = 'tiny'")
+    got = [(r["n"], r["copies"]) for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("_copies").alias("copies")).collect()]
+    copies = np.array([c for _, c in got])
+    assert len(got) == n and all(a == b for a, b in got)
+    assert abs(copies.mean() - rate) < 5 * math.sqrt(rate / n)
+    assert 0.6 < copies.var() / rate < 1.6
+
+
 def test_mixing_messy_rows(messy, nothing):
     got = mixing.mix(messy)
     assert set(messy.columns) < set(got.columns)
