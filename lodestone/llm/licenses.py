@@ -63,13 +63,13 @@ def _hashes(w: Column) -> Column:
 
 
 def _minima(hashes: Column) -> Column:
-    """MinHash values: the least hash under an exclusive or with each band's number."""
-    return F.transform(F.lit([_seed(band) for band in range(BANDS)]), lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))))
+    """MinHash values: the least of each band's own hash of the shingles' hashes."""
+    return F.transform(F.lit(list(range(BANDS))), lambda band: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band))))
 
 
-def _seed(band: int) -> int:
-    """A fixed pattern of 63 bits for each band."""
-    return (0x9E3779B97F4A7C15 * (band + 1)) & ((1 << 63) - 1)
+def _least(hashes: Column) -> Column:
+    """The shingles' hashes that give the MinHash values."""
+    return F.transform(F.lit(list(range(BANDS))), lambda band: F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, band).alias("value"), h.alias("h"))))["h"])
 
 
 def _shingles(w: Column) -> Column:
@@ -79,11 +79,11 @@ def _shingles(w: Column) -> Column:
 
 
 def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, parts (shingles), minima, step (2 ** class)."""
+    """license, parts (shingles), minima, step (2 ** class), least (hashes of the minima's shingles)."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").withColumn("w", words(F.col("text")))
     made = rows.where(F.size("w") >= SHINGLE).withColumn("parts", _shingles(F.col("w")))
     step = F.pow(F.lit(2), F.ceil(F.log2(F.size("w") - (SHINGLE - 1)))).cast("int")
-    return made.select("license", "parts", _minima(_hashes(F.col("w"))).alias("minima"), step.alias("step"))
+    return made.select("license", "parts", _minima(_hashes(F.col("w"))).alias("minima"), step.alias("step"), _least(_hashes(F.col("w"))).alias("least"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,8 +94,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     if len(known) < len(TEMPLATES if templates is None else templates):
         raise ValueError(f"a template needs {SHINGLE} words")
     fields = "license string, parts array<string>, minima array<bigint>, step int"
-    small = spark.createDataFrame([tuple(r) for r in known], fields)
-    minima = sorted({m ^ _seed(band) for r in known for band, m in enumerate(r["minima"])})
+    small = spark.createDataFrame([tuple(r)[:4] for r in known], fields)
+    minima = sorted({h for r in known for h in r["least"]})
     steps = sorted({r["step"] for r in known})
 
     wanted = F.lit(minima)

@@ -83,6 +83,25 @@ def test_license_scan_is_exact(spark):
     assert got == want
 
 
+def _windows(text, template):
+    """Windows that hold 0.8 of a template."""
+    w, t = text.split(), re.findall("[a-z0-9]+", template.lower())
+    h, parts = [" ".join(w[j : j + 5]) for j in range(len(w) - 4)], {" ".join(t[j : j + 5]) for j in range(len(t) - 4)}
+    step = 2 ** math.ceil(math.log2(len(t) - 4))
+    return sum(len(parts & set(h[a : a + 2 * step])) >= 0.8 * len(parts) for a in range(0, len(h), step))
+
+
+def test_license_scan_meets_every_window(spark):
+    """A notice of few shingles, cut to 0.85 of them, in random words."""
+    rng = np.random.default_rng(6)
+    name = "MPL-2.0"
+    cut = re.findall("[a-z0-9]+", licenses.TEMPLATES[name].lower())[2:]
+    rows = [(i, " ".join([*(f"r{x}" for x in rng.integers(10**9, size=rng.integers(40))), *cut, *(f"r{x}" for x in rng.integers(10**9, size=40))])) for i in range(1500)]
+    want = {i: n for i, text in rows if (n := _windows(text, licenses.TEMPLATES[name]))}
+    got = {r["doc_id"]: r["n_windows"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("license") == name).collect()}
+    assert len(want) == len(rows) and got == want
+
+
 def test_a_short_template_is_refused(messy):
     with pytest.raises(ValueError):
         licenses.scan(messy, {"x": "too short"})
