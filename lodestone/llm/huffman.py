@@ -1,6 +1,6 @@
 """Token ids as length-limited canonical Huffman blocks (operator 6).
 
-Method: ids are counted over the whole corpus, the package-merge algorithm gives
+Method: ids are counted over the whole corpus as it is tokenised, the package-merge algorithm gives
 code lengths of at most LIMIT bits, and canonical codes follow from the lengths
 alone.  Documents are written in ascending doc_id order as independent blocks;
 each block holds its bit stream and the bit offset of every SEGMENT ids
@@ -15,7 +15,7 @@ only and any store can hold them; ``body`` is the format of ``write_block``.
 The driver holds one number per id of the vocabulary and one per part.
 
 Defined results: a null or empty text is the end id alone; rows that repeat a
-doc_id are written in the order of their length and checksum; a null doc_id
+doc_id are written in the order of their length and stream; a null doc_id
 comes first; an empty table gives no blocks; other columns are not read.
 """
 
@@ -31,9 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.chunks import slices
-from lodestone.llm.scratch import materialise, scratch_path
-from lodestone.llm.token_counts import encoder
+from lodestone.llm.chunks import encoder, gathered
+from lodestone.llm.scratch import Scratch, scratch, scratch_path, tidily
 
 #: Longest code in bits, while the ids in use are at most 2 ** LIMIT.
 LIMIT = 16
@@ -192,24 +191,26 @@ def decode_lanes(stream: np.ndarray, at: np.ndarray, lengths: np.ndarray, table:
 
 # --- Spark --------------------------------------------------------------------
 
-_tables: dict[int, tuple] = {}
 
-
-def _ids_of(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (binary, unsigned 16-bit where the vocabulary allows it)."""
+def _ids_of(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, ids (binary, of type ``kind``), and at the end of each task a row with the task's counts (used: ids, n: how often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path, True)
-        kind = _kind(own.tokenizer.get_vocab_size())
-        for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                ids, at = own.ids(batch.column(1).slice(start, stop - start), end_id)
-                data = ids.astype(kind)
-                offsets = pa.py_buffer((at * data.itemsize).astype("<i4"))
-                blob = pa.Array.from_buffers(pa.binary(), stop - start, [None, offsets, pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), blob], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+        own = encoder(tokenizer_path)
+        total = np.zeros(max(own.tokenizer.get_vocab_size(), end_id + 1), dtype=np.int64)
+        for batch in gathered(batches, 1):
+            ids, at = own.ids(batch.column(1), end_id)
+            total += np.bincount(ids, minlength=len(total))
+            data = ids.astype(kind)
+            blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((at * data.itemsize).astype("<i4")), pa.py_buffer(data)])
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), blob, none, none], ["doc_id", "ids", "used", "n"])
+        used = np.flatnonzero(total)
+        columns = [pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([used], pa.list_(pa.int64())), pa.array([total[used]], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "used", "n"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(tidily(run), "doc_id long, ids binary, used array<long>, n array<long>")
 
 
 def _kind(vocabulary: int) -> str:
@@ -227,24 +228,20 @@ def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all documents' ids below ``path``."""
-    spark = docs.sparkSession
-    vocabulary = encoder(tokenizer_path, True).tokenizer.get_vocab_size()
-    kind = _kind(max(vocabulary, end_id + 1))
-    held = materialise(_ids_of(docs, tokenizer_path, end_id, id_col, text_col), "ids")
+    with scratch(docs.sparkSession, "huffman") as own:
+        _write(docs, own, path, tokenizer_path, end_id, id_col, text_col)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            own = np.bincount(_flat(batch.column(1), kind)[0], minlength=len(total))
-            own[: len(total)] += total
-            total = own
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
+def _write(docs: DataFrame, own: Scratch, path: str, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> None:
+    spark = docs.sparkSession
+    vocabulary = encoder(tokenizer_path).tokenizer.get_vocab_size()
+    kind = _kind(max(vocabulary, end_id + 1))
+    made = own.put(_ids_of(docs, tokenizer_path, end_id, kind, id_col, text_col), "ids")
+    held = made.where(F.col("ids").isNotNull()).select("doc_id", "ids")
     # At most one row per id of the vocabulary comes to the driver.
     counts = np.zeros(max(vocabulary, end_id + 1), dtype=np.int64)
-    for row in held.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row["id"]] = row["n"]
+    told = made.where(F.col("used").isNotNull()).select(F.inline(F.arrays_zip("used", "n"))).groupBy("used").agg(F.sum("n").alias("n")).toArrow()
+    counts[told.column("used").to_numpy()] = told.column("n").to_numpy()
     bits = code_lengths(counts)
     used = np.flatnonzero(bits)
     spark.createDataFrame(pa.table({"id": pa.array(used, pa.int64()), "bits": pa.array(bits[used].astype(np.int32))})).coalesce(1).write.parquet(f"{path}/codebook")
@@ -290,9 +287,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         if names:
             yield put()
 
-    rows = held.mapInArrow(encode, "part int, doc_id long, n long, marks binary, stream binary")
+    rows = held.mapInArrow(tidily(encode), "part int, doc_id long, n long, marks binary, stream binary")
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "n", "stream")
-    rows.mapInArrow(block, "part int, block int, first long, n_docs int, n_ids long, body binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows.mapInArrow(tidily(block), "part int, block int, first long, n_docs int, n_ids long, body binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

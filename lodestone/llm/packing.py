@@ -10,7 +10,7 @@ is partitioned again.  What is left at the end of a task is laid out in full
 windows and windows of a power of two, which need no padding.
 
 A task packs its own documents, so nothing is shuffled and memory is bounded by
-one slice of text and one group of pieces.  A task that is run again on the same
+one slice of text and one group of pieces; what comes back reads a written table.  A task that is run again on the same
 split gives the same rows.
 
 Defined results: a null or empty text is the end id alone; every row is its own
@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.chunks import slices
-from lodestone.llm.token_counts import encoder
+from lodestone.llm.chunks import encoder, gathered
+from lodestone.llm.scratch import scratch, tidily
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
 #: Bits of a sequence or row id below its task's number.
@@ -186,21 +186,22 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path, True)
+        own = encoder(tokenizer_path)
         base = TaskContext.get().partitionId() << TASK_SHIFT
         packer, row = Packer(capacity, group, slack, base), base
-        for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                names = batch.column(0).slice(start, stop - start).to_pylist()
-                ids, at = own.ids(batch.column(1).slice(start, stop - start), end_id)
-                at = at.tolist()
-                for i, name in enumerate(names):
-                    packer.add((name, at[i + 1] - at[i], row), ids[at[i] : at[i + 1]])
-                    row += 1
-                if packer.rows:
-                    yield packer.flush()
+        for batch in gathered(batches, 1):
+            names = batch.column(0).to_pylist()
+            ids, at = own.ids(batch.column(1), end_id)
+            at = at.tolist()
+            for i, name in enumerate(names):
+                packer.add((name, at[i + 1] - at[i], row), ids[at[i] : at[i + 1]])
+                row += 1
+            if packer.rows:
+                yield packer.flush()
         packer.finish()
         if packer.rows:
             yield packer.flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession, "packing") as own:
+        return own.keep(rows.mapInArrow(tidily(run), SCHEMA), "pieces")

@@ -1,40 +1,81 @@
 """Token counts (operator 1).
 
-Method: each distinct pre-token chunk is counted once by the tokenizers library,
-the counts are joined to each document's chunk occurrences by dictionary index,
-and summed per document.  No token ids are kept.
-
-The join is map-side: a task holds a bounded memo of the chunks it has met, so
-nothing is shuffled and the work is linear in the input at any size.  A global
-table of distinct pre-tokens would need all (document, pre-token) pairs, about
-half of all words, in a shuffle.
+Method: texts are cut into the tokenizer's pre-tokens (``chunks``).  Every slice
+of texts (about SLICE_BYTES) is one block: its distinct pre-tokens, and for each
+document how often it has which of them.  The distinct pre-tokens of all blocks
+are one table, in which each is counted once by the tokenizer's model; the counts
+are joined back to the blocks' pre-tokens, and a document's tokens are the sum of
+frequency times count.  No token ids are made.
+
+What is shuffled is a block's distinct pre-tokens and its packed frequencies, not
+words.  A pre-token of all blocks is one row a block, summed before the shuffle
+and split by AQE in the join; a block is bounded by its slice of text.
+
+Where chunks can't be pre-tokenized by themselves (a tokenizer that is neither
+byte-level nor has word ends, and in byte-level ones texts that hold a special
+string or rare white space beside other white space), a text is counted whole by
+the library, and its number stands in its block.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
-give repeated rows; the columns that come back are ours, so clashing extra
-columns of the input can't disturb them; an empty table gives an empty result.
+give repeated rows; a null id is kept; the columns that come back are ours, so
+clashing extra columns of the input can't disturb them; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.chunks import Encoder, slices
+from lodestone.llm.chunks import Encoder, encoder, gathered, written
+from lodestone.llm.scratch import scratch, tidily
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, keep_ids: bool) -> Encoder:
-    """This Python worker's encoder; workers are reused, so its memo outlives a task."""
-    if (path, keep_ids) not in _encoders:
-        _encoders[path, keep_ids] = Encoder(path, keep_ids)
-    return _encoders[path, keep_ids]
+#: Bytes of text of a block.
+SLICE_BYTES = 12 << 20
+#: Bits of a block's number below its task's.
+TASK_SHIFT = 32
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as four planes of bytes, which compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def frequencies(own: Encoder, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens, number of pairs of each text, the pairs' pre-token and count, and tokens counted apart."""
+    texts = pc.fill_null(texts, "")
+    cutter = own.cutter
+    apart = np.zeros(len(texts), dtype=np.int64)
+    if cutter.kind == "words":  # a special string is one token and parts what is around it, as white space does
+        for content in cutter.special:
+            apart += pc.count_substring(texts, content).to_numpy()
+            texts = pc.replace_substring(texts, content, " ")
+    else:
+        whole = cutter.whole(texts)
+        for i in np.flatnonzero(whole).tolist():
+            apart[i] = len(own.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
+        texts = pc.if_else(pa.array(whole), "", texts)
+    words, occurs, offsets = cutter.cut(texts)
+    size = max(1, len(words))
+    order = pc.sort_indices(words).to_numpy()  # neighbours in the alphabet compress well
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    key = np.repeat(np.arange(len(texts)) * size, np.diff(offsets)) + rank[occurs]
+    key.sort()
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    counts, key = np.diff(np.append(at, len(key))), key[at]
+    return words.take(pa.array(order)), np.bincount(key // size, minlength=len(texts)), key % size, counts, apart
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,13 +84,51 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     ``tokenizer_path``: a .json file of the tokenizers library, on every executor.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path, False)
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer_path)
+        for nth, batch in enumerate(gathered(batches, 1, SLICE_BYTES)):
+            words, pairs, which, counts, apart = frequencies(own, batch.column(1))
+            first = np.concatenate([[0], np.cumsum(pairs)])[:-1]
+            delta = np.diff(which, prepend=0)
+            opens = first[pairs > 0]
+            delta[opens] = which[opens]
+            columns = [
+                pa.array([(TaskContext.get().partitionId() << TASK_SHIFT) + nth], pa.int64()),
+                pa.ListArray.from_arrays([0, len(words)], words),
+                pa.array([batch.column(0)], pa.list_(pa.int64())),
+                pa.array([pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64())], pa.list_(pa.int64())),
+                pa.array([apart], pa.list_(pa.int64())),
+                *(pa.array([planes(x)], pa.binary()) for x in (pairs, delta, counts)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "words", "ids", "sizes", "apart", "pairs", "delta", "counts"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(tokenizer_path).tokenizer.model
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                ids, texts = (batch.column(i).slice(start, stop - start) for i in (0, 1))
-                n = pa.array(own.counts(texts), type=pa.int64())
-                size = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, SCHEMA)
+            n = [len(model.tokenize(written(w))) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["word", "n"])
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        worth = np.zeros(left.num_rows, dtype=np.int64)
+        worth[left.column("place").to_numpy()] = left.column("n").to_numpy()
+        parts = []
+        for row in right.to_pylist():
+            pairs, delta, counts = (from_planes(row[c]) for c in ("pairs", "delta", "counts"))
+            ends = np.concatenate([[0], np.cumsum(pairs)])
+            which = np.cumsum(delta)
+            first = ends[:-1][pairs > 0]
+            which -= np.repeat(which[first] - delta[first], pairs[pairs > 0])
+            total = np.concatenate([[0], np.cumsum(counts * worth[which])])
+            n = total[ends[1:]] - total[ends[:-1]] + np.array(row["apart"], dtype=np.int64)
+            parts.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]))
+        return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "over_limit": pa.array([], pa.bool_())})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession, "tokens") as own:
+        kinds = "block long, words array<string>, ids array<long>, sizes array<long>, apart array<long>, pairs binary, delta binary, counts binary"
+        blocks = own.put(rows.mapInArrow(tidily(to_blocks), kinds), "blocks")
+        places = blocks.select("block", F.posexplode("words").alias("place", "word"))
+        counted = places.select("word").distinct().mapInArrow(tidily(pieces), "word string, n int")
+        met = places.join(counted, "word").select("block", "place", "n")
+        packed = blocks.select(F.col("block").alias("own"), "ids", "sizes", "apart", "pairs", "delta", "counts")
+        return own.keep(met.groupBy("block").cogroup(packed.groupBy("own")).applyInArrow(summed, SCHEMA), "counts")

@@ -20,7 +20,7 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 
 @pytest.fixture(scope="module")
 def encoders():
-    return {p: Encoder(p, True) for p in (BYTES, WORDS)}
+    return {p: Encoder(p) for p in (BYTES, WORDS)}
 
 
 @settings(max_examples=60, deadline=None)
@@ -32,14 +32,43 @@ def test_ids_equal_the_library(encoders, texts):
             assert ids[at[i] : at[i + 1]].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
-def test_the_memo_starts_afresh(monkeypatch):
+def test_the_memo_is_cut_back(monkeypatch):
     from lodestone.llm import chunks
 
     monkeypatch.setattr(chunks, "MEMO", 3)
-    e = Encoder(BYTES, True)
+    e = Encoder(BYTES)
     texts = ["one two three four five six", "seven eight one two <|endoftext|>", None]
-    for t in (texts, list(reversed(texts))):
-        assert e.counts(pa.array(t, pa.string())).tolist() == [len(e.tokenizer.encode(x or "", add_special_tokens=False).ids) for x in t]
+    for t in (texts, list(reversed(texts)), texts[:1]):
+        ids, at = e.ids(pa.array(t, pa.string()), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*e.tokenizer.encode(x or "", add_special_tokens=False).ids, 2] for x in t]
+
+
+def test_the_memo_holds_no_whole_texts(monkeypatch):
+    """Blank lines, double spaces, special strings and words without end leave a memo of short pieces, bounded in bytes."""
+    from lodestone.llm import chunks
+
+    monkeypatch.setattr(chunks, "MEMO_BYTES", 1 << 16)
+    e = Encoder(BYTES)
+    words = [f"w{i % 97}x{i * 7919 % 1009}" for i in range(40_000)]
+    texts = [" ".join(words[i : i + 40]) + "\n\n" + "  ".join(words[i + 40 : i + 80]) + ("<|endoftext|>" if i % 400 == 0 else "") for i in range(0, 40_000, 80)]
+    texts += ["y" * 50_000, "z " * 2000 + "\t\t", " \n" * 300]
+    for start in range(0, len(texts), 50):
+        own = texts[start : start + 50]
+        ids, at = e.ids(pa.array(own), 2)
+        assert all(len(p.encode()) < chunks.LONG for p in e.memo.rows)
+        assert sum(map(len, e.memo.rows)) + 4 * len(e.memo.ids) <= (1 << 16) + sum(map(len, own))
+        for i, t in enumerate(own):
+            assert ids[at[i] : at[i + 1]].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_batches_are_gathered_by_bytes():
+    from lodestone.llm.chunks import gathered
+
+    texts = ["a" * 10, None, "b" * 100, "c" * 30, "d" * 30, "", "e" * 5]
+    batches = pa.Table.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"]).to_batches(max_chunksize=3)
+    out = list(gathered(iter(batches), 1, 64))
+    assert [x for b in out for x in b.column(1).to_pylist()] == texts
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= 64 for b in out)
 
 
 def test_counts(messy, nothing, encoders):
