@@ -7,30 +7,36 @@ of the set of shards is one new version of a manifest, committed atomically.
 A store is a folder: ``data/<run>/*.parquet`` (shards, never changed) and
 ``manifest/v<number>`` (one row per shard: path, bytes, rows, tier).  A manifest is
 written to a folder of its own and published by one rename that doesn't overwrite,
-so of two writers of a version one wins and the other raises Conflict.  Files
-that no manifest names (of a failed or lost writer) are never read.
+which is atomic on HDFS and local file systems (an object store needs one with
+atomic renames on top).  Of two writers of a version one wins; the other reads the
+new version and applies its change to that, and gives up a merge whose shards are
+gone.  Files that no manifest names (of a failed or lost writer) are never read.
 
 A merge is a map-only job: Spark packs the files of a tier into splits of about
 the target size and every split becomes one shard, so nothing is shuffled and a
 lost executor costs the tasks it ran.  The driver handles one row per shard.
 
-Defined results: rows are kept as they are, with nulls, repeats and all columns;
+Defined results: rows are kept as they are, with nulls, repeats and all columns,
+whatever their names (ours is called _shard, with more underscores if that is taken);
 an empty table is one version without rows; ties in size merge in order of path.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import scratch_path
 
 #: A tier holds shards within this factor of size; so many of a tier are merged.
 FACTOR, FANIN = 4, 4
+#: Times a change is tried while other writers publish.
+TRIES = 20
 
 
 class Conflict(RuntimeError):
@@ -100,15 +106,28 @@ class Store:
         run = f"{self.root}/data/{scratch_path(self.spark, 'run').rsplit('/', 1)[-1]}"
         df.write.option("compression", "zstd").parquet(run)
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(run))}
-        counts = self.spark.read.parquet(run).groupBy(F.col("_metadata.file_name").alias("name")).count().collect()
+        rows = self.spark.read.parquet(run).select(_file().alias("name"))
+        counts = rows.groupBy("name").count().collect()  # a row per shard
         return [Shard(f"{run}/{r['name']}", sizes[r["name"]], r["count"]) for r in counts]
 
+    def _publish(self, change: Callable[[list[Shard]], list[Shard] | None]) -> int | None:
+        """Commit ``change`` of the last version's shards, again if another writer was first; None if it has nothing to change."""
+        for _ in range(TRIES):
+            base = self._last()
+            new = change(self.shards(base) if base else [])
+            if new is None:
+                return None
+            try:
+                return self._commit(new, base)
+            except Conflict:
+                continue
+        raise Conflict(f"{TRIES} times another writer was first")
+
     def append(self, df: DataFrame) -> int:
         """Every partition of ``df`` becomes a small shard; gives the version."""
-        base = self._last()
-        kept = self.shards(base) if base else []
         self._columns(df)
-        return self._commit(kept + self._written(df), base)
+        new = self._written(df)
+        return self._publish(lambda shards: shards + new)
 
     def _columns(self, df: DataFrame) -> None:
         """The schema of the store, which an empty version needs."""
@@ -129,11 +148,14 @@ class Store:
     def compact(self) -> int:
         """Merge tiers until none is full; gives the version."""
         while run := self.plan(self.shards()):
-            base = self._last()
             merged = self._merged(run)
             gone = {s.path for s in run}
-            self._commit([s for s in self.shards(base) if s.path not in gone] + merged, base)
-            if len(merged) >= len(run):
+
+            def replaced(shards: list[Shard]) -> list[Shard] | None:
+                return [s for s in shards if s.path not in gone] + merged if gone <= {s.path for s in shards} else None
+
+            # None: another writer merged some of these; what is there now is planned anew.
+            if self._publish(replaced) is not None and len(merged) >= len(run):
                 break
         return self._last()
 
@@ -160,7 +182,15 @@ class Store:
         paths = [s.path for s in self.shards(version)]
         rows = self.spark.read.schema(self._schema())
         rows = rows.parquet(*paths) if paths else rows.parquet(f"{self.root}/schema")
-        return rows.withColumn("_shard", F.col("_metadata.file_name"))
+        name = "_shard"
+        while name in {c.lower() for c in rows.columns}:
+            name = "_" + name
+        return rows.withColumn(name, _file())
+
+
+def _file() -> Column:
+    """The name of the file a row was read from."""
+    return F.substring_index(F.input_file_name(), "/", -1)
 
 
 def shard(docs: DataFrame, target: int = 16 << 20, arrivals: int = 4) -> DataFrame:
