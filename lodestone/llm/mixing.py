@@ -17,24 +17,40 @@ allows it.  A source that holds a third of all rows is summed partially before
 the shuffle, and its side of the join is split by AQE if it is not broadcast.
 
 Defined results: a null source is a source of its own; null and empty texts have
-0 bytes and take their source's rate; a source of 0 bytes keeps every row once;
+0 bytes and take their source's rate; a source of 0 bytes keeps every row once
+(with ``weights``, if it is named with more than 0; sources not named are dropped);
 repeated rows get the same number of copies, each row its own; an empty table
-gives no rows; extra columns are kept, and those named like ours (_copy, _copies,
-_order, ...) are refused with a ValueError; ties in the shuffle's hash stay in
-any order.
+gives no rows; extra columns are kept, and where they are named like ours (_copy,
+_copies, _order), ours get another underscore in front (``names``); ties in the
+shuffle's hash stay in any order.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialise
+from lodestone.llm.scratch import scratch
 
 #: The largest mean that is inverted at once.
 MOST_RATE = 700.0
 
-_OURS = ("_copy", "_copies", "_order", "_source", "_bytes", "_rate", "_below", "_u")
+#: Digits to which targets relative to the largest are rounded before they are summed.
+DIGITS = 15
+
+
+def names(columns: list[str]) -> tuple[str, str, str]:
+    """What _copy, _copies and _order are called beside ``columns``."""
+    taken = {c.lower() for c in columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = "_" + name
+        return name
+
+    return free("_copy"), free("_copies"), free("_order")
 
 
 def uniform(*parts: Column) -> Column:
@@ -44,19 +60,29 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """_source, _bytes, _rate.  Without ``weights`` a source's target is its bytes to ``power``; sources not named in ``weights`` have target 0."""
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).alias("_bytes"))
+    """source, bytes, rate (null for a source of 0 bytes that is kept once).
+
+    Without ``weights`` a source's target is its bytes to ``power``, 0 or more; sources not named in ``weights`` have target 0.
+    """
+    if power < 0 or any(w < 0 for w in (weights or {}).values()):
+        raise ValueError("a power or weight below 0")
+    sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).alias("bytes"))
     if weights is None:
-        target = F.pow(F.col("_bytes").cast("double"), F.lit(float(power)))
+        target = F.round(F.pow(F.col("bytes").cast("double"), F.lit(float(power))), 4).cast("decimal(38,4)")
+        kept = F.lit(True)
     else:
-        target = F.lit(0.0)
-        for name, w in weights.items():
-            target = F.when(F.col("_source") == name, F.lit(float(w))).otherwise(target)
-    sizes = materialise(sizes.withColumn("_target", F.round(target, 4)), "sources")
-    # Two numbers; rounded targets are summed as decimals, so that the order of the sum can't matter.
-    total = sizes.agg(F.sum("_bytes").alias("all"), F.sum(F.col("_target").cast("decimal(38,4)")).cast("double").alias("sum")).first()
-    rate = F.col("_target") / F.lit(total["sum"] or 1.0) * F.lit(float(total["all"] or 0)) / F.col("_bytes")
-    return sizes.select("_source", "_bytes", F.when(F.col("_bytes") == 0, F.lit(1.0)).otherwise(rate).alias("_rate"))
+        top = max(weights.values(), default=0.0) or 1.0
+        named = F.create_map(*(F.lit(x) for name, w in sorted(weights.items()) for x in (name, w / top))) if weights else None
+        target = F.coalesce(named[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
+        # No weight is too small to count: the least that is told from 0 stays.
+        target = F.when(target > 0, F.greatest(F.round(target, DIGITS).cast(f"decimal(38,{DIGITS})"), F.lit(Decimal(1).scaleb(-DIGITS)))).otherwise(F.lit(0).cast(f"decimal(38,{DIGITS})"))
+        kept = target > 0
+    with scratch(docs.sparkSession, "mixing") as own:
+        sizes = own.keep(sizes.withColumn("target", target).withColumn("kept", kept), "sources")
+    # Two numbers; targets are summed as decimals, so that the order of the sum can't matter.
+    total = sizes.agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("bytes") > 0, F.col("target"))).cast("double").alias("sum")).first()
+    rate = F.col("target").cast("double") / F.lit(total["sum"] or 1.0) * F.lit(float(total["all"] or 0)) / F.col("bytes")
+    return sizes.select("source", "bytes", F.when(F.col("bytes") > 0, rate).when(~F.col("kept"), F.lit(0.0)).alias("rate"))
 
 
 def inverse(rate: Column) -> Column:
@@ -71,32 +97,31 @@ def inverse(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["all"])
 
 
-def _copies() -> Column:
-    """The Poisson number of a row's _u and its source's _below."""
+def _copies(u: Column, below: Column) -> Column:
+    """The Poisson number of a row's uniform number and its source's table; 1 without a table."""
 
     def at(u: Column) -> Column:
-        return F.size(F.filter(F.col("_below.c"), lambda c: c < u))
+        return F.size(F.filter(below["c"], lambda c: c < u))
 
-    # 2 ** 53 * _u is a whole number.
-    own = (F.col("_u") * F.lit(float(1 << 53))).cast("long").cast("string")
-    more = F.transform(F.sequence(F.lit(1), F.col("_below.parts") - 1), lambda k: uniform(own, k.cast("string"), F.lit("part")))
-    return at(F.col("_u")) + F.when(F.col("_below.parts") > 1, F.aggregate(more, F.lit(0), lambda s, u: s + at(u))).otherwise(F.lit(0))
+    # 2 ** 53 * u is a whole number.
+    own = (u * F.lit(float(1 << 53))).cast("long").cast("string")
+    more = F.transform(F.sequence(F.lit(1), below["parts"] - 1), lambda k: uniform(own, k.cast("string"), F.lit("part")))
+    number = at(u) + F.when(below["parts"] > 1, F.aggregate(more, F.lit(0), lambda s, v: s + at(v))).otherwise(F.lit(0))
+    return F.when(below["c"].isNull(), F.lit(1)).otherwise(number)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, and _copy (from 1), _copies and _order, shuffled by _order."""
-    clash = [c for c in docs.columns if c in _OURS]
-    if clash:
-        raise ValueError(f"columns named like ours: {clash}")
-    parts = F.greatest(F.ceil(F.col("_rate") / F.lit(MOST_RATE)), F.lit(1)).cast("int")
-    below = rates(docs, weights, power, source_col, text_col).select("_source", F.struct(parts.alias("parts"), inverse(F.col("_rate") / parts).alias("c")).alias("_below"))
+    copy, copies, order = names(docs.columns)
+    parts = F.greatest(F.ceil(F.col("rate") / F.lit(MOST_RATE)), F.lit(1)).cast("int")
+    table = F.struct(parts.alias("parts"), F.when(F.col("rate").isNotNull(), inverse(F.col("rate") / parts)).alias("c"))
+    below = rates(docs, weights, power, source_col, text_col).select("source", table.alias("below"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    # The number is hashed before the join, so that the text isn't read again after it.
-    rows = docs.withColumn("_u", uniform(F.lit(str(seed)), key, F.md5(text.cast("binary"))))
-    met = rows.join(below, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    copies = met.withColumn("_copies", _copies()).drop("_below", "_u", "_source")
-    each = copies.where(F.col("_copies") > 0).select(*docs.columns, "_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    order = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("_copy").cast("string"), F.lit("order")).cast("binary")), 1, 15)
-    mixed = each.withColumn("_order", F.conv(order, 16, 10).cast("long"))
-    return mixed.repartition("_order").sortWithinPartitions("_order")
+    # The number is hashed before the join, so that the text isn't read again after it; the row is one column, so no name clashes.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).cast("string").alias("of"), key.alias("key"), uniform(F.lit(str(seed)), key, F.md5(text.cast("binary"))).alias("u"))
+    met = rows.join(below, F.col("of").eqNullSafe(F.col("source"))).select("row", "key", _copies(F.col("u"), F.col("below")).alias("copies"))
+    each = met.where(F.col("copies") > 0).select("row", "key", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "key", F.col("copy").cast("string"), F.lit("order")).cast("binary")), 1, 15)
+    mixed = each.select("row.*", F.col("copies").alias(copies), F.col("copy").alias(copy), F.conv(digits, 16, 10).cast("long").alias(order))
+    return mixed.repartition(order).sortWithinPartitions(order)

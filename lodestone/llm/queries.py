@@ -53,7 +53,8 @@ def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents replicated so that sources have shares as the square roots of their bytes, shuffled."""
-    return mix(table(spark, sf_dir, "documents")).withColumnsRenamed({"_copy": "copy", "_copies": "copies", "_order": "shuffle_key"})
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    return rows.withColumnsRenamed({"_copy": "copy", "_copies": "copies", "_order": "shuffle_key"})
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
