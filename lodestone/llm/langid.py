@@ -7,8 +7,9 @@ the languages of the family that won.
 
 Features are hashed byte 1- to 4-grams of the whole lower-cased text, as square
 roots of their shares.  The machines are fitted on the driver from features of at
-most ``per_language`` rows of each language (chosen by a hash of the id over all
-learning rows); a row of features has a fixed size.  Every row is then scored in
+most ``per_language`` rows of each language (the smallest hashes of id and text
+over all learning rows; equal rows teach once); a row of features has a fixed size
+and the number of languages is bounded.  Every row is then scored in
 place, without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -28,6 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.chunks import gathered
+from lodestone.llm.scratch import scratch, small_batches, tidily, tidy
+
 #: Hashed features for grams of 1, 2, 3 and 4 bytes.
 GRAMS = ((1, 256), (2, 1024), (3, 2048), (4, 2048))
 SIZE = sum(n for _, n in GRAMS)
@@ -130,13 +134,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on at most ``per_language`` learning rows of each language; None without any."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("mix"), F.col(text_col).cast("string").alias("text"))
-    # The hash below which a language has per_language rows: one number per language.
+def learn(docs: DataFrame, per_language: int = 400, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Fit on at most ``per_language`` different learning rows of each language; None without any.
+
+    More than ``most_languages`` languages are refused with a ValueError: both numbers bound what comes to the driver.
+    """
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not sizes:
+        return None
+    # Rows below a share of the hashes that leaves a few times per_language of each language; the smallest hashes among them are the sample.
+    share = F.create_map(*(F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, (4 * per_language + 64) / n))))
+    drawn = rows.withColumn("mix", F.xxhash64("id", "text")).where(F.shiftrightunsigned("mix", 11).cast("double") < share[F.col("lang")] * F.lit(float(1 << 53)))
+    # Equal rows teach once, so a group of copies is one row before the shuffle.
+    once = drawn.groupBy("lang", "mix").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix"))
-    cuts = rows.select("lang", "mix").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("mix").alias("cut"))
-    sample = rows.join(F.broadcast(cuts), "lang").where(F.col("mix") <= F.col("cut")).select("lang", "mix", "text")
+    sample = once.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "mix", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +160,8 @@ def learn(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
                 x = features(pc.cast(own.column(2), pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "mix", "x"])
 
-    found = sample.mapInArrow(run, "lang string, mix long, x binary").toArrow()
-    if not found.num_rows:
-        return None
+    with small_batches(docs.sparkSession):
+        found = sample.mapInArrow(tidily(run), "lang string, mix long, x binary").toArrow()
     # One order, whatever the order of the rows, so that the same rows give the same model.
     found = found.sort_by([("lang", "ascending"), ("mix", "ascending")]).combine_chunks()
     x = np.frombuffer(found.column("x").chunk(0).buffers()[2], dtype=np.float32, count=found.num_rows * SIZE).reshape(-1, SIZE)
@@ -166,32 +180,32 @@ def predictions(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.nd
     return lang, score
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (by default the id), then lang_pred and score of every whole text."""
-    keep = [id_col] if keep is None else keep
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in keep))
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, lang_pred and score of every whole text."""
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("_id"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 0):
             lang, score = predictions(batch.column(0), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score)], ["_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    kind = rows.schema["_id"].dataType.simpleString()
+    with scratch(docs.sparkSession, "languages") as own:
+        return own.keep(rows.mapInArrow(tidily(run), f"_id {kind}, lang_pred string, score double"), "predicted").withColumnRenamed("_id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is not ``und``, with all their columns."""
-    at = docs.columns.index(text_col)
+    """The rows of ``docs`` whose language is not ``und``, with all their columns.  Only texts go to Python, and one bit a row comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, _ = predictions(batch.column(at), shared.value)
-            yield batch.filter(pa.array(lang != UNKNOWN))
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        lang, _ = predictions(texts, shared.value)
+        tidy()
+        return pa.array(lang != UNKNOWN)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(F.col(text_col).cast("string")))
 
 
 def language_id(docs: DataFrame, per_language: int = 400) -> DataFrame:
