@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialise
+from lodestone.llm.scratch import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, own: Scratch) -> DataFrame:
     """node, component (its smallest node) for every node that ``links`` (a, b) name."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = own.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        edges = own.put(_small_star(_large_star(edges)), "edges")
         new = _state(edges)
         if new == state:
             break

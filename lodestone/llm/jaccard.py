@@ -10,11 +10,10 @@ position filters are expanded to their members.  Members are compared by odd
 sketches (parities of hash buckets: two sketches differ in no more bits than the
 sets have unshared shingles), and what is left is verified on whole sets.
 
-No group is ever expanded to all its pairs.  Where a shingle (or a group) is shared
-by more than BUCKET sets, members are first compared with a few hubs only; what
-that links is one component.  Only pairs from different components are compared
-after that, so every component is exact, while the pairs inside one need no
-comparison.
+Where a shingle (or a group) is shared by more than BUCKET sets, members are first
+compared with a few hubs only; what that links is one component.  After that only
+pairs from different components are compared, so every component is exact, while
+no pair inside one is expanded.
 
 Frequent shingles (more than BUCKET sets) are counted over all sets, on the POOL
 smallest hashes of each, which is where prefixes come from.  The order of
@@ -35,23 +34,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.scratch import materialise, small_batches
+from lodestone.llm.scratch import Scratch, scratch, tidily
 from lodestone.llm.shingles import sets_of
 
 #: Sets that may share a shingle without hubs.
 BUCKET = 40
-#: Shingles that may count as frequent; they are sent to every task (8 bytes each).
+#: Shingles that may count as frequent; they are sent to every task (12 bytes each).
 MOST_FREQUENT = 2_000_000
-#: Ids that are sent to every task to pick documents; more are joined instead.
-MOST_SENT = 500_000
+#: Ids that are counted and then sent to every task to pick documents (8 bytes each); more are joined instead, which shuffles texts.
+MOST_SENT = 4_000_000
 #: Comparisons with hubs before pairs of different components are compared in full.
 HUB_ROUNDS = 1
 #: Longs of the sketch by which joins of long lists leave out pairs that can't link.
 SKETCH = 8
+#: Bits of a row's number below its task's.
+ROW_SHIFT = 40
 #: Shingles counted together in one task.
 COUNTED = 500_000
 
@@ -97,9 +99,10 @@ def _binaries(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _documents(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, sig, pool (the smallest hashes, ascending), odd and small (sketches)."""
+    """row (a number of its own), doc_id, n, sig, pool (the smallest hashes, ascending), odd and small (sketches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << ROW_SHIFT
         for batch in batches:
             n, sig, pool, odd, small = [], [], [], [], []
             for own in sets_of(batch.column(1), size):
@@ -108,13 +111,14 @@ def _documents(docs: DataFrame, size: int, num: int, den: int, id_col: str, text
                 pool.append(own[: _pool_size(len(own), num, den)])
                 odd.append(odd_sketch(own))
                 small.append(small_sketch(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "pool", "odd", "small"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["row", "doc_id", "n", "sig", "pool", "odd", "small"])
+            row += len(n)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, pool binary, odd binary, small array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidily(run), "row long, doc_id long, n long, sig binary, pool binary, odd binary, small array<long>")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The low halves of the shingles that more than BUCKET sets have, MOST_FREQUENT at most, ascending, and their counts."""
+    """The shingles that more than BUCKET sets have, MOST_FREQUENT at most, ascending, and their counts."""
     total = sets.agg(F.sum(F.octet_length("pool")).alias("n")).first()["n"] or 0
     parts = max(1, int(total) // 8 // COUNTED)
 
@@ -123,7 +127,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         size = 0
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                held.append(np.frombuffer(blob, np.uint64).astype(np.uint32))
+                held.append(np.frombuffer(blob, np.uint64))
                 size += len(held[-1])
             if size >= COUNTED:
                 yield put(np.concatenate(held))
@@ -133,19 +137,19 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def put(keys: np.ndarray) -> pa.RecordBatch:
         keys, counts = np.unique(keys, return_counts=True)
-        cuts = np.searchsorted(keys, (np.arange(1, parts) << 32) // parts)
+        cuts = np.searchsorted(keys, np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), _binaries(np.split(keys, cuts)), _binaries(np.split(counts.astype(np.uint32), cuts))], ["part", "keys", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys, counts = np.concatenate([keys, np.frombuffer(k, np.uint32)]), np.concatenate([counts, np.frombuffer(c, np.uint32)])
+                keys, counts = np.concatenate([keys, np.frombuffer(k, np.uint64)]), np.concatenate([counts, np.frombuffer(c, np.uint32)])
                 if len(keys) > 4 * COUNTED:
                     keys, counts = summed(keys, counts)
         keys, counts = summed(keys, counts)
         hot = counts > BUCKET
-        yield pa.RecordBatch.from_arrays([pa.array(keys[hot].astype(np.int64)), pa.array(counts[hot])], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[hot].view(np.int64)), pa.array(counts[hot])], ["key", "n"])
 
     def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(keys):
@@ -155,11 +159,11 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return keys[at], np.add.reduceat(counts, at)
 
-    found = sets.select("pool").mapInArrow(count, "part int, keys binary, counts binary").repartitionById(parts, F.col("part")).mapInArrow(add, "key long, n long")
+    found = sets.select("pool").mapInArrow(tidily(count), "part int, keys binary, counts binary").repartitionById(parts, F.col("part")).mapInArrow(tidily(add), "key long, n long")
     most = found.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow()
-    keys, counts = (most.column(c).to_numpy() for c in ("key", "n"))
+    keys, counts = most.column("key").to_numpy().view(np.uint64), most.column("n").to_numpy()
     order = np.argsort(keys, kind="stable")
-    return keys[order].astype(np.uint32), np.minimum(counts[order], (1 << 32) - 1).astype(np.uint32)
+    return keys[order], np.minimum(counts[order], (1 << 32) - 1).astype(np.uint32)
 
 
 def _counts(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -167,30 +171,32 @@ def _counts(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndar
     keys, counts = frequent
     if not len(keys):
         return np.zeros(len(own), dtype=np.uint32)
-    low = own.astype(np.uint32)
-    at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-    return np.where(keys[at] == low, counts[at], 0)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return np.where(keys[at] == own, counts[at], 0)
 
 
 def _texts_of(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """set_id, sig, text of the documents that ``sets`` (set_id, sig) come from: sent to every task if few, joined if not.
+    """set_id, sig, text of the documents that ``sets`` (set_id, doc, sig) come from: sent to every task if few, joined if not.
 
     A repeated id may bring texts of other sets; whoever reads a text compares its signature.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(F.broadcast(sets) if sets.count() <= MOST_SENT else sets, "set_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    found = rows.join(F.broadcast(sets) if sets.count() <= MOST_SENT else sets, "doc")
     return found.select("set_id", "sig", "text")
 
 
 class Join:
-    """The sets of a table of documents, and the links between them."""
+    """The sets of a table of documents, and the links between them.
 
-    def __init__(self, docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"):
+    A set's id is the number of a row that has it, so rows with one doc_id and different texts are different sets.
+    """
+
+    def __init__(self, docs: DataFrame, own: Scratch, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"):
         self.docs, self.size, self.num, self.den, self.cols = docs, size, num, den, (id_col, text_col)
-        self.spark = docs.sparkSession
-        self.documents = materialise(_documents(docs, size, num, den, id_col, text_col), "documents")
+        self.spark, self.own = docs.sparkSession, own
+        self.documents = own.put(_documents(docs, size, num, den, id_col, text_col), "documents")
         known = self.documents.where("n > 0 AND doc_id IS NOT NULL")
-        self.sets = materialise(known.groupBy("n", "sig").agg(F.min("doc_id").alias("set_id"), F.first("pool").alias("pool"), F.first("odd").alias("odd"), F.first("small").alias("small")), "sets")
+        self.sets = own.put(known.groupBy("n", "sig").agg(F.min("row").alias("set_id"), F.min_by("doc_id", "row").alias("doc"), F.min("doc_id").alias("least"), F.first("pool").alias("pool"), F.first("odd").alias("odd"), F.first("small").alias("small")), "sets")
         self.frequent = self.spark.sparkContext.broadcast(_frequent(self.sets))
 
     # -- prefixes
@@ -211,7 +217,7 @@ class Join:
                     out.append(own[np.argsort(often, kind="stable")[:p]].tobytes() if ready else None)
                 # What has its prefix needs no signature any more.
                 sig = pc.if_else(pc.is_null(prefix := pa.array(out, pa.binary())), batch.column(2), None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig, prefix], ["set_id", "n", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), sig, prefix], ["set_id", "n", "doc", "sig", "prefix"])
 
         def in_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,10 +229,10 @@ class Join:
                         at.append(i), n.append(len(own)), out.append(own[order[:p]].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["set_id", "n", "prefix"])
 
-        made = self.sets.select("set_id", "n", "sig", "pool").mapInArrow(from_pool, "set_id long, n long, sig binary, prefix binary")
-        made = materialise(made, "prefixes")
-        texts = _texts_of(self.docs, made.where("prefix IS NULL").select("set_id", "sig"), *self.cols)
-        full = texts.mapInArrow(in_full, "set_id long, n long, prefix binary").dropDuplicates(["set_id"])
+        made = self.sets.select("set_id", "n", "sig", "pool", "doc").mapInArrow(tidily(from_pool), "set_id long, n long, doc long, sig binary, prefix binary")
+        made = self.own.put(made, "prefixes")
+        texts = _texts_of(self.docs, made.where("prefix IS NULL").select("set_id", "doc", "sig"), *self.cols)
+        full = texts.mapInArrow(tidily(in_full), "set_id long, n long, prefix binary").dropDuplicates(["set_id"])
         return made.where("prefix IS NOT NULL").select("set_id", "n", "prefix").union(full)
 
     # -- candidates
@@ -252,11 +258,12 @@ class Join:
         prefixes = self._prefixes().withColumn("key", F.md5("prefix"))
         many = prefixes.groupBy("n", "key").agg(F.min("set_id").alias("group_id"), F.count("*").alias("members")).where("members > 1")
         # Groups of one need no row here.
-        grouped = materialise(prefixes.select("set_id", "n", "key").join(many, ["n", "key"]).select("set_id", "n", "group_id", "members"), "groups")
+        grouped = self.own.put(prefixes.select("set_id", "n", "key").join(many, ["n", "key"]).select("set_id", "n", "group_id", "members"), "groups")
         posted = self._posted(prefixes.select("set_id", "n", "prefix").join(grouped.where("set_id <> group_id").select("set_id"), "set_id", "left_anti"))
-        # Postings of shingles that more than one group has.
-        share = F.count("*").over(Window.partitionBy("token"))
-        posted = materialise(posted.withColumn("share", share).where("share > 1"), "postings")
+        # Postings of shingles that more than one group has; counted before the shuffle, and joined, so that a shingle of very many groups can be split.
+        posted = self.own.put(posted, "posted")
+        shares = posted.groupBy("token").agg(F.count("*").alias("share")).where("share > 1")
+        posted = self.own.put(posted.join(shares, "token"), "postings")
         few, hot = posted.where(F.col("share") <= BUCKET), posted.where(F.col("share") > BUCKET)
         inside = grouped.select(F.col("group_id").alias("token"), "set_id", "n", F.lit(0).cast("long").alias("pos"), F.col("members").alias("share"))
 
@@ -267,18 +274,18 @@ class Join:
         # What a shingle of many groups, or a group of many members, asks for: hubs first, then pairs across components.
         wide = grouped.join(hot.withColumnRenamed("set_id", "group_id"), "group_id").select("token", "set_id", "n", "pos", "share")
         lone = hot.join(grouped.select(F.col("set_id")), "set_id", "left_anti").select("token", "set_id", "n", "pos", "share")
-        lists = materialise(wide.union(lone).unionByName(inside), "lists")
+        lists = self.own.put(wide.union(lone).unionByName(inside), "lists")
         links, tried = self._verified(pairs), None
         if not lists.isEmpty():
             for turn in range(HUB_ROUNDS + 1):
                 open_ = self._open(lists, links)
-                open_ = materialise(open_, "open")
+                open_ = self.own.put(open_, "open")
                 if open_.isEmpty():
                     break
                 asked = self._hubs(open_, turn) if turn < HUB_ROUNDS else self._across(open_)
                 if tried is not None:
                     asked = asked.join(tried, ["a", "b"], "left_anti")
-                asked = materialise(asked, "asked")
+                asked = self.own.put(asked, "asked")
                 tried = asked if tried is None else tried.union(asked)
                 links = links.union(self._verified(asked))
         return links
@@ -301,7 +308,7 @@ class Join:
 
     def _open(self, lists: DataFrame, links: DataFrame) -> DataFrame:
         """The rows of lists that hold more than one component, with theirs."""
-        of = components(links).select(F.col("node").alias("set_id"), "component")
+        of = components(links, self.own).select(F.col("node").alias("set_id"), "component")
         small = self.sets.select("set_id", *(F.get("small", i).alias(f"s{i}") for i in range(SKETCH)))
         rows = lists.join(of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
@@ -351,19 +358,22 @@ class Join:
 
         own = self.sets.select("set_id", "n", "odd")
         met = pairs.join(own.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("x")), "a").join(own.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("y")), "b")
-        pairs = materialise(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(hopeful, "a long, b long"), "hopeful")
+        pairs = self.own.put(met.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(tidily(hopeful), "a long, b long"), "hopeful")
         ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        wanted = materialise(self.sets.select("set_id", "sig").join(ids, "set_id", "left_semi"), "wanted")
-        full = materialise(_texts_of(self.docs, wanted, *self.cols).mapInArrow(whole, "set_id long, hashes binary").dropDuplicates(["set_id"]), "whole")
+        wanted = self.own.put(self.sets.select("set_id", "doc", "sig").join(ids, "set_id", "left_semi"), "wanted")
+        full = self.own.put(_texts_of(self.docs, wanted, *self.cols).mapInArrow(tidily(whole), "set_id long, hashes binary").dropDuplicates(["set_id"]), "whole")
         met = pairs.join(full.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
-        return materialise(met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+        return self.own.put(met.select("a", "b", "x", "y").mapInArrow(tidily(check), "a long, b long"), "links")
 
     # -- results
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
-        of = components(self.links()).select(F.col("node").alias("set_id"), "component")
-        sets = self.sets.select("n", "sig", "set_id").join(of, "set_id", "left").select("n", "sig", F.coalesce("component", "set_id").alias("component"))
+        of = components(self.links(), self.own).select(F.col("node").alias("set_id"), "component")
+        sets = self.sets.select("n", "sig", "set_id", "least").join(of, "set_id", "left").select("n", "sig", "least", F.coalesce("component", "set_id").alias("of"))
+        sets = self.own.put(sets, "components")
+        lowest = sets.groupBy("of").agg(F.min("least").alias("component"))
+        sets = sets.join(lowest, "of").select("n", "sig", "component")
         rows = self.documents.select("doc_id", "n", "sig").join(sets, ["n", "sig"], "left")
         own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
         return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -371,8 +381,8 @@ class Join:
 
 def jaccard_classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * |A & B| >= num * |A | B|."""
-    with small_batches(docs.sparkSession):  # what is returned reads written tables only
-        return Join(docs, size, num, den, id_col, text_col).classes()
+    with scratch(docs.sparkSession, "jaccard") as own:
+        return own.keep(Join(docs, own, size, num, den, id_col, text_col).classes(), "classes")
 
 
 def one_of_each(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,9 +390,10 @@ def one_of_each(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, i
 
     Ids that go are sent to every task if few, joined if not, so texts are not shuffled.
     """
-    found = materialise(jaccard_classes(docs, size, num, den, id_col, text_col), "classes")
+    found = jaccard_classes(docs, size, num, den, id_col, text_col)
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    ids = materialise(ids.where("rows > 1 OR first = 0"), "ids")
+    with scratch(docs.sparkSession, "ids") as own:
+        ids = own.keep(ids.where("rows > 1 OR first = 0"), "ids")
 
     def without(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
         some = some.select(F.col("doc_id").alias(id_col))
