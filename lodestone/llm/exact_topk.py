@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialise
+from lodestone.llm.scratch import Scratch, scratch, tidily
 from lodestone.llm.vectors import best, blob, clean, gram, matrix, width
 
 #: Vectors of a candidate block, candidate blocks of a shard, vectors of a query block.
@@ -60,9 +60,14 @@ def exact_topk(rows: DataFrame, k: int = 5, every: int = 50, scale: float = 256.
 
     Queries are the rows whose id is divisible by ``every``.
     """
+    with scratch(rows.sparkSession, "topk", 10_000) as own:
+        return own.keep(_search(rows, own, k, every, scale, id_col, vec_col), "found")
+
+
+def _search(rows: DataFrame, own: Scratch, k: int, every: int, scale: float, id_col: str, vec_col: str) -> DataFrame:
     spark = rows.sparkSession
     schema = "query_id long, vec_id long, score long"
-    vectors = materialise(clean(rows, id_col, vec_col), "vectors")
+    vectors = own.put(clean(rows, id_col, vec_col), "vectors")
     d = width(vectors)
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -85,7 +90,7 @@ def exact_topk(rows: DataFrame, k: int = 5, every: int = 50, scale: float = 256.
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([nth], pa.int32()), pa.array([blob(own.column(0).to_numpy())], pa.binary()), pa.array([blob(m)], pa.binary())], ["shard", "block", "ids", "m"])
                 nth += 1
 
-    candidates = ordered.select("vec_id", "v").mapInArrow(to_blocks, "shard int, block int, ids binary, m binary")
+    candidates = ordered.select("vec_id", "v").mapInArrow(tidily(to_blocks), "shard int, block int, ids binary, m binary")
     # HEAD rows at most come to the driver.
     top = vectors.withColumn("length", length).orderBy(F.desc("length"), "vec_id").limit(HEAD).select("vec_id", "v").toArrow()
     head = spark.sparkContext.broadcast((top.column("vec_id").to_numpy(), scaled(matrix(top.column("v").combine_chunks(), d), scale)))
@@ -147,6 +152,6 @@ def exact_topk(rows: DataFrame, k: int = 5, every: int = 50, scale: float = 256.
     left = queries.repartition(shards, "shard").sortWithinPartitions("shard", "q_block")
     right = candidates.repartition(shards, "shard").sortWithinPartitions("shard", "block")
     pairs = left.join(right.hint("merge"), "shard").select("q_block", "q_ids", "q", "floor", "ids", "m")
-    found = pairs.mapInArrow(search, schema)
+    found = pairs.mapInArrow(tidily(search), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

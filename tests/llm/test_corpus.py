@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, langid, licenses, mixing
 from lodestone.llm.components import components
-from lodestone.llm.scratch import scratch_path
+from lodestone.llm.scratch import Scratch, scratch_path
 from lodestone.llm.sharding import Conflict, Shard, Store, shard
 from lodestone.llm.shingles import sets_of
 
@@ -142,6 +143,30 @@ def test_copies_of_a_high_rate_are_poisson(spark, rate):
     assert 0.6 < copies.var() / rate < 1.6
 
 
+@pytest.mark.parametrize("rate", [0.5, 50, 2000])
+def test_moments_of_copies(spark, rate):
+    """Mean and variance of a Poisson number are its rate; the bounds are five standard errors."""
+    n = 4000 if rate < 10 else 300
+    docs = spark.createDataFrame([(i, "text", "tiny") for i in range(n)] + [(n, "x" * int(2 * rate * 4 * n - 4 * n) if rate > 0.5 else "x" * 4 * n, "big")], "doc_id long, text string, source string")
+    weights = {"tiny": 0.5, "big": 0.5} if rate > 0.5 else {"tiny": 0.25, "big": 0.75}
+    copies = np.array([r["c"] for r in mixing.mix(docs, weights).where("source = 'tiny'").groupBy("doc_id").agg(F.max("_copies").alias("c")).collect()] + [0] * n)[:n]
+    assert abs(copies.mean() - rate) < 5 * math.sqrt(rate / n)
+    assert abs(copies.var() / rate - 1) < 5 * math.sqrt((2 + 1 / rate) / n)
+
+
+def test_small_weights_and_empty_sources(spark):
+    rows = [(i, "x" * 50, "a") for i in range(3000)] + [(3000 + i, "x" * 50, "b") for i in range(3000)] + [(6000 + i, "" if i % 2 else None, "none") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = Counter(r["source"] for r in mixing.mix(docs, {"a": 0.00002, "b": 0.00001}).collect())
+    assert set(n) == {"a", "b"} and abs(n["a"] / n["b"] - 2) < 0.3
+    kept = Counter(r["doc_id"] for r in mixing.mix(docs).where("source = 'none'").collect())
+    assert len(kept) == 40 and set(kept.values()) == {1}
+    assert Counter(r["doc_id"] for r in mixing.mix(docs, {"a": 1.0, "none": 1.0}).where("source = 'none'").collect()) == kept
+    assert mixing.mix(docs, {}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": -1.0})
+
+
 def test_mixing_messy_rows(messy, nothing):
     got = mixing.mix(messy)
     assert set(messy.columns) < set(got.columns)
@@ -149,8 +174,16 @@ def test_mixing_messy_rows(messy, nothing):
     assert set(per.values()) <= {1, 2}
     assert {r["doc_id"] for r in got.where("source IS NULL AND text IS NULL").collect()} <= {3}
     assert mixing.mix(nothing).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(messy.withColumn("_copy", F.lit(1)))
+
+
+def test_mixing_keeps_columns_named_like_ours(messy):
+    named = ["_copy", "_Copies", "_order", "_source", "source_", "_bytes", "rate", "below", "row", "key", "u", "of", "copies"]
+    wide = messy.select("*", *(F.lit(i).alias(c) for i, c in enumerate(named)))
+    got = mixing.mix(wide)
+    assert got.columns == [*wide.columns, "__copies", "__copy", "__order"]
+    plain = Counter((r["doc_id"], r["text"], r["_copy"]) for r in mixing.mix(messy).collect())
+    assert Counter((r["doc_id"], r["text"], r["__copy"]) for r in got.collect()) == plain
+    assert all(r[c] == i for r in got.collect() for i, c in enumerate(named))
 
 
 # --- language ---------------------------------------------------------------------
@@ -304,6 +337,86 @@ def test_components(spark):
     for a, b in links:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "components")).collect()}
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    b = " ".join(f"b{i}" for i in range(80))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "else"), (4, "other words here now")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 78): 1, (2, 79): 1, (3, 79): 1, (4, 1): 4, (4, 2): 4}
+
+
+def test_texts_are_joined_beyond_what_may_be_sent(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_SENT", 0)
+    a = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(10 * k + j, a[k] + " tail" * j) for k in range(4) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(docs).collect()} == {10 * k + j: 10 * k for k in range(4) for j in range(3)}
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == [0, 10, 20, 30]
+
+
+def test_learning_rows_are_bounded(spark, monkeypatch):
+    """Thousands of rows with one id, or that are equal, teach no more than per_language rows."""
+    seen = []
+    model = langid.Model
+
+    class Spy(model):
+        def __init__(self, x, lang):
+            seen.append(Counter(lang.tolist()))
+            super().__init__(x, lang)
+
+    monkeypatch.setattr(langid, "Model", Spy)
+    rows = [(None, f"word{i} and text", "aa") for i in range(3000)] + [(7, "the same text", "bb")] * 2000 + [(i, f"andere worte {i}", "bb") for i in range(300)]
+    langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10)
+    assert seen[0]["aa"] == 10 and seen[0]["bb"] <= 10
+    many = spark.createDataFrame([(i, "text", f"l{i}") for i in range(12)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.learn(many, 10, most_languages=5)
+
+
+def test_held_out_rows_teach_nothing(spark):
+    """held_out is crc32 of the id as text modulo 4 being 2, and a language that only such rows have is never predicted."""
+    rows = [(i, ("eins zwei drei" if zlib.crc32(str(i).encode()) % 4 == 2 else "one two three") + f" {i}", "de" if zlib.crc32(str(i).encode()) % 4 == 2 else "en") for i in range(200)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50).collect()
+    assert {r["doc_id"]: r["held_out"] for r in got} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
+    assert {r["lang_pred"] for r in got} == {"en"}
+
+
+def test_a_compaction_that_lost_a_race_doubles_nothing(spark, monkeypatch):
+    store = Store(spark, scratch_path(spark, "race"), 1 << 20)
+    for i in range(8):
+        store.append(spark.range(250 * i, 250 * i + 250).withColumn("_metadata", F.lit("m")).withColumn("_shard", F.lit(i)).coalesce(1))
+    other = Store(spark, store.root, 1 << 20)
+    merged, raced = Store._merged, []
+
+    def slow(self, run):
+        out = merged(self, run)
+        if self is store and not raced:
+            raced.append(1)
+            other.compact()  # another writer merges the same shards first
+        return out
+
+    monkeypatch.setattr(Store, "_merged", slow)
+    store.compact()
+    got = store.read()
+    assert raced and sorted(r["id"] for r in got.collect()) == list(range(2000))
+    assert got.columns == ["id", "_metadata", "_shard", "__shard"] and got.where("__shard LIKE 'part-%'").count() == 2000
+
+
+def test_an_append_that_lost_a_race_is_committed_again(spark, monkeypatch):
+    store = Store(spark, scratch_path(spark, "race"), 1 << 20)
+    commit, raced = Store._commit, []
+
+    def late(self, shards, base):
+        if not raced:
+            raced.append(1)
+            Store(spark, store.root, 1 << 20).append(spark.range(5).coalesce(1))
+        return commit(self, shards, base)
+
+    monkeypatch.setattr(Store, "_commit", late)
+    store.append(spark.range(5, 9).coalesce(1))
+    assert raced and sorted(r["id"] for r in store.read().collect()) == list(range(9))

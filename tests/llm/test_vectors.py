@@ -76,9 +76,9 @@ def _nearest(m, every, k):
 
 
 def test_ann_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ONE_LIST", 100)
-    monkeypatch.setattr(ann, "FLOOR_ROWS", 100)
     monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "LIST_ROWS", 40)
+    monkeypatch.setattr(ann, "PART_ROWS", 90)  # some lists have several parts
     m = _rows(1500, seed=4)
     got = ann_topk(_table(spark, m, [*ODD, (6000, [0.0] * 16, 0, None, 1, None)]), 20, 20).collect()
     want = _nearest(m, 20, 20)
@@ -91,6 +91,32 @@ def test_ann_recall(spark, monkeypatch):
     assert {r["query_id"] for r in got} == set(want) and hits >= 0.9 * 20 * len(want)
 
 
+def test_the_walk_opens_a_part_of_the_graph():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 6
+    c = centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16))
+    graph = Graph(c)
+    p = c[:200] + rng.normal(size=(200, 16)) * 0.1
+    which, dist = graph.search(p, 32)
+    assert graph.visited < 0.5 * len(c) * len(p)
+    true = np.sqrt(((p[:, None, :] - c[None, :, :]) ** 2).sum(2))
+    assert np.allclose(dist, np.take_along_axis(true, which, axis=1)) and (np.diff(dist, axis=1) >= 0).all()
+    assert all(len(set(row)) == 32 for row in which.tolist())
+    assert (true.argmin(axis=1) == which[:, 0]).mean() > 0.95
+
+
+def test_ann_copies_of_one_vector(spark, monkeypatch):
+    """A third of all rows is one vector: its list has several parts, and all of them count."""
+    monkeypatch.setattr(ann, "PART_ROWS", 50)
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    m = _rows(900, seed=6)
+    m[:300] = m[0]
+    got = ann_topk(_table(spark, m, []), 20, 100).collect()
+    for q in (0, 100, 200):
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [v for _, v in own] == [i for i in range(21) if i != q][:20]
+
+
 def test_ann_small_tables(spark):
     rows = _table(spark, _rows(6))
     assert ann_topk(rows, 20, 2).count() == 3 * 5
