@@ -48,8 +48,8 @@ BUCKET = 40
 MOST_FREQUENT = 2_000_000
 #: Ids that are counted and then sent to every task to pick documents (8 bytes each); more are joined instead, which shuffles texts.
 MOST_SENT = 4_000_000
-#: Comparisons with hubs before pairs of different components are compared in full.
-HUB_ROUNDS = 1
+#: Hubs of a list in each round, before pairs of different components are compared in full.
+HUBS = (1, 16)
 #: Longs of the sketch by which joins of long lists leave out pairs that can't link.
 SKETCH = 8
 #: Bits of a row's number below its task's.
@@ -277,12 +277,12 @@ class Join:
         lists = self.own.put(wide.union(lone).unionByName(inside), "lists")
         links, tried = self._verified(pairs), None
         if not lists.isEmpty():
-            for turn in range(HUB_ROUNDS + 1):
+            for turn in range(len(HUBS) + 1):
                 open_ = self._open(lists, links)
                 open_ = self.own.put(open_, "open")
                 if open_.isEmpty():
                     break
-                asked = self._hubs(open_, turn) if turn < HUB_ROUNDS else self._across(open_)
+                asked = self._hubs(open_, turn) if turn < len(HUBS) else self._across(open_)
                 if tried is not None:
                     asked = asked.join(tried, ["a", "b"], "left_anti")
                 asked = self.own.put(asked, "asked")
@@ -315,10 +315,15 @@ class Join:
         return rows.join(mixed.select("token"), "token").join(small, "set_id")
 
     def _hubs(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of a list's hub and its other members; the hub is another one each turn."""
+        """Pairs of a list's hubs and its other members.
+
+        Members are dealt to as many classes as there are hubs in this round, by a hash of the set, and each class's
+        least member is a hub, so lists with much the same members have much the same hubs.
+        """
         rest = [c for c in rows.columns if c not in ("token", "share", "component")]
         order = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("by"), *rest, "component") if turn else F.struct("component", *rest)
-        hub = rows.groupBy("token").agg(F.min(order).alias("hub")).select("token", "hub.*")
+        kind = F.pmod(F.xxhash64("set_id", F.lit(-turn)), F.lit(HUBS[turn]))
+        hub = rows.groupBy("token", kind.alias("kind")).agg(F.min(order).alias("hub")).select("token", "hub.*")
         met = rows.alias("a").join(hub.alias("b"), "token").where((F.col("a.component") != F.col("b.component")) & self._near("a", "b") & self._alike())
         return met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")).distinct()
 
