@@ -7,7 +7,7 @@ they are ranked, so that the order of a sum never decides a rank.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_term, raw_tokens, tokens
@@ -24,10 +24,27 @@ class Index:
         self.lengths = self.postings.groupBy("doc").agg(F.sum("tf").alias("length"))
         self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         # Documents without tokens count, too.
-        n = docs.agg(F.count("*").alias("n"))
+        n = self.counted = docs.agg(F.count("*").alias("n"))
         total = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
         self.stats = n.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl"))
 
+    def save(self, path: str) -> None:
+        """Write the index: postings (files sorted by term, dealt by term and document, so a very common term is spread), frequencies, lengths and statistics."""
+        self.postings.sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        saved = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        saved.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+        saved.groupBy("doc").agg(F.sum("tf").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+        total = saved.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
+        self.counted.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        """A saved index; searches read the written tables and tokenise no document."""
+        own = cls.__new__(cls)
+        own.postings, own.frequencies, own.lengths, own.stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies", "lengths", "stats"))
+        own.counted = own.stats.select("n")
+        return own
+
     def scores(self, queries: DataFrame, dedup_terms: bool = True) -> DataFrame:
         """query, doc, score for every document with a term of the query (query, text)."""
         asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))

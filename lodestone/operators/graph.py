@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import written
+
 
 def reference_edges(nodes: DataFrame, refs: str, edge_type: str) -> DataFrame:
     """An edge from a node to every node whose symbol its array ``refs`` names, but not to itself."""
@@ -67,15 +69,17 @@ def hubs(edges: DataFrame, k: int) -> DataFrame:
 def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int, edge_types: list[str] | None = None, max_nodes: int | None = None) -> DataFrame:
     """id, hop: nodes within ``hops`` steps of the seeds (id), either way along edges; at most ``max_nodes``, nearest first.
 
-    One join for each hop; what was reached before is left out of the next frontier.
+    One join for each hop; what was reached before is left out of the next frontier.  Every
+    frontier is written, so the plan of a hop doesn't hold those before it.
     """
     used = edges if edge_types is None else edges.where(F.col("edge_type").isin(edge_types))
     both = used.select("src", "dst").union(used.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    reached = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    frontier = reached
+    reached = frontier = written(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "frontier")
     for hop in range(1, hops + 1):
         step = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(reached, "id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = written(step.join(reached, "id", "left_anti").withColumn("hop", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
         reached = reached.union(frontier)
     return reached if max_nodes is None else reached.orderBy("hop", "id").limit(max_nodes)
 
@@ -154,3 +158,20 @@ def two_hops(edges: DataFrame, first: str, second: str) -> DataFrame:
     a = edges.where(F.col("edge_type") == first).select("src", F.col("dst").alias("via"))
     b = edges.where(F.col("edge_type") == second).select(F.col("src").alias("via"), "dst")
     return a.join(b, "via").select("src", "via", "dst")
+
+
+def unmatched(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Nodes of a symbol kind that no binary symbol names."""
+    kinds = ["function", "struct", "union", "enum", "macro"]
+    return nodes.where(F.col("node_type").isin(kinds)).join(symbols.select(F.col("name").alias("symbol_name")), "symbol_name", "left_anti").select(nodes.columns)
+
+
+def node_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """metric, key, n: nodes and edges in all, by type."""
+
+    def counted(rows: DataFrame, metric: str, key: str) -> DataFrame:
+        return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "key", "n")
+
+    total = nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("metric"), F.lit("").alias("key"), "n")
+    total = total.unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("metric"), F.lit("").alias("key"), "n"))
+    return total.unionByName(counted(nodes, "node_type", "node_type")).unionByName(counted(edges, "edge_type", "edge_type"))

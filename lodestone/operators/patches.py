@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import written
+
 LINE = "struct<line_no:int,text:string>"
 HUNK = f"diff_id string, hunk int, file_path string, old_start int, new_start int, before_context array<string>, removed_lines array<{LINE}>, added_lines array<{LINE}>, after_context array<string>"
 _HEADER = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -31,6 +33,8 @@ def parse_diff(text: str, root: str = "") -> Iterator[dict]:
             continue
         old, new = int(head[1]), int(head[3])
         left, right = int(head[2] or 1), int(head[4] or 1)
+        # A side without lines names the line before the change.
+        old, new = old + (left == 0), new + (right == 0)
         hunk = {"file_path": path, "old_start": old, "new_start": new, "before_context": [], "removed_lines": [], "added_lines": [], "after_context": []}
         while at < len(lines) and (left > 0 or right > 0):
             kind, body = lines[at][:1], lines[at][1:]
@@ -71,12 +75,16 @@ def apply_hunks(files: DataFrame, found: DataFrame) -> DataFrame:
     """path, line_no, text after all hunks of each path, by the original line numbers.
 
     Lines and hunks meet by path and line, so files are never gathered: removed lines
-    go, added lines come after the line before the change, and lines are numbered anew.
+    go, every added line comes after the kept line that is before it in its hunk, and
+    lines are numbered anew.
     """
     removed = found.select(F.col("file_path").alias("path"), F.explode("removed_lines").alias("x")).select("path", F.col("x.line_no").alias("line_no"), F.col("x.text").alias("old"))
-    kept = files.join(removed, ["path", "line_no"], "left_anti").select("path", F.col("line_no").cast("double").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("nth"), "text")
-    anchor = F.coalesce(F.get("removed_lines", 0)["line_no"] - 1, F.col("old_start") + F.size("before_context") - 1)
-    added = found.select(F.col("file_path").alias("path"), anchor.cast("double").alias("at"), F.lit(2).alias("turn"), F.posexplode("added_lines").alias("nth", "x")).select("path", "at", "turn", "nth", F.col("x.text").alias("text"))
+    kept = files.join(removed, ["path", "line_no"], "left_anti").select("path", F.col("line_no").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("nth"), "text")
+    added = found.select(F.col("file_path").alias("path"), "old_start", "new_start", "removed_lines", F.posexplode("added_lines").alias("nth", "x"))
+    # Lines of the hunk that stay before it, and how many removed ones lie between them.
+    stay = F.col("x.line_no") - F.col("new_start") - F.col("nth")
+    gone = F.size(F.filter("removed_lines", lambda r, i: r["line_no"] - F.col("old_start") - i < stay))
+    added = added.select("path", (F.col("old_start") - 1 + stay + gone).alias("at"), F.lit(2).alias("turn"), F.col("x.line_no").alias("nth"), F.col("x.text").alias("text"))
     order = Window.partitionBy("path").orderBy("at", "turn", "nth")
     return kept.union(added).withColumn("line_no", F.row_number().over(order)).select("path", "line_no", "text")
 
@@ -111,14 +119,14 @@ def tree_hash(manifest: DataFrame, by: str = "snapshot_id") -> DataFrame:
     return manifest.groupBy(by).agg(F.sha2(lines.cast("binary"), 256).alias("tree_hash"))
 
 
-def file_at(snapshots: DataFrame, files: DataFrame, snapshot_id: str, depth: int = 32) -> DataFrame:
-    """path, content as of a snapshot: the nearest version up its chain of parents (id, parent_id); files (snapshot_id, path, content)."""
-    chain = snapshots.where(F.col("id") == snapshot_id).select("id", "parent_id", F.lit(0).alias("depth"))
-    level = chain
-    for d in range(1, depth):
-        level = snapshots.join(level.select(F.col("parent_id").alias("id")), "id").select("id", "parent_id", F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
+def file_at(snapshots: DataFrame, files: DataFrame, snapshot_id: str) -> DataFrame:
+    """path, content as of a snapshot: the nearest version up its chain of parents (id, parent_id), however long; files (snapshot_id, path, content)."""
+    level = chain = written(snapshots.where(F.col("id") == snapshot_id).select("id", "parent_id", F.lit(0).alias("depth")), "chain")
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        step = snapshots.join(level.select(F.col("parent_id").alias("id")), "id").select("id", "parent_id", F.lit(depth).alias("depth"))
+        level = written(step.join(chain, "id", "left_anti"), "chain")
         chain = chain.union(level)
     met = files.join(chain.select(F.col("id").alias("snapshot_id"), "depth"), "snapshot_id")
     return met.groupBy("path").agg(F.min_by("content", "depth").alias("content"))

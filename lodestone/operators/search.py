@@ -19,16 +19,26 @@ def node_filter(node_type: str | None = None, path: str | None = None, prefix: b
     return found
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 8, digits: int = 6) -> DataFrame:
-    """query, rank, id, score by inner product; queries (query, q), rows (id, v).
+#: Rows of a block of a vector search.
+BLOCK_ROWS = 20_000
 
-    Queries go to every block of rows by an equi-join on the block number.
+
+def scored(queries: DataFrame, rows: DataFrame, digits: int = 6) -> DataFrame:
+    """query, id, score: inner products of queries (query, q) with all other rows (id, v).
+
+    Rows are cut into blocks by their number, and queries go to every block by an equi-join.
     """
+    blocks = max(8, -(-rows.count() // BLOCK_ROWS))
     spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     held = rows.withColumn("_block", F.pmod(F.hash("id"), F.lit(blocks)))
-    scored = held.join(spread, "_block").where(F.col("id") != F.col("query")).select("query", "id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
+    met = held.join(spread, "_block").where(F.col("id") != F.col("query"))
+    return met.select("query", "id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query, rank, id, score by inner product; queries (query, q), rows (id, v)."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    return scored(queries, rows, digits).withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 def pooled(chunks: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import written
+
 
 def time_split(date: Column, val: str, test: str) -> Column:
     """train before ``val``, val before ``test``, test from then on."""
@@ -30,18 +32,23 @@ def sampled(rows: DataFrame, seed: int, n: int, key: str, by: list[str]) -> Data
 
 
 def easy_negatives(queries: DataFrame, pool: DataFrame, seed: int, n: int) -> DataFrame:
-    """query, id, pick: n ids of other groups, without replacement.
+    """query, id, pick: n ids of other groups for every query, without replacement.
 
-    ``queries``: query, grp; ``pool``: id, grp.  Every group gets its own sample of n
-    ids from each other group first (n * groups rows a group), so no query meets the
-    whole pool.
+    ``queries``: query, grp; ``pool``: id, grp.  n ids of each group (n rows a group, in
+    a seeded order) form a ring; a query begins at a place of its own and takes the next
+    n of other groups, which are among the next 2n.  Queries meet the ring by an
+    equi-join on the place.
     """
     few = sampled(pool, seed, n, "id", ["grp"]).select("id", F.col("grp").alias("of"))
-    groups = queries.select("grp").distinct().withColumn("one", F.lit(1))
-    met = groups.join(few.withColumn("one", F.lit(1)), "one").where("grp <> of").drop("one")
-    own = F.row_number().over(Window.partitionBy("grp").orderBy(mixed(seed, F.col("grp"), F.col("id")), "id"))
-    chosen = met.withColumn("pick", own).where(F.col("pick") <= n).select("grp", "id", "pick")
-    return queries.join(chosen, "grp").select("query", "id", "pick")
+    ring = written(few.withColumn("place", F.row_number().over(Window.orderBy(mixed(seed, F.col("id")), "id")) - 1), "ring")
+    total = ring.count()
+    if not total:
+        return queries.select("query", F.lit(None).cast(pool.schema["id"].dataType).alias("id"), F.lit(0).alias("pick")).limit(0)
+    start = F.conv(F.substring(mixed(seed, F.col("query"), F.lit("start")), 1, 12), 16, 10).cast("long")
+    steps = queries.select("query", "grp", F.explode(F.sequence(F.lit(0), F.lit(min(2 * n, total) - 1))).alias("step"))
+    met = steps.withColumn("place", ((start + F.col("step")) % total).cast("int")).join(ring, "place").where("grp <> of")
+    pick = F.row_number().over(Window.partitionBy("query").orderBy("step"))
+    return met.withColumn("pick", pick).where(F.col("pick") <= n).select("query", "id", "pick")
 
 
 def symbol_queries(nodes: DataFrame) -> DataFrame:
@@ -52,10 +59,95 @@ def sentence_queries(nodes: DataFrame, sentence: Column) -> DataFrame:
     return nodes.withColumn("query", sentence).where("query IS NOT NULL").select("query", F.array("id").alias("positives"), F.lit(0.3).alias("difficulty"), F.lit("docstring").alias("source"))
 
 
-def caller_queries(edges: DataFrame, most: int = 100) -> DataFrame:
-    """callee, callers: the first ``most`` callers by id of every callee that has two at least."""
-    ranked = edges.select("src", "dst").distinct().withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).withColumn("n", F.count("*").over(Window.partitionBy("dst")))
-    return ranked.where((F.col("n") > 1) & (F.col("r") <= most)).groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("positives"), F.max("n").alias("n_callers"))
+def caller_queries(edges: DataFrame) -> DataFrame:
+    """dst, positive, n_callers: one row for every caller of every callee, so that a callee of very many callers is many rows."""
+    pairs = edges.select("src", "dst").distinct()
+    n = pairs.groupBy("dst").agg(F.count("*").alias("n_callers"))
+    return pairs.join(n, "dst").select("dst", F.col("src").alias("positive"), "n_callers")
+
+
+#: What well-known subsystems are about.
+TOPICS = {
+    "mm": "memory management",
+    "kernel": "core kernel",
+    "fs": "filesystem",
+    "net": "networking",
+    "drivers": "device drivers",
+    "arch": "architecture",
+    "block": "block I/O",
+    "crypto": "cryptography",
+    "ipc": "inter-process communication",
+    "security": "security",
+    "sound": "audio",
+    "lib": "library utilities",
+}
+
+
+def subsystem_queries(nodes: DataFrame) -> DataFrame:
+    """query, positives (the five longest), difficulty, source of every subsystem with three nodes at least; nodes (id, subsystem, size)."""
+    best = largest_of_each(nodes, "subsystem", "size", "id")
+    topic = F.coalesce(F.create_map(*(F.lit(x) for pair in TOPICS.items() for x in pair))[F.col("subsystem")], F.regexp_replace("subsystem", "_", " "))
+    listed = best.groupBy("subsystem").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("positives"))
+    return listed.select(F.concat(F.lit("explain "), topic, F.lit(" in "), "subsystem").alias("query"), "positives", F.lit(0.6).alias("difficulty"), F.lit("subsystem").alias("source"))
+
+
+def generated(parts: list[DataFrame], seed: int = 42, most: int = 2000) -> DataFrame:
+    """query, positives, difficulty, source, place: at most ``most`` rows of each strategy, in a seeded order of all."""
+    kept = [p.orderBy(mixed(seed, F.col("query"), F.col("positives").cast("string")), "query").limit(most) for p in parts]
+    rows = kept[0]
+    for p in kept[1:]:
+        rows = rows.unionByName(p)
+    return rows.withColumn("place", mixed(seed, F.col("source"), F.col("query"), F.col("positives").cast("string")))
+
+
+def batches(rows: DataFrame, size: int, seed: int, key: str) -> DataFrame:
+    """Rows with batch and slot: a seeded order cut into batches of about ``size`` by a hash, so no task sees all rows.  ``key`` names a row."""
+    n = F.lit(max(1, -(-rows.count() // size)))
+    return rows.withColumn("batch", (F.conv(F.substring(mixed(seed, F.col(key)), 1, 12), 16, 10).cast("long") % n).cast("int")).withColumn("slot", F.row_number().over(Window.partitionBy("batch").orderBy(mixed(seed, F.col(key), F.lit("slot")), key)))
+
+
+def held_out_share(rows: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
+    """Rows with ``split``: val for a seeded ``percent`` of the keys, else train."""
+    digits = F.conv(F.substring(mixed(seed, F.col(key)), 1, 12), 16, 10).cast("long") % 100
+    return rows.withColumn("split", F.when(digits < percent, "val").otherwise("train"))
+
+
+def mined(log: DataFrame, starts: DataFrame, ranges: DataFrame, width: int = 256) -> DataFrame:
+    """Commits with the functions that their hunks touch, fit for training.
+
+    ``log``: sha, date, subject, files; ``starts``: sha, file, line (a hunk's first new line);
+    ``ranges``: sha, file, start, end, ordinal, name (functions of that revision).
+    """
+    from lodestone.operators.asof import range_first
+
+    own = ranges.select("sha", "file", "start", "end", "ordinal", "name")
+    met = range_first(starts.select("sha", "file", "line").distinct(), own, "line", ["sha", "file"], "ordinal", width)
+    ids = met.groupBy("sha").agg(F.array_sort(F.collect_set(F.concat_ws("::", "file", "match.name"))).alias("positives"))
+    return useful_commits(log.join(ids, "sha"))
+
+
+def enriched(scores: DataFrame, positives: DataFrame, groups: DataFrame, pool: DataFrame, k: int = 16, least: int = 8, seed: int = 42) -> DataFrame:
+    """query, hard (ids), easy (ids), gap, difficulty.
+
+    ``scores``: query, doc, score; ``positives``: query, doc; ``groups``: query, grp; ``pool``: id, grp.
+    Hard negatives are of the query's own group, or of any where that gives fewer than ``least``.
+    """
+    from lodestone.operators import bm25
+
+    # Read several times below.
+    scores, positives = written(scores, "scores"), written(positives, "positives")
+    same = scores.join(pool.select(F.col("id").alias("doc"), "grp"), "doc").join(groups, ["query", "grp"], "left_semi").select("query", "doc")
+    close = bm25.hard_negatives(scores, positives, k, same)
+    short = positives.select("query").distinct().join(close.groupBy("query").agg(F.count("*").alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < least).select("query")
+    wide = bm25.hard_negatives(scores.join(short, "query", "left_semi"), positives, k)
+    hard = written(close.join(short, "query", "left_anti").select("query", "rank", "doc", "score").unionByName(wide.select("query", "rank", "doc", "score")), "hard")
+    easy = easy_negatives(groups, pool, seed, 8)
+    marked = bm25.difficulty_rank(bm25.difficulty_gap(scores, positives, hard))
+
+    def listed(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+        return rows.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias(name))
+
+    return marked.join(listed(hard, "rank", "doc", "hard"), "query", "left").join(listed(easy, "pick", "id", "easy"), "query", "left")
 
 
 def largest_of_each(rows: DataFrame, by: str, size: str, key: str, k: int = 5, least: int = 3) -> DataFrame:
@@ -65,11 +157,14 @@ def largest_of_each(rows: DataFrame, by: str, size: str, key: str, k: int = 5, l
     return rows.withColumn("n", n).withColumn("rank", rank).where((F.col("n") >= least) & (F.col("rank") <= k)).drop("n")
 
 
-def useful_commits(commits: DataFrame, most: int = 8) -> DataFrame:
-    """Commits (subject, files, positives) fit for training."""
-    noise = r"(?i)^(Merge |Revert |Linux \d|.*\b(whitespace|typo|spelling|checkpatch|coding style|MAINTAINERS)\b)"
-    size = F.size("positives")
-    return commits.where(~F.col("subject").rlike(noise) & (F.length("subject") >= 20) & size.between(1, most) & ~F.forall("files", lambda f: f.endswith(".h")))
+#: Fixed value: subjects that teach nothing.
+NOISE = r"(?i)^(Merge |Revert |Linux \d|MAINTAINERS|Signed-off|fixup!|CHROMIUM:|ANDROID:|[Bb]ump version)"
+
+
+def useful_commits(commits: DataFrame, least: int = 1, most: int = 8) -> DataFrame:
+    """Commits (subject, files, positives) fit for training: no noise, a subject of 20 characters, positives, and more than headers."""
+    named = ~F.col("subject").rlike(NOISE) & (F.length("subject") >= 20)
+    return commits.where(named & F.size("positives").between(least, most) & ~F.forall("files", lambda f: f.endswith(".h")))
 
 
 def training_items(triplets: DataFrame, negatives: int, epoch: int, total: int, seed: int, hard_ratio: float = 1.0) -> DataFrame:

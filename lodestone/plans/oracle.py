@@ -118,14 +118,14 @@ def _rerank(weights: str, default: str, source: str, k: int) -> str:
 
 _SIMILAR = f"""sim AS (
         SELECT q.vec_id AS query, round({_DOT.format("q.embedding", "c.embedding")}, 6) AS score, c.vec_id = q.vec_id + 1 AS is_positive
-        FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id % 50 = 1
+        FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
     )"""
 
 ORACLE: dict[str, str] = {
     "bm25_term_stats": f"WITH {_BM25} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term",
     "bm25_corpus_stats": f"WITH {_BM25} SELECT CAST(n AS BIGINT) AS n, round(avg_dl, 6) AS avg_dl FROM stats",
     "bm25_topk": f"WITH {_scores()} SELECT query, CAST(r AS INTEGER) AS rank, doc, score FROM placed WHERE r <= 10",
-    "bm25_score_pairs": f"WITH {_scores(False)} SELECT query, doc, score FROM scores WHERE doc IN (SELECT doc_id FROM documents WHERE source = 'src0')",
+    "bm25_score_pairs": f"WITH {_scores(False)} SELECT query, doc, score FROM scores",
     "hard_negatives": f"WITH {_scores()}, {_negatives()} SELECT query, CAST(rank AS INTEGER) AS rank, doc, score FROM negatives",
     "hard_negatives_prefix": f"""WITH {_scores()}, best AS (SELECT p.query, d.source FROM placed p JOIN documents d ON d.doc_id = p.doc WHERE p.r = 1),
         {_negatives("(SELECT d.source FROM documents d WHERE d.doc_id = p.doc) = (SELECT b.source FROM best b WHERE b.query = p.query)")}
@@ -133,13 +133,13 @@ ORACLE: dict[str, str] = {
     "difficulty_gap": f"WITH {_GAPS} SELECT query, gap FROM gaps",
     "difficulty_rank": f"WITH {_GAPS} SELECT query, gap, round(1.0::DOUBLE - (rank() OVER (ORDER BY gap) - 1) / CAST(greatest(count(*) OVER () - 1, 1) AS DOUBLE), 6) AS difficulty FROM gaps",
     "gap_summary": f"WITH {_GAPS} SELECT min(gap) AS low, round(quantile_cont(gap, 0.5), 6) AS mid, max(gap) AS high FROM gaps",
-    "knn_exact": _knn("q.vec_id % 100 = 0", "TRUE", 10),
-    "knn_filtered": _knn("q.vec_id % 100 = 0", "v.label = 3", 10),
+    "knn_exact": _knn("q.vec_id % 50 = 0", "TRUE", 10),
+    "knn_filtered": _knn("q.vec_id % 50 = 0", "v.label = 3", 10),
     "cosine_pairs": f"""SELECT a.vec_id AS id, round({_DOT.format("a.embedding", "b.embedding")} / (sqrt({_DOT.format("a.embedding", "a.embedding")}) * sqrt({_DOT.format("b.embedding", "b.embedding")})), 6) AS cosine
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "centroid_pool": """WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(list_transform(embedding, lambda e: e::DOUBLE)) AS x FROM embeddings) GROUP BY label, pos)
         SELECT label, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m""",
-    "edges_by_type": f"WITH {_EDGES} SELECT src, dst, edge_type FROM edges WHERE edge_type IN ('PLACED_BY', 'LIVES_IN', 'SITS_IN', 'IN_REGION')",
+    "edges_by_type": f"WITH {_EDGES} SELECT src, dst, edge_type FROM edges WHERE edge_type <> 'NONE'",
     "edge_counts": f"WITH {_EDGES} SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type",
     "degree": f"WITH {_EDGES} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id",
     "hub_topk": f"WITH {_EDGES} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 20",
@@ -147,7 +147,7 @@ ORACLE: dict[str, str] = {
     "bfs_2hop": f"{_bfs(2)} SELECT id, CAST(hop AS INTEGER) AS hop FROM h2",
     "bfs_typed": f"""{_bfs(2, "edge_type IN ('PLACED_BY', 'PART_OF')")} SELECT id, CAST(hop AS INTEGER) AS hop FROM h2""",
     "bfs_capped": f"{_bfs(2)} SELECT id, CAST(hop AS INTEGER) AS hop FROM h2 ORDER BY hop, id LIMIT 25",
-    "induced_subgraph": f"{_bfs(2)} SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM h2) AND dst IN (SELECT id FROM h2)",
+    "induced_subgraph": f"{_bfs(2)}, own AS MATERIALIZED (SELECT DISTINCT id FROM h2) SELECT src, dst, edge_type FROM edges SEMI JOIN own a ON src = a.id SEMI JOIN own b ON dst = b.id",
     "two_hop_path": f"WITH {_EDGES} SELECT a.src, a.dst AS via, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.edge_type = 'PLACED_BY' AND b.edge_type = 'LIVES_IN'",
     "callers_of": "SELECT 'o' || o_orderkey AS id, o_orderpriority AS symbol_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name = (SELECT min(n_name) FROM nation)",
     "callees_of": "SELECT 'c' || c_custkey AS id, n_name AS symbol_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderpriority = '2-HIGH'",
@@ -174,11 +174,8 @@ ORACLE: dict[str, str] = {
     "upper_median": "SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS upper_median FROM events GROUP BY event_type",
     "slide": """WITH u AS (SELECT user_id, CAST(max(floor(epoch_us(ts) / 1000000)) - min(floor(epoch_us(ts) / 1000000)) AS BIGINT) AS s FROM events WHERE user_id BETWEEN 1 AND 8 GROUP BY user_id)
         SELECT list_sort(list(s))[count(*) // 2 + 1] AS slide FROM u""",
-    "link_left_anti": "SELECT c_mktsegment, count(*) AS unmatched FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_mktsegment",
     "link_verified": """SELECT CAST(s_nationkey AS VARCHAR) AS name, s_suppkey AS addr_start, s_suppkey + 5 AS live_addr, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_custkey = s_suppkey + 5) AS verified FROM supplier""",
-    "type_pivot": "SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY lang",
-    "graph_stats": f"WITH {_EDGES} SELECT id[1] AS kind, count(DISTINCT id) AS nodes, count(*) AS ends FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1",
-    "hybrid_search": f"""WITH e AS (SELECT query AS src, id AS dst FROM ({_knn("q.vec_id % 10 = 0", "TRUE", 5)})),
+    "hybrid_search": f"""WITH e AS (SELECT query AS src, id AS dst FROM ({_knn("TRUE", "TRUE", 5)})),
         p AS (SELECT id FROM ({_knn("q.vec_id = 0", "TRUE", 8)})), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
         h0 AS (SELECT id, 0 AS hop FROM p), h1 AS (SELECT id, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT b.dst, 1 FROM b JOIN h0 ON b.src = h0.id) GROUP BY id),
         h2 AS (SELECT id, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT b.dst, 2 FROM b JOIN h1 ON b.src = h1.id) GROUP BY id),
@@ -200,16 +197,13 @@ ORACLE: dict[str, str] = {
         FROM documents, (SELECT unnest(range(0, 4)) AS e)""",
     "synth_symbol": "SELECT 'how does ' || p_name || ' work' AS query, p_partkey AS positive, 0.5::DOUBLE AS difficulty FROM part",
     "synth_sentence": r"SELECT query, positive FROM (SELECT doc_id AS positive, regexp_extract(regexp_replace(text, '[ \n\t]+', ' ', 'g'), '^(.*?\.) ', 1) AS query FROM documents) WHERE length(query) BETWEEN 15 AND 300",
-    "synth_caller_callee": """WITH e AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders), r AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS r, count(*) OVER (PARTITION BY dst) AS n FROM e)
-        SELECT dst, max(n) AS n_callers, CAST(count(*) AS INTEGER) AS kept, string_agg(src, ',' ORDER BY src) AS callers FROM r WHERE n > 1 AND r <= 100 GROUP BY dst""",
     "synth_topk_len": "SELECT doc_id, source, n_chars, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, source, n_chars, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE n >= 3 AND rank <= 5",
-    "easy_negatives_hash": """WITH few AS (SELECT doc_id AS id, source AS s FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 8),
-        c AS (SELECT g.source AS grp, few.id, row_number() OVER (PARTITION BY g.source ORDER BY md5('42:' || g.source || ':' || few.id), few.id) AS pick FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 10 = 0) g JOIN few ON few.s <> g.source)
-        SELECT d.doc_id AS query, c.id, CAST(c.pick AS INTEGER) AS pick FROM documents d JOIN c ON c.grp = d.source WHERE d.doc_id % 10 = 0 AND c.pick <= 8""",
-    "commit_filter": r"""SELECT doc_id, CAST(length(s) AS INTEGER) AS size FROM (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents)
-        WHERE length(s) >= 20 AND NOT regexp_matches(s, '(?i)^(Merge |Revert |Linux \d|.*\b(whitespace|typo|spelling|checkpatch|coding style|MAINTAINERS)\b)')""",
+    "easy_negatives_hash": """WITH few AS (SELECT doc_id AS id, source AS s, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 8),
+        t AS (SELECT count(*) AS total FROM few), q AS (SELECT doc_id AS query, source, CAST('0x' || substr(md5('42:' || doc_id || ':start'), 1, 12) AS BIGINT) % total AS start, unnest(range(0, least(16, total))) AS j, total FROM documents, t),
+        m AS (SELECT query, few.id, row_number() OVER (PARTITION BY query ORDER BY j) AS pick FROM q JOIN few ON few.pos = (start + j) % total WHERE few.s <> q.source)
+        SELECT query, id, CAST(pick AS INTEGER) AS pick FROM m WHERE pick <= 8""",
     "dedup_last_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
-    "ordered_distinct": "SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL)[1:20], ' ') AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
+    "ordered_distinct": "WITH w AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS p FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)), f AS (SELECT doc_id, x, min(p) AS p FROM w GROUP BY ALL) SELECT doc_id, md5(string_agg(x, ' ' ORDER BY p)) AS words, count(*) AS n FROM f GROUP BY doc_id",
     "regex_rules_first_match": r"""SELECT page_id, CASE WHEN regexp_full_match(url, 'https://[^/]*\.example\.org/.*') THEN 'secure-org' WHEN regexp_full_match(url, 'https?://[^/]*\.example\.(com|net)/de/.*') THEN 'german'
         WHEN regexp_full_match(url, '.*\?page=\d+.*') THEN 'paged' WHEN regexp_full_match(url, 'http://.*') THEN 'plain' END AS rule FROM pages""",
     "tree_hash": "SELECT source AS snapshot_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS tree_hash FROM (SELECT source, 'doc/' || doc_id || ' ' || sha256(text) AS line FROM documents) GROUP BY source",

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import address, text
 from lodestone.functions.vectors import cosine, embedder, hash_embedding
-from lodestone.operators import asof, bm25, graph, metrics, patches, search, traindata
+from lodestone.operators import asof, bm25, evaluate, graph, metrics, patches, paths, prompts, proposals, search, store, traindata
 from lodestone.sources import c_source, debug_info, texts
+from lodestone.sources import texts as text_sources
 from lodestone.streaming import index
 
 C = {
@@ -232,3 +233,133 @@ def test_streaming_index(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "postings"))
     assert got.count() == 6 and got.where("term = 'cfs'").first()["tf"] == 2
     assert index.arrivals(docs).isStreaming
+
+
+# --- added with the workflows ----------------------------------------------------------
+
+
+def test_noise_of_commits(spark):
+    long = " of a driver that is long enough"
+    subjects = ["Merge branch" + long, "revert \"x\"" + long, "Linux 6.1" + long, "fixup! fix" + long, "ANDROID: fix" + long, "CHROMIUM: fix" + long, "Bump version" + long, "Signed-off-by" + long, "MAINTAINERS: add" + long, "mm: fix a typo in the whitespace checkpatch complains about", "short"]
+    rows = spark.createDataFrame([(s, ["a.c"], ["a.c::f"]) for s in subjects] + [("a subject that is long enough", ["a.h"], ["x"]), ("another subject that is long", ["a.h", "b.c"], []), ("another subject that is long", ["a.c"], ["x"] * 9)], "subject string, files array<string>, positives array<string>")
+    assert [r["subject"] for r in traindata.useful_commits(rows).collect()] == ["mm: fix a typo in the whitespace checkpatch complains about"]
+
+
+def test_additions_come_after_their_own_lines(spark):
+    diff = "--- a/f\n+++ b/f\n@@ -1,5 +1,5 @@\n-a\n b\n c\n+new\n d\n-e\n+E\n"
+    pure = "--- a/g\n+++ b/g\n@@ -1,0 +2,2 @@\n+x\n+y\n"
+    found = patches.hunks(spark.createDataFrame([("p", diff), ("q", pure)], "diff_id string, text string"))
+    files = spark.createDataFrame([("f", "a\nb\nc\nd\ne\n"), ("g", "1\n2\n"), ("h", "same")], "path string, content string")
+    after, before = proposals.applied(files, found)
+    assert {r["path"]: r["content"] for r in after.collect()} == {"f": "b\nc\nnew\nd\nE\n", "g": "1\nx\ny\n2\n", "h": "same"}
+    assert {r["path"]: r["content"] for r in proposals.reverted(after, before).collect()} == {r["path"]: r["content"] for r in files.collect()}
+
+
+def test_strict_application_refuses(spark):
+    diff = "--- a/f\n+++ b/f\n@@ -1,1 +1,1 @@\n-other\n+new\n"
+    found = patches.hunks(spark.createDataFrame([("p", diff)], "diff_id string, text string"))
+    files = spark.createDataFrame([("f", "a\n")], "path string, content string")
+    with pytest.raises(proposals.Conflict):
+        proposals.applied(files, found)
+    assert proposals.dry_run(files, found).first()["conflicts"] == 1
+    assert proposals.applied(files, found, strict=False)[0].first()["content"] == "new\n"
+
+
+def test_long_chains_of_snapshots(spark):
+    snaps = spark.createDataFrame([(f"s{i}", f"s{i - 1}" if i else None) for i in range(40)], "id string, parent_id string")
+    files = spark.createDataFrame([("s0", "old", "0"), ("s3", "mid", "3"), ("s0", "mid", "0"), ("s39", "new", "39")], "snapshot_id string, path string, content string")
+    assert {(r["path"], r["content"]) for r in patches.file_at(snaps, files, "s39").collect()} == {("old", "0"), ("mid", "3"), ("new", "39")}
+
+
+def test_deep_anonymous_members(spark):
+    rows = [("s", "", "t0", 0, 8)] + [(f"t{i}", "", f"t{i + 1}", 1, 8) for i in range(12)] + [("t12", "x", "int", 2, 4)]
+    members = spark.createDataFrame(rows, "parent string, name string, type string, byte_offset int, byte_size int")
+    assert [(r["field"], r["byte_offset"]) for r in debug_info.layouts(members).where("struct_name = 's'").collect()] == [("x", 14)]
+
+
+def test_lines_of_files_by_suffix(spark):
+    rows = spark.createDataFrame([(10, "a/b/c.c", 5, True), (11, "x/c.c", 5, True), (12, "a/b/c.c", 6, True), (13, "a/b/c.c", 5, False)], "address long, file_path string, line int, is_stmt boolean")
+    wanted = spark.createDataFrame([("b/c.c", 5), ("c.c", 6)], "file string, line int")
+    assert sorted((r["file"], r["address"]) for r in debug_info.addresses_of(rows, wanted).collect()) == [("b/c.c", 10), ("c.c", 12)]
+
+
+def test_neighbourhood_of_many_hops(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "E") for i in range(8)], "src string, dst string, edge_type string")
+    seeds = spark.createDataFrame([("n0",)], "id string")
+    for hops in range(1, 7):
+        assert sorted((r["id"], r["hop"]) for r in graph.neighborhood(edges, seeds, hops).collect()) == [(f"n{i}", i) for i in range(hops + 1)]
+
+
+def test_prompt_shrinks_and_is_marked(spark):
+    rows = spark.createDataFrame([(1, "q", "s", ["b" * 1000] * 14, ""), (2, "q", "s", ["b" * 90_000], "l" * 90_000), (3, "q", "s", [], None)], "query int, question string, system string, blocks array<string>, live string")
+    got = {r["query"]: r for r in prompts.assembled(rows, 2000).collect()}
+    assert got[1]["nodes"] == 4 and "truncated" not in got[1]["prompt"]
+    assert got[2]["nodes"] == 1 and got[2]["prompt"].count("[truncated for token budget]") == 2 and got[2]["tokens"] <= 2000
+    assert got[3]["nodes"] == 0
+
+
+def test_providers():
+    prompts.PROVIDERS["echo"] = lambda model, prompt: iter([model, ":", prompt])
+    assert prompts.answer("echo:m1", "hi") == "m1:hi" and prompts.provider("llama3") == ("ollama", "llama3")
+    with pytest.raises(LookupError):
+        prompts.answer("llama3", "hi")
+
+
+def test_gold_ids_of_files_and_symbols(spark):
+    nodes = spark.createDataFrame([("a.c::f", "f"), ("b.c::f", "f"), ("a.c::g", "g")], "id string, symbol_name string")
+    gold = spark.createDataFrame([(1, ["z"], None, None), (2, None, ["g", "none"], ["a.c", "b.c"])], "query int, relevant_ids array<string>, expected_symbols array<string>, expected_files array<string>")
+    assert sorted((r["query"], r["id"]) for r in evaluate.gold_ids(gold, nodes).collect()) == [(1, "z"), (2, "a.c::g")]
+
+
+def test_first_rule_that_matches_a_whole_path(spark):
+    asked = spark.createDataFrame([("/proc/12/stat",), ("/proc/12/status",), ("/proc/meminfo",), ("/proc/meminfo2",), (" /sys/block/sda/queue/scheduler ",)], "path string")
+    got = {r["path"]: (r["functions"], r["confidence"]) for r in paths.scanned(asked, paths.rules(spark)).collect()}
+    assert got["/proc/12/stat"] == (["do_task_stat"], "high") and got["/proc/12/status"][0] == ["proc_pid_status"]
+    assert got["/proc/meminfo2"] == ([], "low") and got["/sys/block/sda/queue/scheduler"][1] == "high"
+    assert paths and [r["q"] for r in asked.limit(1).select(paths.scan_query(F.col("path")).alias("q")).collect()] == ["sysfs attribute stat show read write store handler function 12 kernel"]
+
+
+def test_saved_index_equals_the_one_in_memory(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, ""), (4, None)], "doc long, text string")
+    index = bm25.Index(docs)
+    index.save(f"file://{tmp_path}/i")
+    asked = spark.createDataFrame([(7, "beta alpha")], "query long, text string")
+    assert sorted(bm25.Index.load(spark, f"file://{tmp_path}/i").search(asked).collect()) == sorted(index.search(asked).collect())
+
+
+def test_a_store_without_versions_is_empty(spark, tmp_path):
+    own = store.Store(spark, f"file://{tmp_path}/s", "id string, symbol_name string, node_type string, layer int")
+    assert own.nodes.count() == 0 and own.edges.count() == 0
+    own.add(spark.createDataFrame([("a", "f", "function", 1)], own.nodes.schema))
+    assert own.get(spark.createDataFrame([("a",), ("b",)], "id string")).count() == 1
+    assert own.find(spark.createDataFrame([("f",)], "symbol_name string")).count() == 1
+
+
+def test_reports_and_logs(spark, tmp_path):
+    one = spark.createDataFrame([(1, 0.5)], "query int, recall double")
+    store.write_report(one, one, f"file://{tmp_path}/r")
+    assert spark.read.json(f"file://{tmp_path}/r/queries").count() == 1
+    log = spark.createDataFrame([("abc|2024-01-02T03:04:05+00:00|mm: fix | it\na.c\nREADME",), ("def|2023-01-02|x\nREADME",)], "value string")
+    assert [tuple(r[c] for c in ("sha", "subject", "files")) for r in text_sources.commits(log).collect()] == [("abc", "mm: fix | it", ["a.c"])]
+    starts = text_sources.hunk_starts(spark.createDataFrame([("s", "f", "@@ -1,2 +3,4 @@\n+a\n@@ -9 +12 @@\n")], "sha string, file string, text string"))
+    assert [r["line"] for r in starts.orderBy("nth").collect()] == [3, 12]
+
+
+def test_file_names_of_units(spark):
+    lines = spark.createDataFrame([(1, 1, 10), (1, 2, 11)], "cu int, file_no int, line int")
+    files = spark.createDataFrame([(1, 1, "/build/linux/mm", "slab.c")], "cu int, file_no int, dir string, name string")
+    assert {r["line"]: r["file_path"] for r in debug_info.file_names(lines, files).collect()} == {10: "mm/slab.c", 11: None}
+
+
+def test_scratch_is_refused_on_a_cluster(spark, monkeypatch):
+    from lodestone import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.plans import catalog, oracle
+from lodestone.plans import catalog, oracle, workflows  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
@@ -40,15 +40,21 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_chunks_cover_the_text(spark):
-    from lodestone.functions.text import chunk_one
+def test_chunks(spark):
+    """Forward progress, ends at line feeds, overlap, whole coverage."""
+    from pyspark.sql import functions as F
 
-    for text in ("", "a" * 1800, "a" * 1801, ("line of text\n" * 400), "x" * 5000):
-        parts = chunk_one(text, 1800, 200)
-        assert all(len(p) <= 1800 for p in parts) and bool(parts) == bool(text)
+    from lodestone.functions.text import chunks
+
+    texts = ["", None, "a" * 1800, "a" * 1801, "line of text\n" * 400, "x" * 5000, "y" * 150 + "\n" + "z" * 4000, "\n" * 4000, "\n" + "w" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", chunks(F.col("text")).alias("c")).collect()
+    for r in rows:
+        text, parts = texts[r["i"]] or "", r["c"] or []
+        assert all(0 < len(p) <= 1800 for p in parts) and bool(parts) == bool(text)
+        assert len(parts) <= 3 * len(text) // 1600 + 3
         at = 0
         for p in parts:
-            found = text.index(p, max(0, at - 200) if at else 0)
-            assert found <= at
-            at = found + len(p)
+            assert any(text.startswith(p, start) for start in range(max(0, at - 200), at + 1))
+            at = max(start for start in range(max(0, at - 200), at + 1) if text.startswith(p, start)) + len(p)
         assert at == len(text)
+    assert [len(p) for p in rows[6]["c"]] == [150, 1800, 1800, 801]
