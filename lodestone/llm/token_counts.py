@@ -2,14 +2,14 @@
 
 Method: texts are cut into the tokenizer's pre-tokens (``chunks``).  Every slice
 of texts (about SLICE_BYTES) is one block: its distinct pre-tokens, and for each
-document how often it has which of them.  The distinct pre-tokens of all blocks
-are one table, in which each is counted once by the tokenizer's model; the counts
-are joined back to the blocks' pre-tokens, and a document's tokens are the sum of
-frequency times count.  No token ids are made.
+document how often it has which of them.  The blocks' distinct pre-tokens are
+brought together by pre-token, and each is counted once by the tokenizer's model;
+the counts are joined to the blocks' frequencies, and a document's tokens are the
+sum of frequency times count.  No token ids are made.
 
 What is shuffled is a block's distinct pre-tokens and its packed frequencies, not
-words.  A pre-token of all blocks is one row a block, summed before the shuffle
-and split by AQE in the join; a block is bounded by its slice of text.
+words.  However common, a pre-token is one row for each block (20 MB of text); a
+block is bounded by its slice of text.
 
 Where chunks can't be pre-tokenized by themselves (a tokenizer that is neither
 byte-level nor has word ends, and in byte-level ones texts that hold a special
@@ -38,7 +38,7 @@ from lodestone.llm.scratch import scratch, tidily
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Bytes of text of a block.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 20 << 20
 #: Bits of a block's number below its task's.
 TASK_SHIFT = 32
 
@@ -103,10 +103,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             yield pa.RecordBatch.from_arrays(columns, ["block", "words", "ids", "sizes", "apart", "pairs", "delta", "counts"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of the pre-token, so each is counted once, also where its rows go on in the next batch."""
         model = encoder(tokenizer_path).tokenizer.model
+        last, worth = None, 0
         for batch in batches:
-            n = [len(model.tokenize(written(w))) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["word", "n"])
+            coded = batch.column(2).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            n = [worth if w == last else len(model.tokenize(written(w))) for w in words]
+            if words:
+                last, worth = words[-1], n[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()).take(coded.indices)], ["block", "place", "n"])
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         worth = np.zeros(left.num_rows, dtype=np.int64)
@@ -128,7 +134,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
         kinds = "block long, words array<string>, ids array<long>, sizes array<long>, apart array<long>, pairs binary, delta binary, counts binary"
         blocks = own.put(rows.mapInArrow(tidily(to_blocks), kinds), "blocks")
         places = blocks.select("block", F.posexplode("words").alias("place", "word"))
-        counted = places.select("word").distinct().mapInArrow(tidily(pieces), "word string, n int")
-        met = places.join(counted, "word").select("block", "place", "n")
+        # One shuffle brings the rows of a pre-token together, a row for each block that has it.
+        met = places.repartition("word").sortWithinPartitions("word").mapInArrow(tidily(pieces), "block long, place int, n int")
         packed = blocks.select(F.col("block").alias("own"), "ids", "sizes", "apart", "pairs", "delta", "counts")
         return own.keep(met.groupBy("block").cogroup(packed.groupBy("own")).applyInArrow(summed, SCHEMA), "counts")
