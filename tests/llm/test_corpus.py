@@ -339,7 +339,7 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "components")).collect()}
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "components")).count() == 0
 
 
 def test_repeated_ids_with_different_texts_lose_no_link(spark):
