@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import huffman, licenses
+from lodestone.llm import chat_format, huffman, licenses
 from lodestone.llm.ann import ann_topk
+from lodestone.llm.branch_merge import Edit, Editor, merge_edits
 from lodestone.llm.exact_topk import exact_topk
 from lodestone.llm.jaccard import jaccard_classes
 from lodestone.llm.langid import language_id
@@ -72,6 +74,39 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_topk(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says the template's own markers, formatted, written and read back."""
+    own = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat_format.round_trip(turns, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def coded_edits(branch: str, added: int) -> Editor:
+    """The edits of a branch that the crc32 of "branch:doc_id:name" modulo 17 decides; a row of code 3 or 4 adds row ``added`` - doc_id."""
+
+    def edit(doc_id: int | None, cells: list[str], lines: list[str]) -> Edit:
+        seed = zlib.crc32(f"{branch}:{'' if doc_id is None else doc_id}:".encode())
+        code = lambda name: zlib.crc32(name, seed) % 17
+        row = code(b"row")
+        new = [("", f"{c}!", f"{c}?")[k] if (k := code(name)) < 3 else c for c, name in zip(cells, (b"lang", b"source"), strict=True)]
+        leaves = []
+        for i, line in enumerate(lines):
+            k = code(b"%d" % i)
+            if k < 3:
+                leaves.append((2 * i, (None, f"{line}!", f"{line}?")[k]))
+            elif k < 5:
+                leaves.append((2 * i + 1, "!?"[k - 3]))
+        return Edit(row == 0, new, leaves, [(added - doc_id, cells, "!?"[row - 3])] if row in (3, 4) and doc_id is not None else [])
+
+    return edit
+
+
+def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches L and R of documents, merged."""
+    rows = merge_edits(table(spark, sf_dir, "documents"), coded_edits("L", -1), coded_edits("R", -5))
+    return rows.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -83,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_ann": op10_ann,
+    "op11_chat_format": op11_chat_format,
+    "op12_branch_merge": op12_branch_merge,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +164,96 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_chat_format": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(17 + length(role) + length(text)
+                        + len(regexp_extract_all(role || chr(10) || text, '(?:\\[\\\\*/?INST\\]|<\\\\*/s>|<\\\\*\\|endoftext\\|>)'))) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+    "op12_branch_merge": """
+        WITH RECURSIVE steps AS (
+            SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) r(i)
+            UNION ALL
+            SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8
+        ), bytes AS (
+            SELECT list(c ORDER BY i) AS crc FROM steps WHERE k = 8
+        ), base AS (
+            SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), names AS (
+            SELECT doc_id, unnest(['row', 'lang', 'source']) AS name FROM base
+            UNION ALL
+            SELECT doc_id, CAST(unnest(range(len(lines))) AS VARCHAR) FROM base
+        ), codes AS (
+            SELECT b.branch, n.doc_id, n.name,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(b.branch || ':' || n.doc_id || ':' || n.name, ''), lambda x: CAST(ord(x) AS BIGINT))),
+                       lambda c, x: xor(c // 256, crc[CAST(xor(c, x) % 256 AS BIGINT) + 1])), 4294967295) % 17 AS code
+            FROM names n, (SELECT unnest(['L', 'R']) AS branch) b, bytes
+        ), pairs AS (
+            SELECT l.doc_id, l.name, l.code AS l, r.code AS r
+            FROM codes l JOIN codes r ON l.branch = 'L' AND r.branch = 'R' AND l.doc_id = r.doc_id AND l.name = r.name
+        ), cells AS (
+            SELECT p.doc_id, p.name, v.value,
+                   CASE p.l WHEN 0 THEN '' WHEN 1 THEN v.value || '!' WHEN 2 THEN v.value || '?' ELSE v.value END AS l,
+                   CASE p.r WHEN 0 THEN '' WHEN 1 THEN v.value || '!' WHEN 2 THEN v.value || '?' ELSE v.value END AS r
+            FROM pairs p JOIN (SELECT doc_id, 'lang' AS name, lang AS value FROM base UNION ALL SELECT doc_id, 'source', source FROM base) v USING (doc_id, name)
+        ), lines AS (
+            SELECT p.doc_id, CAST(p.name AS BIGINT) AS i, b.lines[CAST(p.name AS BIGINT) + 1] AS line, p.l, p.r
+            FROM pairs p JOIN base b USING (doc_id) WHERE p.name NOT IN ('row', 'lang', 'source')
+        ), leaves AS (
+            SELECT doc_id, i, 0 AS gap, line, CASE WHEN l < 3 THEN l END AS l, CASE WHEN r < 3 THEN r END AS r FROM lines
+            UNION ALL
+            SELECT doc_id, i, 1, NULL, CASE WHEN l IN (3, 4) THEN l - 2 END, CASE WHEN r IN (3, 4) THEN r - 2 END FROM lines
+        ), chosen AS (
+            SELECT doc_id, i, gap,
+                   CASE coalesce(l, r, 9) WHEN 9 THEN line WHEN 0 THEN NULL WHEN 1 THEN coalesce(line, '') || '!' WHEN 2 THEN coalesce(line, '') || '?' END AS merged,
+                   CASE coalesce(l, 9) WHEN 9 THEN line WHEN 0 THEN NULL WHEN 1 THEN coalesce(line, '') || '!' WHEN 2 THEN coalesce(line, '') || '?' END AS ours,
+                   l IS NOT NULL AS l_changed, r IS NOT NULL AS r_changed,
+                   l IS NOT NULL AND r IS NOT NULL AND l <> r AS conflict, l = 0 OR r = 0 AS drops
+            FROM leaves
+        ), texts AS (
+            SELECT doc_id, string_agg(merged, chr(10) ORDER BY i, gap) AS merged, string_agg(ours, chr(10) ORDER BY i, gap) AS ours,
+                   bool_or(l_changed) AS l_changed, bool_or(r_changed) AS r_changed,
+                   count(*) FILTER ((l_changed OR r_changed) AND NOT conflict) AS clean, count(*) FILTER (conflict AND gap = 0 AND NOT drops) AS ee,
+                   count(*) FILTER (conflict AND gap = 0 AND drops) AS ed, count(*) FILTER (conflict AND gap = 1) AS ii
+            FROM chosen GROUP BY doc_id
+        ), columns AS (
+            SELECT doc_id, max(CASE WHEN l <> value THEN l ELSE r END) FILTER (name = 'lang') AS lang, max(CASE WHEN l <> value THEN l ELSE r END) FILTER (name = 'source') AS source,
+                   max(l) FILTER (name = 'lang') AS l_lang, max(l) FILTER (name = 'source') AS l_source,
+                   bool_or(l <> value) AS l_changed, bool_or(r <> value) AS r_changed,
+                   count(*) FILTER ((l <> value OR r <> value) AND (l = value OR r = value OR l = r)) AS clean,
+                   count(*) FILTER (l <> value AND r <> value AND l <> r) AS ee
+            FROM cells GROUP BY doc_id
+        ), rows AS (
+            SELECT t.doc_id, p.l = 0 AS l_gone, p.r = 0 AS r_gone, t.l_changed OR c.l_changed AS l_changed, t.r_changed OR c.r_changed AS r_changed,
+                   c.lang, c.source, c.l_lang, c.l_source, coalesce(t.merged, '') AS merged, coalesce(t.ours, '') AS ours,
+                   t.clean + c.clean AS clean, t.ee + c.ee AS ee, t.ed, t.ii
+            FROM texts t JOIN columns c USING (doc_id) JOIN pairs p ON p.doc_id = t.doc_id AND p.name = 'row'
+        ), kept AS (
+            SELECT *, NOT l_gone AND NOT r_gone AS stays, NOT l_gone AND r_gone AND l_changed AS by_left,
+                   (l_gone AND NOT r_gone AND r_changed) OR (r_gone AND NOT l_gone AND l_changed) AS conflict
+            FROM rows
+        ), added AS (
+            SELECT CASE branch WHEN 'L' THEN -1 ELSE -5 END - c.doc_id AS doc_id, branch, b.lang, b.source, CASE code WHEN 3 THEN '!' ELSE '?' END AS text
+            FROM codes c JOIN base b USING (doc_id) WHERE name = 'row' AND code IN (3, 4)
+        ), news AS (
+            SELECT doc_id, coalesce(l.lang, r.lang) AS lang, coalesce(l.source, r.source) AS source, coalesce(l.text, r.text) AS text,
+                   coalesce(l.lang <> r.lang OR l.source <> r.source OR l.text <> r.text, false) AS conflict
+            FROM (SELECT * FROM added WHERE branch = 'L') l FULL JOIN (SELECT * FROM added WHERE branch = 'R') r USING (doc_id)
+        )
+        SELECT doc_id, CASE WHEN stays THEN lang WHEN by_left THEN l_lang END AS lang, CASE WHEN stays THEN source WHEN by_left THEN l_source END AS source,
+               CASE WHEN stays THEN sha256(merged) WHEN by_left THEN sha256(ours) END AS text_sha256,
+               CAST(CASE WHEN stays THEN clean WHEN conflict THEN 0 ELSE 1 END AS BIGINT) AS n_clean, CAST(CASE WHEN stays THEN ee ELSE 0 END AS BIGINT) AS n_edit_edit,
+               CAST(CASE WHEN stays THEN ed WHEN conflict THEN 1 ELSE 0 END AS BIGINT) AS n_edit_delete, CAST(CASE WHEN stays THEN ii ELSE 0 END AS BIGINT) AS n_insert_insert
+        FROM kept
+        UNION ALL
+        SELECT doc_id, lang, source, sha256(text), CAST(NOT conflict AS BIGINT), 0, 0, CAST(conflict AS BIGINT) FROM news
+    """,
 }
