@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, huffman, licenses
+from lodestone.llm import chat_format, huffman, licenses, prefix_trie
 from lodestone.llm.ann import ann_topk
 from lodestone.llm.branch_merge import Edit, Editor, merge_edits
 from lodestone.llm.exact_topk import exact_topk
@@ -107,6 +107,11 @@ def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each with its head taken from the first of its hundred."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
     "op11_chat_format": op11_chat_format,
     "op12_branch_merge": op12_branch_merge,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -256,4 +262,43 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT doc_id, lang, source, sha256(text), CAST(NOT conflict AS BIGINT), 0, 0, CAST(conflict AS BIGINT) FROM news
     """,
+    "op13_prefix_trie": """
+        WITH RECURSIVE steps AS (
+            SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) r(i)
+            UNION ALL
+            SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8
+        ), bytes AS (
+            SELECT list(c ORDER BY i) AS crc FROM steps WHERE k = 8
+        ), own AS (
+            SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), heads AS (
+            SELECT o.conv_id, o.turns, b.turns AS others,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(o.conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                       lambda c, x: xor(c // 256, crc[CAST(xor(c, x) % 256 AS BIGINT) + 1])), 4294967295) % 6 AS h
+            FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100, bytes
+        ), rebuilt AS (
+            SELECT conv_id, list_concat(coalesce(others[1:h], []), turns[h + 1:]) AS turns FROM heads
+        ), prefixes AS (
+            SELECT conv_id, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt
+        ), members AS (
+            SELECT conv_id, size, depth, turns[1:depth] AS prefix FROM prefixes
+        ), nodes AS (
+            SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth > 0 THEN length(any_value(prefix)[depth].text) ELSE 0 END AS chars,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+            FROM members GROUP BY depth, prefix
+        ), linked AS (
+            SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+        ), children AS (
+            SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+        ), counted AS (
+            SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c USING (depth, prefix)
+        ), below AS (
+            SELECT a.depth AS depth, a.prefix AS prefix, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved
+            FROM counted a JOIN (SELECT *, unnest(range(depth + 1)) AS up FROM counted) b ON a.depth = b.up AND a.prefix = b.prefix[1:b.up]
+            GROUP BY ALL
+        )
+        SELECT c.conv_id, c.depth, c.parent_conv_id, c.n_convs, c.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+        FROM counted c JOIN below b USING (depth, prefix)
+    """,
 }
