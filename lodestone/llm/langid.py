@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.chunks import gathered
-from lodestone.llm.scratch import scratch, small_batches, tidily, tidy
+from lodestone.llm.scratch import scratch, tidily, tidy
 
 #: Hashed features for grams of 1, 2, 3 and 4 bytes.
 GRAMS = ((1, 256), (2, 1024), (3, 2048), (4, 2048))
@@ -134,24 +134,36 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, per_language: int = 400, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on at most ``per_language`` different learning rows of each language; None without any.
+def learn(docs: DataFrame, per_language: int = 400, most_languages: int = 200, most_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Fit on at most ``per_language`` different learning rows of each language, and ``most_rows`` of all; None without any.
 
-    More than ``most_languages`` languages are refused with a ValueError: both numbers bound what comes to the driver.
+    Of more than ``most_languages`` languages those with the most different rows are learned (ties by name); the
+    others can't be predicted.  The three numbers bound what comes to the driver.
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not sizes:
-        return None
-    # Rows below a share of the hashes that leaves a few times per_language of each language; the smallest hashes among them are the sample.
-    share = F.create_map(*(F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, (4 * per_language + 64) / n))))
-    drawn = rows.withColumn("mix", F.xxhash64("id", "text")).where(F.shiftrightunsigned("mix", 11).cast("double") < share[F.col("lang")] * F.lit(float(1 << 53)))
-    # Equal rows teach once, so a group of copies is one row before the shuffle.
-    once = drawn.groupBy("lang", "mix").agg(F.min("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix"))
-    sample = once.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "mix", "text")
+    rows = rows.withColumn("mix", F.xxhash64("id", "text"))
+    with scratch(docs.sparkSession, "learning") as own:
+        # Equal rows count and teach once, so a group of copies is one row before the shuffle.
+        different = own.put(rows.select("lang", "mix").distinct(), "different")
+        sizes = different.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+        learned = [r["lang"] for r in sizes.collect()]
+        if not learned:
+            return None
+        each = min(per_language, max(1, most_rows // len(learned)))
+        # The smallest hashes of each language: a task sends on no more than these of what it has read.
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix"))
+        drawn = different.where(F.col("lang").isin(learned)).withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "mix")
+        drawn = own.put(drawn, "drawn")
+        sample = rows.join(F.broadcast(drawn), ["lang", "mix"]).groupBy("lang", "mix").agg(F.min("text").alias("text"))
+        found = _features_of(sample)
+    # One order, whatever the order of the rows, so that the same rows give the same model.
+    found = found.sort_by([("lang", "ascending"), ("mix", "ascending")]).combine_chunks()
+    x = np.frombuffer(found.column("x").chunk(0).buffers()[2], dtype=np.float32, count=found.num_rows * SIZE).reshape(-1, SIZE)
+    return Model(x, np.array(found.column("lang").to_pylist()))
+
+
+def _features_of(sample: DataFrame) -> pa.Table:
+    """lang, mix, x of a bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,12 +172,7 @@ def learn(docs: DataFrame, per_language: int = 400, most_languages: int = 200, i
                 x = features(pc.cast(own.column(2), pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "mix", "x"])
 
-    with small_batches(docs.sparkSession):
-        found = sample.mapInArrow(tidily(run), "lang string, mix long, x binary").toArrow()
-    # One order, whatever the order of the rows, so that the same rows give the same model.
-    found = found.sort_by([("lang", "ascending"), ("mix", "ascending")]).combine_chunks()
-    x = np.frombuffer(found.column("x").chunk(0).buffers()[2], dtype=np.float32, count=found.num_rows * SIZE).reshape(-1, SIZE)
-    return Model(x, np.array(found.column("lang").to_pylist()))
+    return sample.mapInArrow(tidily(run), "lang string, mix long, x binary").toArrow()
 
 
 def predictions(texts: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
