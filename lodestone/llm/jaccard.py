@@ -46,8 +46,10 @@ from lodestone.llm.shingles import sets_of
 BUCKET = 40
 #: Shingles that may count as frequent; they are sent to every task (12 bytes each).
 MOST_FREQUENT = 2_000_000
-#: Ids that are counted and then sent to every task to pick documents (8 bytes each); more are joined instead, which shuffles texts.
-MOST_SENT = 4_000_000
+#: Bytes that may be sent to every task to pick documents; more are joined instead, which shuffles texts.
+MOST_SENT = 64 << 20
+#: Bytes of a row that is sent, in Spark's hash map: a long alone, and (doc, set_id, sig).
+KEY_BYTES, SET_BYTES = 56, 128
 #: Hubs of a list in each round, before pairs of different components are compared in full.
 HUBS = (1, 16)
 #: Longs of the sketch by which joins of long lists leave out pairs that can't link.
@@ -98,8 +100,13 @@ def _binaries(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
+def _twin(id_col: str, text_col: str) -> Column:
+    """A row's key: 64 bits of its id and text, so that of two rows a wrong one is taken for the other once in 2 ** 64."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(id_col).isNull())
+
+
 def _documents(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """row (a number of its own), doc_id, n, sig, pool (the smallest hashes, ascending), odd and small (sketches)."""
+    """row (a number of its own), doc_id, twin (its key), n, sig, pool (the smallest hashes, ascending), odd and small (sketches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << ROW_SHIFT
@@ -111,10 +118,10 @@ def _documents(docs: DataFrame, size: int, num: int, den: int, id_col: str, text
                 pool.append(own[: _pool_size(len(own), num, den)])
                 odd.append(odd_sketch(own))
                 small.append(small_sketch(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["row", "doc_id", "n", "sig", "pool", "odd", "small"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _binaries(pool), pa.array(odd, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["row", "doc_id", "twin", "n", "sig", "pool", "odd", "small"])
             row += len(n)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidily(run), "row long, doc_id long, n long, sig binary, pool binary, odd binary, small array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _twin(id_col, text_col).alias("twin")).mapInArrow(tidily(run), "row long, doc_id long, twin long, n long, sig binary, pool binary, odd binary, small array<long>")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +188,7 @@ def _texts_of(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> D
     A repeated id may bring texts of other sets; whoever reads a text compares its signature.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(F.broadcast(sets) if sets.count() <= MOST_SENT else sets, "doc")
+    found = rows.join(F.broadcast(sets) if sets.count() * SET_BYTES <= MOST_SENT else sets, "doc")
     return found.select("set_id", "sig", "text")
 
 
@@ -373,39 +380,46 @@ class Join:
     # -- results
 
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every document."""
+        """doc_id, twin, of (a number of its component), n_shingles, component_id of every document."""
         of = components(self.links(), self.own).select(F.col("node").alias("set_id"), "component")
         sets = self.sets.select("n", "sig", "set_id", "least").join(of, "set_id", "left").select("n", "sig", "least", F.coalesce("component", "set_id").alias("of"))
         sets = self.own.put(sets, "components")
         lowest = sets.groupBy("of").agg(F.min("least").alias("component"))
-        sets = sets.join(lowest, "of").select("n", "sig", "component")
-        rows = self.documents.select("doc_id", "n", "sig").join(sets, ["n", "sig"], "left")
+        sets = sets.join(lowest, "of").select("n", "sig", "of", "component")
+        rows = self.documents.select("doc_id", "twin", "n", "sig").join(sets, ["n", "sig"], "left")
         own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        return rows.select("doc_id", "twin", "of", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def jaccard_classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * |A & B| >= num * |A | B|."""
     with scratch(docs.sparkSession, "jaccard") as own:
-        return own.keep(Join(docs, own, size, num, den, id_col, text_col).classes(), "classes")
+        return own.keep(Join(docs, own, size, num, den, id_col, text_col).classes().drop("twin", "of"), "classes")
 
 
 def one_of_each(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each class; of rows with the same id and text one stays.
+    """``docs`` with one row of each class: that of its smallest id, and of several texts under that id the one of the smallest hash.
 
-    Ids that go are sent to every task if few, joined if not, so texts are not shuffled.
+    Rows without words or an id are alone in their class; of rows with the same id and text one stays.  Rows are told
+    apart by id and text (``_twin``), so a repeated id whose texts lie in different classes loses or keeps each by its
+    own.  Keys of rows that go are sent to every task if few, joined if not.
     """
-    found = jaccard_classes(docs, size, num, den, id_col, text_col)
-    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    with scratch(docs.sparkSession, "ids") as own:
-        ids = own.keep(ids.where("rows > 1 OR first = 0"), "ids")
-
-    def without(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        some = some.select(F.col("doc_id").alias(id_col))
-        return rows.join(F.broadcast(some) if some.count() <= MOST_SENT else some, id_col, how)
-
-    kept = without(docs, ids.where("first = 0"), "left_anti")
-    again = ids.where("rows > 1 AND first = 1")
+    with scratch(docs.sparkSession, "copies") as own:
+        found = Join(docs, own, size, num, den, id_col, text_col).classes()
+        alone, first = (F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id") == F.col("component_id")
+        state = F.when(alone, 2).when(first, 1).otherwise(0)
+        rows = own.put(found.groupBy("twin").agg(F.count("*").alias("rows"), F.max(state).alias("state"), F.max("of").alias("of")), "rows")
+        best = rows.where("state = 1").groupBy("of").agg(F.min("twin").alias("best"))
+        stays = (F.col("state") == 2) | ((F.col("state") == 1) & (F.col("twin") == F.col("best")))
+        judged = own.keep(rows.join(best, "of", "left").select("twin", "rows", stays.alias("stays")).where("rows > 1 OR NOT stays"), "judged")
+    gone, again = judged.where("NOT stays").select(F.col("twin").alias("_twin")), judged.where("stays").select(F.col("twin").alias("_twin"))
+
+    def met(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(some) if some.count() * KEY_BYTES <= MOST_SENT else some, "_twin", how)
+
+    packed = docs.select(_twin(id_col, text_col).alias("_twin"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    kept = met(packed, gone, "left_anti")
     if again.isEmpty():
-        return kept.select(docs.columns)
-    return without(kept, again, "left_anti").select(docs.columns).union(without(kept, again, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns))
+        return kept.select("_row.*")
+    once = met(kept, again, "left_semi").groupBy("_twin").agg(F.first("_row").alias("_row"))
+    return met(kept, again, "left_anti").select("_row.*").union(once.select("_row.*"))
