@@ -4,7 +4,7 @@ Method: Poisson replication.  A source's mean rate is its target share of all
 bytes over its own bytes.  Each row's copies are a Poisson number with that mean,
 found by inverting the distribution at a uniform number hashed from seed, id and
 text; rows are exploded by their copies and shuffled globally by a hash of seed,
-id and copy.
+id, text and copy.
 
 A rate above MOST_RATE is split into equal parts of at most that, since exp(-rate)
 leaves the normal doubles near 708; a sum of independent Poisson numbers is one.
@@ -118,8 +118,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     below = rates(docs, weights, power, source_col, text_col).select("source", table.alias("below"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    # The number is hashed before the join, so that the text isn't read again after it; the row is one column, so no name clashes.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).cast("string").alias("of"), key.alias("key"), uniform(F.lit(str(seed)), key, F.md5(text.cast("binary"))).alias("u"))
+    # The numbers are hashed before the join, so that the text isn't read again after it; the row is one column, so no name clashes.
+    digest = F.md5(text.cast("binary"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).cast("string").alias("of"), F.concat_ws(":", key, digest).alias("key"), uniform(F.lit(str(seed)), key, digest).alias("u"))
     met = rows.join(below, F.col("of").eqNullSafe(F.col("source"))).select("row", "key", _copies(F.col("u"), F.col("below")).alias("copies"))
     each = met.where(F.col("copies") > 0).select("row", "key", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "key", F.col("copy").cast("string"), F.lit("order")).cast("binary")), 1, 15)

@@ -155,7 +155,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, CAST(unnest(generate_series(1, copies)) AS INTEGER) AS copy FROM counted
         )
         SELECT doc_id, text, lang, source, n_chars, copies, copy,
-               CAST('0x' || substr(md5('7:' || doc_id || ':' || copy || ':order'), 1, 15) AS BIGINT) AS shuffle_key
+               CAST('0x' || substr(md5('7:' || doc_id || ':' || md5(text) || ':' || copy || ':order'), 1, 15) AS BIGINT) AS shuffle_key
         FROM each
     """,
     "op5_exact_topk": """
