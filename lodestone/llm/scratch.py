@@ -28,15 +28,21 @@ _SETTING = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: The folder of our own, where none is set; the setting can't be changed in a running session.
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, without a trailing slash."""
     found = spark.conf.get(_SETTING, None)
+    if not found and _own:
+        return _own[0]
     if not found:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"set {_SETTING} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set(_SETTING, found)
+        _own.append(found)
     return found.rstrip("/")
 
 

@@ -130,9 +130,13 @@ class Store:
         return self._publish(lambda shards: shards + new)
 
     def _columns(self, df: DataFrame) -> None:
-        """The schema of the store, which an empty version needs."""
+        """The schema of the store, which an empty version needs; rows of another are refused, as none of their columns may get lost."""
         if not self._fs.exists(self._path(f"{self.root}/schema")):
             df.limit(0).write.mode("overwrite").parquet(f"{self.root}/schema")
+        known, own = ({f.name: f.dataType for f in s} for s in (self._schema(), df.schema))
+        if known != own:
+            differ = sorted(n for n in known.keys() | own.keys() if known.get(n) != own.get(n))
+            raise ValueError(f"not the store's columns: {', '.join(differ)}")
 
     def plan(self, shards: list[Shard]) -> list[Shard]:
         """The shards to merge next: all of the lowest tier that holds FANIN, with what is still smaller."""
