@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_term, raw_tokens, tokens
+from lodestone.operators.ranking import running
+from lodestone.session import written
 
 K1, B = 1.5, 0.75
 
@@ -91,12 +93,9 @@ def difficulty_gap(scores: DataFrame, positives: DataFrame, negatives: DataFrame
 def difficulty_rank(gaps: DataFrame) -> DataFrame:
     """query, gap, difficulty: 1 - (rows with a smaller gap) / (rows - 1).
 
-    Counted per value and summed over values, so that only distinct gaps meet in one
-    window partition.
+    Counted per value, and summed over values by ranges of them.
     """
-    values = gaps.groupBy("gap").agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = values.withColumn("below", below).withColumn("total", total)
-    out = gaps.join(placed, "gap")
-    return out.select("query", "gap", F.round(F.lit(1.0) - F.col("below") / F.greatest(F.col("total") - 1, F.lit(1)), 6).alias("difficulty"))
+    gaps = written(gaps, "gaps")
+    placed = running(gaps.groupBy("gap").agg(F.count("*").alias("n")), ["gap"], F.col("n"), "below").drop("n")
+    total = gaps.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("n")).scalar()
+    return gaps.join(placed, "gap").select("query", "gap", F.round(F.lit(1.0) - F.col("below") / total, 6).alias("difficulty"))

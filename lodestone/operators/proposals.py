@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import patches
+from lodestone.operators.ranking import numbered
 
 
 def checked(events: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def pending(pushes: DataFrame) -> DataFrame:
     cleared = pushes.where("id IS NULL").agg(F.max("at").alias("cleared"))
     live = pushes.where("id IS NOT NULL").where(F.col("at") > F.coalesce(cleared.scalar(), F.lit(-1)))
     first = live.groupBy("id").agg(F.min("at").alias("at"))
-    return first.withColumn("position", F.row_number().over(Window.orderBy("at", "id"))).select("id", "position")
+    return numbered(first, ["at", "id"]).select("id", (F.col("position") + 1).cast("int").alias("position"))
 
 
 def changed_files(hunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import numbered
 from lodestone.session import written
 
 
@@ -31,24 +32,33 @@ def sampled(rows: DataFrame, seed: int, n: int, key: str, by: list[str]) -> Data
     return rows.withColumn("pick", rank).where(F.col("pick") <= n)
 
 
-def easy_negatives(queries: DataFrame, pool: DataFrame, seed: int, n: int) -> DataFrame:
-    """query, id, pick: n ids of other groups for every query, without replacement.
+def easy_negatives(queries: DataFrame, pool: DataFrame, seed: int, n: int, positives: DataFrame | None = None) -> DataFrame:
+    """query, id, pick: n different ids of the pool for every query, none of its group and none of its positives; all there are if fewer.
 
-    ``queries``: query, grp; ``pool``: id, grp.  n ids of each group (n rows a group, in
-    a seeded order) form a ring; a query begins at a place of its own and takes the next
-    n of other groups, which are among the next 2n.  Queries meet the ring by an
-    equi-join on the place.
+    ``queries``: query, grp; ``pool``: id, grp; ``positives``: query, id.  The pool is numbered by
+    group and id.  What is left to a query is cut into n equal stretches, and a hash draws
+    one number of each; the number then skips what lies before it of the query's own group
+    and positives.  So every row that is allowed can be drawn, and none twice.
     """
-    few = sampled(pool, seed, n, "id", ["grp"]).select("id", F.col("grp").alias("of"))
-    ring = written(few.withColumn("place", F.row_number().over(Window.orderBy(mixed(seed, F.col("id")), "id")) - 1), "ring")
-    total = ring.count()
-    if not total:
-        return queries.select("query", F.lit(None).cast(pool.schema["id"].dataType).alias("id"), F.lit(0).alias("pick")).limit(0)
-    start = F.conv(F.substring(mixed(seed, F.col("query"), F.lit("start")), 1, 12), 16, 10).cast("long")
-    steps = queries.select("query", "grp", F.explode(F.sequence(F.lit(0), F.lit(min(2 * n, total) - 1))).alias("step"))
-    met = steps.withColumn("place", ((start + F.col("step")) % total).cast("int")).join(ring, "place").where("grp <> of")
-    pick = F.row_number().over(Window.partitionBy("query").orderBy("step"))
-    return met.withColumn("pick", pick).where(F.col("pick") <= n).select("query", "id", "pick")
+    rows = written(numbered(pool.select("id", "grp"), ["grp", "id"], "at"), "pool")
+    groups = rows.groupBy("grp").agg(F.min("at").alias("start"), F.count("*").alias("size"))
+    asked = queries.select("query", "grp").join(groups, "grp", "left").select("query", "grp", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("size", F.lit(0)).alias("size"))
+    block = F.struct(F.col("start").alias("start"), F.col("size").alias("size"))
+    if positives is None:
+        blocked = asked.select("query", "grp", F.array(block).alias("blocks"))
+    else:
+        own = positives.select("query", "id").distinct().join(rows, "id").select("query", F.col("grp").alias("of"), "at")
+        apart = own.join(asked.select("query", "grp"), "query").where("of <> grp").groupBy("query").agg(F.collect_list(F.struct(F.col("at").alias("start"), F.lit(1).cast("long").alias("size"))).alias("more"))
+        blocked = asked.join(apart, "query", "left").select("query", "grp", F.array_sort(F.concat(F.array(block), F.coalesce("more", F.array().cast("array<struct<start:bigint,size:bigint>>")))).alias("blocks"))
+    total = rows.agg(F.count("*")).scalar()
+    left = total - F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + b["size"])
+    sized = blocked.withColumn("left", left).withColumn("picks", F.least(F.col("left"), F.lit(n))).where("picks > 0")
+    drawn = sized.select("query", "blocks", "left", "picks", F.explode(F.sequence(F.lit(1), F.col("picks").cast("int"))).alias("pick"))
+    low, high = (F.floor(F.col("left") * (F.col("pick") - i) / F.col("picks")) for i in (1, 0))
+    hashed = F.conv(F.substring(mixed(seed, F.col("query"), F.col("pick")), 1, 12), 16, 10).cast("long")
+    placed = drawn.withColumn("at", low + hashed % (high - low))
+    skipped = F.aggregate("blocks", F.col("at"), lambda at, b: F.when(at >= b["start"], at + b["size"]).otherwise(at))
+    return placed.select("query", "pick", skipped.alias("at")).join(rows.select("at", "id"), "at").select("query", "id", "pick")
 
 
 def symbol_queries(nodes: DataFrame) -> DataFrame:
@@ -141,7 +151,7 @@ def enriched(scores: DataFrame, positives: DataFrame, groups: DataFrame, pool: D
     short = positives.select("query").distinct().join(close.groupBy("query").agg(F.count("*").alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < least).select("query")
     wide = bm25.hard_negatives(scores.join(short, "query", "left_semi"), positives, k)
     hard = written(close.join(short, "query", "left_anti").select("query", "rank", "doc", "score").unionByName(wide.select("query", "rank", "doc", "score")), "hard")
-    easy = easy_negatives(groups, pool, seed, 8)
+    easy = easy_negatives(groups, pool, seed, 8, positives.select("query", F.col("doc").alias("id")))
     marked = bm25.difficulty_rank(bm25.difficulty_gap(scores, positives, hard))
 
     def listed(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:

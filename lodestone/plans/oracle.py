@@ -198,10 +198,12 @@ ORACLE: dict[str, str] = {
     "synth_symbol": "SELECT 'how does ' || p_name || ' work' AS query, p_partkey AS positive, 0.5::DOUBLE AS difficulty FROM part",
     "synth_sentence": r"SELECT query, positive FROM (SELECT doc_id AS positive, regexp_extract(regexp_replace(text, '[ \n\t]+', ' ', 'g'), '^(.*?\.) ', 1) AS query FROM documents) WHERE length(query) BETWEEN 15 AND 300",
     "synth_topk_len": "SELECT doc_id, source, n_chars, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, source, n_chars, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE n >= 3 AND rank <= 5",
-    "easy_negatives_hash": """WITH few AS (SELECT doc_id AS id, source AS s, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 8),
-        t AS (SELECT count(*) AS total FROM few), q AS (SELECT doc_id AS query, source, CAST('0x' || substr(md5('42:' || doc_id || ':start'), 1, 12) AS BIGINT) % total AS start, unnest(range(0, least(16, total))) AS j, total FROM documents, t),
-        m AS (SELECT query, few.id, row_number() OVER (PARTITION BY query ORDER BY j) AS pick FROM q JOIN few ON few.pos = (start + j) % total WHERE few.s <> q.source)
-        SELECT query, id, CAST(pick AS INTEGER) AS pick FROM m WHERE pick <= 8""",
+    "easy_negatives_hash": """WITH pool AS (SELECT doc_id AS id, source, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS pos, count(*) OVER () AS total FROM documents),
+        g AS (SELECT source, min(pos) AS start, count(*) AS size, any_value(total) - count(*) AS rest FROM pool GROUP BY source),
+        q AS (SELECT d.doc_id AS query, start, size, rest, least(rest, 8) AS picks, unnest(range(1, least(rest, 8) + 1)) AS pick FROM documents d JOIN g ON g.source = d.source),
+        r AS (SELECT query, pick, start, size, rest * (pick - 1) // picks AS low, rest * pick // picks AS high FROM q),
+        x AS (SELECT query, pick, start, size, low + CAST('0x' || substr(md5('42:' || query || ':' || pick), 1, 12) AS BIGINT) % (high - low) AS pos FROM r)
+        SELECT query, id, CAST(pick AS INTEGER) AS pick FROM x JOIN pool p ON p.pos = CASE WHEN x.pos >= start THEN x.pos + size ELSE x.pos END""",
     "dedup_last_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "ordered_distinct": "WITH w AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS p FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)), f AS (SELECT doc_id, x, min(p) AS p FROM w GROUP BY ALL) SELECT doc_id, md5(string_agg(x, ' ' ORDER BY p)) AS words, count(*) AS n FROM f GROUP BY doc_id",
     "regex_rules_first_match": r"""SELECT page_id, CASE WHEN regexp_full_match(url, 'https://[^/]*\.example\.org/.*') THEN 'secure-org' WHEN regexp_full_match(url, 'https?://[^/]*\.example\.(com|net)/de/.*') THEN 'german'

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import chunking
 from lodestone.functions import text as texts
 from lodestone.operators import bm25, evaluate, graph, lookup, paths, prompts, proposals, search, store, traindata
 from lodestone.plans import catalog, oracle
@@ -108,7 +109,7 @@ _LOG = '''log AS (SELECT user_id AS id, event_id AS "at", CASE event_id % 4 WHEN
         SELECT doc_id, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS ends FROM s GROUP BY doc_id""")
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every document: how many, and where they end."""
-    rows = table(spark, d, "documents").where("text <> ''").select("doc_id", texts.chunk_spans(F.col("text"), 1800, 200).alias("s"))
+    rows = table(spark, d, "documents").where("text <> ''").select("doc_id", chunking.chunk_spans(F.col("text"), 1800, 200).alias("s"))
     return rows.select("doc_id", F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: x["end"].cast("string")), ",").alias("ends"))
 
 
