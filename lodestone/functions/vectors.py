@@ -1,17 +1,10 @@
-"""Vector functions: products as Spark expressions, and a hashing embedder."""
+"""Vector products as Spark expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import TOKEN
-
 
 def dot(a: Column, b: Column) -> Column:
     """The inner product in doubles."""
@@ -27,26 +20,3 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 where a vector has length 0."""
     size = norm(a) * norm(b)
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / F.when(size != 0, size))
-
-
-def hash_embedding(text: str, dimensions: int) -> np.ndarray:
-    """Signed counts of hashed lower-cased tokens, at length 1; zero for a text without tokens."""
-    import re
-
-    out = np.zeros(dimensions, dtype=np.float32)
-    for token in re.findall(TOKEN, text or ""):
-        h = xxhash.xxh64_intdigest(token.lower())
-        out[h % dimensions] += 1.0 if h >> 63 else -1.0
-    size = float(np.linalg.norm(out))
-    return out / size if size else out
-
-
-def embedder(dimensions: int = 768):
-    """A pandas function from text to its hash embedding: the stand-in for a model."""
-
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: hash_embedding(t, dimensions))
-
-    return embed

@@ -84,6 +84,25 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int, edge_types: list
     return reached if max_nodes is None else reached.orderBy("hop", "id").limit(max_nodes)
 
 
+def neighborhoods(edges: DataFrame, seeds: DataFrame, hops: int, max_nodes: int | None = None) -> DataFrame:
+    """query, id, hop: for every query its own nodes within ``hops`` steps of its seeds (query, id), nearest first, at most ``max_nodes`` each.
+
+    All queries walk together, one join a hop; every frontier is written.
+    """
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    reached = frontier = written(seeds.select("query", "id").distinct().withColumn("hop", F.lit(0)), "frontiers")
+    for hop in range(1, hops + 1):
+        step = both.join(frontier.select("query", F.col("id").alias("src")), "src").select("query", F.col("dst").alias("id")).distinct()
+        frontier = written(step.join(reached, ["query", "id"], "left_anti").withColumn("hop", F.lit(hop)), "frontiers")
+        if frontier.isEmpty():
+            break
+        reached = reached.union(frontier)
+    if max_nodes is None:
+        return reached
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("hop", "id"))
+    return reached.withColumn("_rank", rank).where(F.col("_rank") <= max_nodes).drop("_rank")
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids (id)."""
     own = ids.select("id")

@@ -1,8 +1,8 @@
-"""Retrieval metrics and ranking losses over result tables."""
+"""Retrieval metrics over result tables; losses over vectors are in ``vector_search``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,26 +38,5 @@ def arm_means(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("arm").agg(*(F.round(F.avg(c), 6).alias(c) for c in names), F.count("*").alias("n_queries"))
 
 
-def infonce(scores: DataFrame, temperature: float = 0.05) -> DataFrame:
-    """query, loss: -log of the positive's softmax share; scores (query, score, is_positive), the largest is subtracted first."""
-    t = F.col("score") / F.lit(temperature)
-    top = F.max(t).over(Window.partitionBy("query"))
-    w = scores.withColumn("t", t).withColumn("top", top)
-    return w.groupBy("query").agg(F.round(F.ln(F.sum(F.exp(F.col("t") - F.col("top")))) - F.max(F.when(F.col("is_positive"), F.col("t") - F.col("top"))), 6).alias("loss"))
-
-
-def margin_loss(pairs: DataFrame, margin: float = 1.0) -> DataFrame:
-    """The mean of max(0, margin - positive + negative) over pairs (positive, negative)."""
-    return pairs.agg(F.round(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - F.col("positive") + F.col("negative"))), 6).alias("loss"))
-
-
-def reranker_metrics(scored: DataFrame) -> DataFrame:
-    """query, rank, ndcg of the one positive among its candidates (query, score, is_positive); ties rank behind."""
-    pos = scored.where("is_positive").select("query", F.col("score").alias("own"))
-    met = scored.where("NOT is_positive").join(pos, "query", "right")
-    ranked = met.groupBy("query").agg((F.count(F.when(F.col("score") >= F.col("own"), 1)) + 1).alias("rank"))
-    return ranked.withColumn("ndcg", F.round(F.lit(1.0) / F.log2(F.col("rank") + F.lit(1.0)), 6))
-
-
 def mean_deviation(values: DataFrame, value: str) -> DataFrame:
     return values.agg(F.round(F.avg(value), 6).alias("mean"), F.coalesce(F.round(F.stddev_samp(value), 6), F.lit(0.0)).alias("deviation"))

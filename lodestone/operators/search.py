@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import dot
-from lodestone.operators.graph import neighborhood
+from lodestone.operators.graph import neighborhoods
 
 
 def node_filter(node_type: str | None = None, path: str | None = None, prefix: bool = False) -> Column:
@@ -19,28 +19,6 @@ def node_filter(node_type: str | None = None, path: str | None = None, prefix: b
     return found
 
 
-#: Rows of a block of a vector search.
-BLOCK_ROWS = 20_000
-
-
-def scored(queries: DataFrame, rows: DataFrame, digits: int = 6) -> DataFrame:
-    """query, id, score: inner products of queries (query, q) with all other rows (id, v).
-
-    Rows are cut into blocks by their number, and queries go to every block by an equi-join.
-    """
-    blocks = max(8, -(-rows.count() // BLOCK_ROWS))
-    spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = rows.withColumn("_block", F.pmod(F.hash("id"), F.lit(blocks)))
-    met = held.join(spread, "_block").where(F.col("id") != F.col("query"))
-    return met.select("query", "id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
-
-
-def knn(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query, rank, id, score by inner product; queries (query, q), rows (id, v)."""
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored(queries, rows, digits).withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
-
-
 def pooled(chunks: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
     """The mean of each key's vectors at length 1 (left as it is if 0)."""
     mean = chunks.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -50,10 +28,13 @@ def pooled(chunks: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
 
 
 def hybrid(primary: DataFrame, edges: DataFrame, hops: int, max_nodes: int = 30) -> DataFrame:
-    """id, role, hop: primary hits (id) and what lies around them in the graph, no id twice."""
-    around = neighborhood(edges, primary, hops, max_nodes=max_nodes)
-    context = around.join(primary, "id", "left_anti").select("id", F.lit("context").alias("role"), "hop")
-    return primary.select("id", F.lit("primary").alias("role"), F.lit(0).alias("hop")).union(context)
+    """query, id, role, hop: each query's primary hits (query, id) and what lies around them in the graph, no id twice.
+
+    Of a query's nodes the ``max_nodes`` nearest stay, by steps and id.
+    """
+    around = neighborhoods(edges, primary, hops, max_nodes)
+    context = around.join(primary, ["query", "id"], "left_anti").select("query", "id", F.lit("context").alias("role"), "hop")
+    return primary.select("query", "id", F.lit("primary").alias("role"), F.lit(0).alias("hop")).union(context)
 
 
 def rule_rerank(candidates: DataFrame, weights: dict[str, float], default: float, k: int) -> DataFrame:
@@ -77,14 +58,6 @@ def within_budget(ranked: DataFrame, budget: int, by: str = "query", order: str
     return ranked.withColumn("running", running).where((F.col("running") <= budget) | (F.col(order) == 1))
 
 
-def prompt(question: Column, blocks: Column, live: Column | None = None) -> Column:
-    """Text for a language model: code blocks, live values if any, the question."""
-    parts = [F.concat(F.lit("Code context:\n"), F.array_join(blocks, "\n\n"))]
-    if live is not None:
-        parts.append(F.when(live != "", F.concat(F.lit("Live state:\n"), live)))
-    return F.concat_ws("\n\n", *parts, F.concat(F.lit("Question: "), question))
-
-
 def first_rule(rows: DataFrame, rules: list[tuple[int, str, str]], column: str) -> DataFrame:
     """The first rule (order, pattern, name) whose pattern matches all of a column; rules are a bounded parameter."""
     found = F.lit(None).cast("string")

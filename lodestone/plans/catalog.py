@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.embedding import embedder
 from lodestone.functions.text import path_subsystem, tokens
-from lodestone.functions.vectors import cosine, dot
-from lodestone.operators import asof, bm25, graph, metrics, patches, search, traindata
+from lodestone.functions.vectors import cosine
+from lodestone.operators import asof, bm25, graph, metrics, patches, search, traindata, vector_search
 from lodestone.session import shared_dir, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +115,10 @@ def gap_summary(spark: SparkSession, d: str) -> DataFrame:
 # --- vectors -----------------------------------------------------------------------
 
 
+#: Share of the buckets that an approximate search reads; the recall that it gives is in README.
+SHARE = 0.7
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
@@ -124,13 +129,22 @@ def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn(_vector_queries(spark, d), _vectors(spark, d), 10)
+    return vector_search.knn(_vector_queries(spark, d), _vectors(spark, d), 10)
 
 
 @query
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The filter comes before the search."""
-    return search.knn(_vector_queries(spark, d), _vectors(spark, d).where("label = 3"), 10)
+    nodes = _vectors(spark, d).withColumn("node_type", F.col("label").cast("string"))
+    return vector_search.knn(_vector_queries(spark, d), nodes.where(search.node_filter(node_type="3")), 10)
+
+
+@query
+def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Every 50th vector's 10 best in the nearest buckets of a hyperplane index on disk."""
+    at = f"{shared_dir(spark)}/lodestone/planes-{uuid.uuid4().hex}"
+    index = vector_search.HyperplaneIndex.build(_vectors(spark, d).select("id", "v"), at, bits=8)
+    return vector_search.HyperplaneIndex.load(spark, index.path).search(_vector_queries(spark, d), 10, SHARE)
 
 
 @query
@@ -365,15 +379,15 @@ def link_verified(spark: SparkSession, d: str) -> DataFrame:
 
 def _knn_edges(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    near = search.knn(v.select(F.col("id").alias("query"), F.col("v").alias("q")), v, 5)
+    near = vector_search.knn(v.select(F.col("id").alias("query"), F.col("v").alias("q")), v, 5)
     return written(near.select(F.col("query").alias("src"), F.col("id").alias("dst"), F.lit("NEAR").alias("edge_type")), "near")
 
 
 @query
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The 8 best of one query, and what lies within two steps in the graph of nearest vectors."""
-    primary = search.knn(_vectors(spark, d).where("id = 0").select(F.col("id").alias("query"), F.col("v").alias("q")), _vectors(spark, d), 8).select("id")
-    return search.hybrid(primary, _knn_edges(spark, d), 2, 30)
+    """The 8 best of every 50th vector, and what lies within two steps of those in the graph of nearest vectors."""
+    primary = vector_search.knn(_vector_queries(spark, d), _vectors(spark, d), 8).select("query", "id")
+    return search.hybrid(written(primary, "primary"), _knn_edges(spark, d), 2, 30)
 
 
 @query
@@ -410,27 +424,32 @@ def arms_avg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of every 50th vector and all others; the next id is the positive."""
-    v = _vectors(spark, d)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
-    return search.scored(q, v.select("id", "v")).select("query", "score", (F.col("id") == F.col("query") + 1).alias("is_positive"))
+    """Every 50th vector; the next id is its positive."""
+    return _vector_queries(spark, d).withColumn("positive_id", F.col("query") + 1)
 
 
 @query
 def infonce(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.infonce(_similar(spark, d), 0.1)
+    return vector_search.infonce(_similar(spark, d), _vectors(spark, d), 0.1)
+
+
+@query
+def infonce_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector against the rows of its own slice of a hundred ids; the next id is the positive."""
+    v = _vectors(spark, d).select("id", "v", F.floor(F.col("id") / 100).alias("slice"))
+    asked = v.where("id % 10 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"), "slice")
+    pairs = asked.join(v, "slice").where("id <> query").select("query", "q", "v", (F.col("id") == F.col("query") + 1).alias("is_positive"))
+    return vector_search.infonce_of_slices(pairs, 0.1)
 
 
 @query
 def margin_loss(spark: SparkSession, d: str) -> DataFrame:
-    s = _similar(spark, d)
-    pairs = s.where("is_positive").select("query", F.col("score").alias("positive")).join(s.where("NOT is_positive").select("query", F.col("score").alias("negative")), "query")
-    return metrics.margin_loss(pairs)
+    return vector_search.margin_loss(_similar(spark, d), _vectors(spark, d))
 
 
 @query
 def reranker_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.reranker_metrics(_similar(spark, d))
+    return vector_search.positive_ranks(_similar(spark, d), _vectors(spark, d))
 
 
 @query
@@ -537,9 +556,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def hash_embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items' nearest documents by the hashing embedder."""
-    from lodestone.functions.vectors import embedder
-
     embed = embedder(64)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), embed("text").alias("v"))
     asked = table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("query"), embed("text").alias("q"))
-    return search.knn(asked, docs, 5)
+    return vector_search.knn(asked, docs, 5)

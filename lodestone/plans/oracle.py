@@ -175,12 +175,12 @@ ORACLE: dict[str, str] = {
     "slide": """WITH u AS (SELECT user_id, CAST(max(floor(epoch_us(ts) / 1000000)) - min(floor(epoch_us(ts) / 1000000)) AS BIGINT) AS s FROM events WHERE user_id BETWEEN 1 AND 8 GROUP BY user_id)
         SELECT list_sort(list(s))[count(*) // 2 + 1] AS slide FROM u""",
     "link_verified": """SELECT CAST(s_nationkey AS VARCHAR) AS name, s_suppkey AS addr_start, s_suppkey + 5 AS live_addr, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_custkey = s_suppkey + 5) AS verified FROM supplier""",
-    "hybrid_search": f"""WITH e AS (SELECT query AS src, id AS dst FROM ({_knn("TRUE", "TRUE", 5)})),
-        p AS (SELECT id FROM ({_knn("q.vec_id = 0", "TRUE", 8)})), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
-        h0 AS (SELECT id, 0 AS hop FROM p), h1 AS (SELECT id, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT b.dst, 1 FROM b JOIN h0 ON b.src = h0.id) GROUP BY id),
-        h2 AS (SELECT id, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT b.dst, 2 FROM b JOIN h1 ON b.src = h1.id) GROUP BY id),
-        cap AS (SELECT * FROM h2 ORDER BY hop, id LIMIT 30)
-        SELECT id, 'primary' AS role, 0 AS hop FROM p UNION ALL SELECT id, 'context', CAST(hop AS INTEGER) FROM cap WHERE id NOT IN (SELECT id FROM p)""",
+    "hybrid_search": f"""WITH e AS MATERIALIZED (SELECT query AS src, id AS dst FROM ({_knn("TRUE", "TRUE", 5)})),
+        p AS MATERIALIZED (SELECT query, id FROM ({_knn("q.vec_id % 50 = 0", "TRUE", 8)})), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+        h0 AS (SELECT query, id, 0 AS hop FROM p), h1 AS MATERIALIZED (SELECT query, id, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT query, b.dst, 1 FROM b JOIN h0 ON b.src = h0.id) GROUP BY query, id),
+        h2 AS (SELECT query, id, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT query, b.dst, 2 FROM b JOIN h1 ON b.src = h1.id) GROUP BY query, id),
+        cap AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hop, id) AS r FROM h2)
+        SELECT query, id, 'primary' AS role, 0 AS hop FROM p UNION ALL SELECT query, id, 'context', CAST(hop AS INTEGER) FROM cap ANTI JOIN p USING (query, id) WHERE r <= 30""",
     "rule_rerank": f"""WITH {_scores()}, top AS (SELECT * FROM placed WHERE r <= 20)
         SELECT query, CAST(rank AS INTEGER) AS rank, id, score FROM ({_rerank("WHEN 'en' THEN 1.0::DOUBLE WHEN 'de' THEN 0.9::DOUBLE WHEN 'fr' THEN 0.8::DOUBLE WHEN 'es' THEN 0.5::DOUBLE", "0.7", "top", 10)})""",
     "ranking_metrics": f"WITH {_scores()}, {_GOLD} {_metrics('(SELECT query, doc, r AS rank FROM placed WHERE r <= 10)')}",
@@ -189,6 +189,9 @@ ORACLE: dict[str, str] = {
         m AS (SELECT 'keyword' AS arm, * FROM ({_metrics("(SELECT query, doc, r AS rank FROM top)")}) UNION ALL SELECT 'rule', * FROM ({_metrics("ruled")}))
         SELECT arm, round(avg(ndcg_retrieved), 6) AS ndcg_retrieved, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM m GROUP BY arm""",
     "infonce": f"WITH {_SIMILAR}, t AS (SELECT query, score / 0.1::DOUBLE AS t, is_positive, max(score / 0.1::DOUBLE) OVER (PARTITION BY query) AS top FROM sim) SELECT query, round(ln(sum(exp(t - top))) - max(CASE WHEN is_positive THEN t - top END), 6) AS loss FROM t GROUP BY query",
+    "infonce_slices": f"""WITH s AS (SELECT q.vec_id AS query, round({_DOT.format("q.embedding", "v.embedding")}, 6) AS score, v.vec_id = q.vec_id + 1 AS is_positive FROM embeddings q JOIN embeddings v ON q.vec_id // 100 = v.vec_id // 100 AND q.vec_id <> v.vec_id WHERE q.vec_id % 10 = 0),
+        t AS (SELECT query, score / 0.1::DOUBLE AS t, is_positive, max(score / 0.1::DOUBLE) OVER (PARTITION BY query) AS top FROM s)
+        SELECT query, round(ln(sum(exp(t - top))) - max(CASE WHEN is_positive THEN t - top END), 6) AS loss FROM t GROUP BY query""",
     "margin_loss": f"WITH {_SIMILAR} SELECT round(avg(greatest(0.0::DOUBLE, 1.0::DOUBLE - p.score + n.score)), 6) AS loss FROM sim p JOIN sim n ON p.query = n.query AND p.is_positive AND NOT n.is_positive",
     "reranker_metrics": f"WITH {_SIMILAR}, r AS (SELECT p.query, count(CASE WHEN n.score >= p.score THEN 1 END) + 1 AS rank FROM sim p LEFT JOIN sim n ON p.query = n.query AND NOT n.is_positive WHERE p.is_positive GROUP BY p.query) SELECT query, rank, round(1.0::DOUBLE / log2(rank + 1.0::DOUBLE), 6) AS ndcg FROM r",
     "mean_deviation": "SELECT round(avg(value), 6) AS mean, coalesce(round(stddev_samp(value), 6), 0.0::DOUBLE) AS deviation FROM events",

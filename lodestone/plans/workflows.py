@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import chunking
 from lodestone.functions import text as texts
-from lodestone.operators import bm25, evaluate, graph, lookup, paths, prompts, proposals, search, store, traindata
+from lodestone.functions.embedding import embedder
+from lodestone.operators import bm25, evaluate, graph, lookup, paths, prompts, proposals, search, store, traindata, vector_search
 from lodestone.plans import catalog, oracle
 from lodestone.session import shared_dir, table
 from lodestone.sources import texts as text_sources
@@ -466,12 +467,12 @@ def path_scan(spark: SparkSession, d: str) -> DataFrame:
 @sql(None)
 def path_scan_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Paths without a rule take the parts whose names are nearest by the hashing embedder."""
-    from lodestone.functions.vectors import embedder
-
     embed = embedder(64)
     asked = _probed(spark, d).select(F.trim("path").alias("path")).distinct()
     number = (-F.xxhash64("path")).alias("query")
-    near = search.knn(asked.select(number, embed(paths.scan_query(F.col("path"))).alias("q")), _nodes(spark, d).select(F.substring("id", 2, 20).cast("long").alias("id"), embed("code").alias("v")), 5)
+    vectors = _nodes(spark, d).select(F.substring("id", 2, 20).cast("long").alias("id"), embed("code").alias("v"))
+    index = vector_search.HyperplaneIndex.build(vectors, _folder(spark, "planes"), bits=6)
+    near = index.search(asked.select(number, embed(paths.scan_query(F.col("path"))).alias("q")), 5, catalog.SHARE)
     hits = near.join(asked.select(number, "path"), "query").select("path", "rank", "score", F.concat(F.lit("p"), "id").alias("id"))
     hits = hits.join(_nodes(spark, d), "id").select("path", "rank", "score", "file_path", "symbol_name", "node_type")
     return paths.scanned(asked, paths.rules(spark), hits).select("path", "confidence", F.size("files").alias("n_files"))
