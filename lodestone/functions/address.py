@@ -48,3 +48,17 @@ TASK_STATES = {
 def state_name(code: Column) -> Column:
     known = F.create_map(*(x for k, v in TASK_STATES.items() for x in (F.lit(k), F.lit(v))))
     return F.coalesce(F.try_element_at(known, code.cast("int")), F.concat(F.lit("UNKNOWN(0x"), F.lower(F.hex(code)), F.lit(")")))
+
+
+def decoded(raw: Column, fields: Column, little: bool = True) -> Column:
+    """map of field -> unsigned value of a buffer by its layout, array<struct<field, byte_offset, byte_size>>.
+
+    Fields of 1, 2, 4 or 8 bytes that lie wholly in the buffer; values are decimals, as eight bytes go beyond a long.
+    """
+    inside = F.filter(fields, lambda f: f["byte_size"].isin(1, 2, 4, 8) & (f["byte_offset"] >= 0) & (f["byte_offset"] + f["byte_size"] <= F.octet_length(raw)))
+
+    def value(f: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), f["byte_size"]), lambda i: F.hex(F.substring(raw, f["byte_offset"] + i, F.lit(1))))
+        return F.conv(F.array_join(F.reverse(each) if little else each, ""), 16, 10).cast("decimal(20,0)")
+
+    return F.map_from_entries(F.transform(inside, lambda f: F.struct(f["field"], value(f))))

@@ -82,7 +82,7 @@ def chunk_vectors(chunks: pa.Array, dimensions: int) -> np.ndarray:
     row = np.searchsorted(offsets, starts, side="right") - 1
     sign = np.where(hashes >> np.uint64(63), 1.0, -1.0)
     flat = np.bincount(row * dimensions + (hashes % np.uint64(dimensions)).astype(np.int64), weights=sign, minlength=n * dimensions)
-    return unit(flat.reshape(n, dimensions))
+    return unit(flat.astype(np.float64).reshape(n, dimensions))  # counts of nothing are whole numbers
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Patterns of well-known paths, with the files, functions and structures behind them.  The first that matches a whole path wins.
+#: Patterns of well-known paths, with the files, functions and structures behind them, and a description (our own words).
+#: The first that matches a whole path wins.
 KNOWN_PATHS = [
-    (r"/sys/class/net/\w+/operstate", ["net/core/net-sysfs.c"], ["operstate_show"], ["net_device"]),
-    (r"/sys/class/net/\w+/speed", ["net/core/net-sysfs.c"], ["speed_show"], ["net_device", "ethtool_link_ksettings"]),
-    (r"/sys/class/net/\w+/mtu", ["net/core/net-sysfs.c"], ["mtu_show", "mtu_store"], ["net_device"]),
-    (r"/sys/class/net/\w+/tx_queue_len", ["net/core/net-sysfs.c"], ["tx_queue_len_show", "tx_queue_len_store"], ["net_device"]),
-    (r"/sys/devices/system/cpu/cpu\d+/cpufreq/scaling_cur_freq", ["drivers/cpufreq/cpufreq.c"], ["show_scaling_cur_freq"], ["cpufreq_policy", "cpufreq_driver"]),
-    (r"/sys/devices/system/cpu/cpu\d+/topology/core_id", ["drivers/base/topology.c"], ["core_id_show"], ["cpu_topology"]),
-    (r"/proc/schedstat", ["kernel/sched/stats.c"], ["show_schedstat"], ["rq", "sched_info"]),
-    (r"/proc/meminfo", ["fs/proc/meminfo.c"], ["meminfo_proc_show"], ["sysinfo", "vm_stat"]),
-    (r"/proc/\d+/maps", ["fs/proc/task_mmu.c"], ["show_map", "proc_pid_maps_open"], ["vm_area_struct", "mm_struct"]),
-    (r"/proc/\d+/status", ["fs/proc/array.c"], ["proc_pid_status"], ["task_struct", "mm_struct", "cred"]),
-    (r"/proc/\d+/smaps", ["fs/proc/task_mmu.c"], ["show_smap"], ["vm_area_struct", "mem_size_stats"]),
-    (r"/proc/\d+/stat", ["fs/proc/array.c"], ["do_task_stat"], ["task_struct", "signal_struct"]),
-    (r"/proc/\d+/cmdline", ["fs/proc/base.c"], ["proc_pid_cmdline_read"], ["mm_struct"]),
-    (r"/sys/block/\w+/queue/scheduler", ["block/elevator.c", "block/blk-sysfs.c"], ["elv_iosched_show", "elv_iosched_store"], ["elevator_type", "request_queue"]),
-    (r"/sys/block/\w+/stat", ["block/blk-sysfs.c"], ["queue_stat_show"], ["disk_stats", "gendisk"]),
-    (r"/sys/class/power_supply/\w+/capacity", ["drivers/power/supply/power_supply_sysfs.c"], ["power_supply_show_property"], ["power_supply", "power_supply_desc"]),
+    (r"/sys/class/net/\w+/operstate", ["net/core/net-sysfs.c"], ["operstate_show"], ["net_device"], "A network interface's operational state, an IF_OPER_ value of its net_device; drivers change it as the carrier comes and goes."),
+    (r"/sys/class/net/\w+/speed", ["net/core/net-sysfs.c"], ["speed_show"], ["net_device", "ethtool_link_ksettings"], "The link's speed in megabits a second, asked of the driver through its link settings operation."),
+    (r"/sys/class/net/\w+/mtu", ["net/core/net-sysfs.c"], ["mtu_show", "mtu_store"], ["net_device"], "The largest packet of an interface in bytes; a write is checked against the driver's limits."),
+    (r"/sys/class/net/\w+/tx_queue_len", ["net/core/net-sysfs.c"], ["tx_queue_len_show", "tx_queue_len_store"], ["net_device"], "How many packets may wait to be sent before traffic control acts."),
+    (r"/sys/devices/system/cpu/cpu\d+/cpufreq/scaling_cur_freq", ["drivers/cpufreq/cpufreq.c"], ["show_scaling_cur_freq"], ["cpufreq_policy", "cpufreq_driver"], "The processor's frequency in kilohertz, as the frequency driver last set it in the policy."),
+    (r"/sys/devices/system/cpu/cpu\d+/topology/core_id", ["drivers/base/topology.c"], ["core_id_show"], ["cpu_topology"], "The physical core of a logical processor, found at boot from the firmware's tables."),
+    (r"/proc/schedstat", ["kernel/sched/stats.c"], ["show_schedstat"], ["rq", "sched_info"], "Counts and times of the scheduler, for each processor since boot."),
+    (r"/proc/meminfo", ["fs/proc/meminfo.c"], ["meminfo_proc_show"], ["sysinfo", "vm_stat"], "The system's memory by kind; most numbers are summed over zones and processors as they are read."),
+    (r"/proc/\d+/maps", ["fs/proc/task_mmu.c"], ["show_map", "proc_pid_maps_open"], ["vm_area_struct", "mm_struct"], "A process's areas of virtual memory, a line each with its permissions and what backs it."),
+    (r"/proc/\d+/status", ["fs/proc/array.c"], ["proc_pid_status"], ["task_struct", "mm_struct", "cred"], "A process's names, memory, threads and credentials in words, from its task structure."),
+    (r"/proc/\d+/smaps", ["fs/proc/task_mmu.c"], ["show_smap"], ["vm_area_struct", "mem_size_stats"], "A process's areas of memory with resident and proportional sizes; page tables are walked, so it costs more than maps."),
+    (r"/proc/\d+/stat", ["fs/proc/array.c"], ["do_task_stat"], ["task_struct", "signal_struct"], "A process's times, state and sizes on one line, as tools that list processes read it."),
+    (r"/proc/\d+/cmdline", ["fs/proc/base.c"], ["proc_pid_cmdline_read"], ["mm_struct", "task_struct"], "A process's arguments, parted by zero bytes, read from its own address space."),
+    (r"/sys/block/\w+/queue/scheduler", ["block/elevator.c", "block/blk-sysfs.c"], ["elv_iosched_show", "elv_iosched_store"], ["elevator_type", "request_queue"], "A disk's request scheduler; a write changes over to the one it names."),
+    (r"/sys/block/\w+/stat", ["block/blk-sysfs.c"], ["queue_stat_show"], ["disk_stats", "gendisk"], "Reads and writes that a disk has done, their sectors and times, summed over processors."),
+    (r"/sys/class/power_supply/\w+/capacity", ["drivers/power/supply/power_supply_sysfs.c"], ["power_supply_show_property"], ["power_supply", "power_supply_desc"], "A battery's charge in percent, asked of the driver of its gauge."),
 ]
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    """ordinal, pattern, files, functions, structs: the rule table, a bounded parameter."""
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(KNOWN_PATHS)], "ordinal int, pattern string, files array<string>, functions array<string>, structs array<string>")
+    """ordinal, pattern, files, functions, structs, description: the rule table, a bounded parameter."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(KNOWN_PATHS)], "ordinal int, pattern string, files array<string>, functions array<string>, structs array<string>, description string")
 
 
 def _parts(path: Column) -> Column:
@@ -60,31 +61,35 @@ def matched(paths: DataFrame, table: DataFrame) -> DataFrame:
     return met.select("path", first.alias("ordinal")).where("ordinal IS NOT NULL")
 
 
-def scanned(paths: DataFrame, table: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """path, files, functions, structs, confidence: high by rule, medium by the vector hits of what has none, else low.
+#: What is said of a path that nothing was found for.
+UNKNOWN = "No rule and no indexed code matches this path."
 
-    ``hits``: path, rank, score, file_path, symbol_name, node_type (up to five a path).
+
+def scanned(paths: DataFrame, table: DataFrame, hits: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """path, files, functions, structs, description, live_value, confidence: high by rule, medium by the vector hits of what has none, else low.
+
+    ``hits``: path, rank, score, file_path, symbol_name, node_type, docstring (up to five a path; the best's docstring
+    describes the path); ``live``: path, value, as it was read on the running system.
     """
     asked = paths.select(F.trim("path").alias("path")).distinct()
     none = F.array().cast("array<string>")
-    by_rule = matched(paths, table).join(table, "ordinal").select("path", "files", "functions", "structs")
+    found = asked.join(matched(paths, table).join(table, "ordinal").select("path", "files", "functions", "structs", "description"), "path", "left")
+    by_rule = F.col("files").isNotNull()
     if hits is None:
-        found = asked.join(by_rule, "path", "left").withColumn("confidence", F.when(F.col("files").isNotNull(), "high").otherwise("low"))
+        found = found.withColumn("confidence", F.when(by_rule, "high").otherwise("low"))
     else:
-        rest = hits.join(by_rule.select("path"), "path", "left_anti")
-        ordered = rest.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rank", "file_path", "symbol_name", "node_type"))).alias("h"))
+        ordered = hits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rank", "file_path", "symbol_name", "node_type", "docstring"))).alias("h"))
 
         def names(kinds: list[str]) -> Column:
             return F.transform(F.filter("h", lambda s: s["node_type"].isin(kinds)), lambda s: s["symbol_name"])
 
-        by_vector = ordered.select("path", F.array_distinct(F.transform("h", lambda s: s["file_path"])).alias("f"), names(["function"]).alias("g"), names(["struct", "union"]).alias("s"))
-        met = asked.join(by_rule, "path", "left").join(by_vector, "path", "left")
-        level = F.when(F.col("files").isNotNull(), "high").when(F.col("f").isNotNull(), "medium").otherwise("low")
-        found = met.select("path", level.alias("confidence"), F.coalesce("files", "f").alias("files"), F.coalesce("functions", "g").alias("functions"), F.coalesce("structs", "s").alias("structs"))
-    return found.select("path", *(F.coalesce(c, none).alias(c) for c in ("files", "functions", "structs")), "confidence")
-
-
-def best_hits(scores: DataFrame, k: int = 5) -> DataFrame:
-    """path, rank and all columns of the k best scored rows (path, id, score, ...)."""
-    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+        best = F.get("h", 0)
+        said = F.when(F.trim(best["docstring"]) != "", best["docstring"]).otherwise(F.concat(F.lit("Nearest code: "), best["symbol_name"], F.lit(" in "), best["file_path"]))
+        near = ordered.select("path", F.array_distinct(F.transform("h", lambda s: s["file_path"])).alias("f"), names(["function"]).alias("g"), names(["struct", "union"]).alias("s"), said.alias("said"))
+        met = found.join(near, "path", "left")
+        level = F.when(by_rule, "high").when(F.col("f").isNotNull(), "medium").otherwise("low")
+        # A rule's lists stand as they are; only a path without a rule takes what the search has found.
+        found = met.select("path", level.alias("confidence"), *(F.when(by_rule, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("files", "f"), ("functions", "g"), ("structs", "s"), ("description", "said"))))
+    values = live.groupBy(F.trim("path").alias("path")).agg(F.max("value").alias("live_value")) if live is not None else None
+    found = found.join(values, "path", "left") if values is not None else found.withColumn("live_value", F.lit(None).cast("string"))
+    return found.select("path", *(F.coalesce(c, none).alias(c) for c in ("files", "functions", "structs")), F.coalesce("description", F.lit(UNKNOWN)).alias("description"), "live_value", "confidence")

@@ -62,9 +62,9 @@ PROVIDERS: dict[str, Callable[[str, str], Iterator[str]]] = {}
 
 
 def provider(name: str, default: str = "ollama") -> tuple[str, str]:
-    """'provider:model' to its parts; a bare model is the default provider's."""
+    """'provider:model' to its parts, at the first colon; a bare model is the default provider's."""
     head, colon, tail = name.partition(":")
-    return (head, tail) if colon and head in {*PROVIDERS, default} else (default, name)
+    return (head, tail) if colon else (default, name)
 
 
 def answer_stream(name: str, prompt: str) -> Iterator[str]:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import patches
+from lodestone.operators.extraction import node_diff
 from lodestone.operators.ranking import numbered
+from lodestone.sources import c_source
 
 
 def checked(events: DataFrame) -> DataFrame:
@@ -65,6 +67,12 @@ def preview(files: DataFrame, hunks: DataFrame) -> DataFrame:
     return as_files(patches.apply_hunks(as_lines(touched), hunks))
 
 
+def preview_nodes(files: DataFrame, hunks: DataFrame) -> DataFrame:
+    """id, change (new, removed, changed): what the hunks would do to the nodes of the files that they touch; only those are parsed."""
+    touched = files.join(hunks.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi").select("path", "content")
+    return node_diff(c_source.nodes(touched), c_source.nodes(preview(files, hunks)))
+
+
 def dry_run(files: DataFrame, hunks: DataFrame) -> DataFrame:
     """diff_id, file_path, removed, added, conflicts (removed lines that the file doesn't have)."""
     sizes = hunks.groupBy("diff_id", "file_path").agg(F.sum(F.size("removed_lines")).alias("removed"), F.sum(F.size("added_lines")).alias("added"))

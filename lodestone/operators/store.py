@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, lookup
+from lodestone.publish import Folder, retried
+from lodestone.session import written
 
 
 class Store:
     """A graph of nodes and edges below a folder.
 
-    Every save is a new version, and a version counts once both its tables are whole;
-    readers of an older one aren't disturbed.  A store without a version is empty.
+    Every save is a new version, numbered, and published whole by a rename that only one
+    writer of a number can make; readers of an older one aren't disturbed.  A store
+    without a version is empty.  A version says what form its tables have
+    (``SCHEMA_VERSION``); others are refused.
     """
 
+    #: The form of the tables that this code writes and reads.
+    SCHEMA_VERSION = 1
+
     def __init__(self, spark: SparkSession, root: str, node_schema: str, edge_schema: str = "src string, dst string, edge_type string"):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), {"nodes": node_schema, "edges": edge_schema}
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.schemas, self.folder = spark, {"nodes": node_schema, "edges": edge_schema}, Folder(spark, root)
 
-    def versions(self) -> list[str]:
-        """Whole versions, oldest first."""
-        at = self._path(self.root)
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
-        return [n for n in names if all(self._fs.exists(self._path(f"{self.root}/{n}/{t}/_SUCCESS")) for t in self.schemas)]
+    def versions(self) -> list[int]:
+        """Published versions, oldest first."""
+        return sorted(int(n[1:]) for n in self.folder.names() if n.startswith("v") and n[1:].isdigit())
 
-    def _read(self, name: str) -> DataFrame:
-        known = self.versions()
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{known[-1]}/{name}") if known else self.spark.createDataFrame([], self.schemas[name])
+    def _read(self, name: str, version: int | None = None) -> DataFrame:
+        version = max(self.versions(), default=0) if version is None else version
+        if not version:
+            return self.spark.createDataFrame([], self.schemas[name])
+        form = self.folder.read([f"v{version:08d}"], "meta", "schema_version int").first()
+        if form is None or form["schema_version"] != self.SCHEMA_VERSION:
+            raise ValueError(f"version {version} has another form: {form}")
+        return self.folder.read([f"v{version:08d}"], name, self.schemas[name])
 
     @property
     def nodes(self) -> DataFrame:
@@ -40,19 +46,37 @@ class Store:
     def edges(self) -> DataFrame:
         return self._read("edges")
 
-    def save(self, nodes: DataFrame, edges: DataFrame, layer: int | None = None) -> str:
-        """Write a version: all rows, or a layer's nodes and the edges inside it; gives its name."""
+    def save(self, nodes: DataFrame, edges: DataFrame, layer: int | None = None, base: int | None = None) -> int:
+        """Write a version: all rows, or a layer's nodes and the edges inside it; gives its number.
+
+        ``base``: the version that the rows were made from; publish.Taken if there is a newer one.
+        Without it the rows become the next version whatever is there.
+        """
         if layer is not None:
             nodes, edges = graph.saved(nodes, edges, layer)
-        number = int(known[-1][1:9]) + 1 if (known := self.versions()) else 1
-        name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
-        nodes.write.parquet(f"{self.root}/{name}/nodes")
-        edges.write.parquet(f"{self.root}/{name}/edges")
-        return name
+        meta = self.spark.createDataFrame([(self.SCHEMA_VERSION,)], "schema_version int").coalesce(1)
+
+        def publish() -> int:
+            number = (max(self.versions(), default=0) if base is None else base) + 1
+            self.folder.publish(f"v{number:08d}", {"nodes": nodes, "edges": edges, "meta": meta})
+            return number
+
+        return publish() if base is not None else retried(publish)
+
+    def add(self, nodes: DataFrame, order: str | None = None) -> int:
+        """Upsert nodes and keep the edges; of one id the last by ``order`` wins, or the last row.
 
-    def add(self, nodes: DataFrame, order: str = "id") -> str:
-        """Upsert nodes (the last by ``order`` of one id wins) and keep the edges."""
-        return self.save(graph.upsert(self.nodes, nodes, F.col(order)), self.edges)
+        Made again from the newest version if another writer was first, so no update is lost.
+        """
+        last = F.monotonically_increasing_id() if order is None else F.col(order)
+        fresh = written(graph.upsert(nodes.limit(0), nodes.withColumn("_last", last), F.col("_last")).drop("_last") if order is None else nodes, "fresh")
+
+        def change() -> int:
+            base = max(self.versions(), default=0)
+            merged = graph.upsert(self._read("nodes", base), fresh, F.col(order) if order else F.lit(0))
+            return self.save(merged, self._read("edges", base), base=base)
+
+        return retried(change)
 
     def get(self, ids: DataFrame) -> DataFrame:
         return lookup.by_ids(self.nodes, ids)
@@ -73,14 +97,3 @@ def write_report(summary: DataFrame, per_query: DataFrame, path: str) -> None:
     """An evaluation's means and rows as JSON lines, side by side."""
     summary.write.json(f"{path}/summary")
     per_query.write.json(f"{path}/queries")
-
-
-def status(spark: SparkSession, sources: dict[str, bool]) -> DataFrame:
-    """source, available."""
-    return spark.createDataFrame(sorted(sources.items()), "source string, available boolean")
-
-
-def mock_processes(spark: SparkSession, n: int = 64) -> DataFrame:
-    """pid, comm, state: rows that stand in for processes where no live ones can be read."""
-    pid = F.col("id") + 1
-    return spark.range(n).select(pid.cast("int").alias("pid"), F.concat(F.lit("task-"), pid).alias("comm"), F.when(pid % 8 == 0, 0).otherwise(1).alias("state"))

@@ -147,7 +147,7 @@ ORACLE: dict[str, str] = {
     "bfs_2hop": f"{_bfs(2)} SELECT id, CAST(hop AS INTEGER) AS hop FROM h2",
     "bfs_typed": f"""{_bfs(2, "edge_type IN ('PLACED_BY', 'PART_OF')")} SELECT id, CAST(hop AS INTEGER) AS hop FROM h2""",
     "bfs_capped": f"{_bfs(2)} SELECT id, CAST(hop AS INTEGER) AS hop FROM h2 ORDER BY hop, id LIMIT 25",
-    "induced_subgraph": f"{_bfs(2)}, own AS MATERIALIZED (SELECT DISTINCT id FROM h2) SELECT src, dst, edge_type FROM edges SEMI JOIN own a ON src = a.id SEMI JOIN own b ON dst = b.id",
+    "induced_subgraph": f"{_bfs(2).replace('edges AS (', 'edges AS MATERIALIZED (', 1).replace('both_ways AS (', 'both_ways AS MATERIALIZED (').replace('h1 AS (', 'h1 AS MATERIALIZED (').replace('h2 AS (', 'h2 AS MATERIALIZED (')} SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM h2) AND dst IN (SELECT id FROM h2)",
     "two_hop_path": f"WITH {_EDGES} SELECT a.src, a.dst AS via, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.edge_type = 'PLACED_BY' AND b.edge_type = 'LIVES_IN'",
     "callers_of": "SELECT 'o' || o_orderkey AS id, o_orderpriority AS symbol_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name = (SELECT min(n_name) FROM nation)",
     "callees_of": "SELECT 'c' || c_custkey AS id, n_name AS symbol_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderpriority = '2-HIGH'",

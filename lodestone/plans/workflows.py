@@ -371,12 +371,13 @@ def triplets_written(spark: SparkSession, d: str) -> DataFrame:
 
 @sql("SELECT CAST(i AS INTEGER) AS pid, 'task-' || i AS comm, CASE WHEN i % 8 = 0 THEN 0 ELSE 1 END AS state FROM range(1, 65) t(i)")
 def mock_processes(spark: SparkSession, d: str) -> DataFrame:
-    return store.mock_processes(spark, 64)
+    pid = F.col("id") + 1
+    return spark.range(64).select(pid.cast("int").alias("pid"), F.concat(F.lit("task-"), pid).alias("comm"), F.when(pid % 8 == 0, 0).otherwise(1).alias("state"))
 
 
 @sql("SELECT * FROM (VALUES ('binary', FALSE), ('graph', TRUE), ('symbols', TRUE)) AS t(source, available)")
 def source_status(spark: SparkSession, d: str) -> DataFrame:
-    return store.status(spark, {"graph": True, "symbols": True, "binary": False})
+    return spark.createDataFrame([("binary", False), ("graph", True), ("symbols", True)], "source string, available boolean")
 
 
 # --- proposals ----------------------------------------------------------------------------------
@@ -451,17 +452,31 @@ def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
 # --- paths -------------------------------------------------------------------------------------
 
 
-def _probed(spark: SparkSession, d: str) -> DataFrame:
-    """Paths made of pages' ids: some with a rule, some without."""
+def _probe() -> Column:
+    """A path made of a page's id: some have a rule, some have none."""
     i = F.col("page_id")
-    made = F.when(i % 4 == 0, F.concat(F.lit("/proc/"), i, F.lit("/maps"))).when(i % 4 == 1, F.concat(F.lit(" /sys/class/net/eth"), i, F.lit("/mtu "))).when(i % 4 == 2, F.concat(F.lit("/sys/block/sd"), i, F.lit("/stat"))).otherwise(F.concat(F.lit("/sys/kernel/mm/page_"), i))
-    return table(spark, d, "pages").select(made.alias("path"))
+    return F.when(i % 4 == 0, F.concat(F.lit("/proc/"), i, F.lit("/maps"))).when(i % 4 == 1, F.concat(F.lit(" /sys/class/net/eth"), i, F.lit("/mtu "))).when(i % 4 == 2, F.concat(F.lit("/sys/block/sd"), i, F.lit("/stat"))).otherwise(F.concat(F.lit("/sys/kernel/mm/page_"), i))
+
+
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(_probe().alias("path"))
+
+
+def _rule_values(column: int) -> str:
+    """SQL for a column of the three rules that match, and nothing for what none matches."""
+    rule = {r[0]: r for r in paths.KNOWN_PATHS}
+    own = [rule[p][column] for p in (r"/proc/\d+/maps", r"/sys/class/net/\w+/mtu", r"/sys/block/\w+/stat")]
+    texts = [x if isinstance(x, str) else ",".join(x) for x in own]
+    return "CASE m " + " ".join(f"WHEN {i} THEN '{t.replace(chr(39), chr(39) * 2)}'" for i, t in enumerate(texts)) + f" ELSE '{paths.UNKNOWN if column == 4 else ''}' END"
 
 
-@sql("""SELECT DISTINCT CASE page_id % 4 WHEN 0 THEN '/proc/' || page_id || '/maps' WHEN 1 THEN '/sys/class/net/eth' || page_id || '/mtu' WHEN 2 THEN '/sys/block/sd' || page_id || '/stat' ELSE '/sys/kernel/mm/page_' || page_id END AS path,
-        CASE page_id % 4 WHEN 0 THEN 'show_map,proc_pid_maps_open' WHEN 1 THEN 'mtu_show,mtu_store' WHEN 2 THEN 'queue_stat_show' ELSE '' END AS functions, CASE WHEN page_id % 4 = 3 THEN 'low' ELSE 'high' END AS confidence FROM pages""")
+@sql(f"""WITH p AS (SELECT page_id, url, page_id % 4 AS m, CASE page_id % 4 WHEN 0 THEN '/proc/' || page_id || '/maps' WHEN 1 THEN '/sys/class/net/eth' || page_id || '/mtu' WHEN 2 THEN '/sys/block/sd' || page_id || '/stat' ELSE '/sys/kernel/mm/page_' || page_id END AS path FROM pages)
+        SELECT path, {_rule_values(1)} AS files, {_rule_values(2)} AS functions, {_rule_values(3)} AS structs, {_rule_values(4)} AS description,
+        max(CASE WHEN page_id % 2 = 0 THEN url END) AS live_value, CASE WHEN m = 3 THEN 'low' ELSE 'high' END AS confidence FROM p GROUP BY path, m""")
 def path_scan(spark: SparkSession, d: str) -> DataFrame:
-    return paths.scanned(_probed(spark, d), paths.rules(spark)).select("path", F.array_join("functions", ",").alias("functions"), "confidence")
+    live = table(spark, d, "pages").where("page_id % 2 = 0").select(_probe().alias("path"), F.col("url").alias("value"))
+    found = paths.scanned(_probed(spark, d), paths.rules(spark), live=live)
+    return found.select("path", *(F.array_join(c, ",").alias(c) for c in ("files", "functions", "structs")), "description", "live_value", "confidence")
 
 
 @sql(None)
@@ -474,8 +489,8 @@ def path_scan_vectors(spark: SparkSession, d: str) -> DataFrame:
     index = vector_search.HyperplaneIndex.build(vectors, _folder(spark, "planes"), bits=6)
     near = index.search(asked.select(number, embed(paths.scan_query(F.col("path"))).alias("q")), 5, catalog.SHARE)
     hits = near.join(asked.select(number, "path"), "query").select("path", "rank", "score", F.concat(F.lit("p"), "id").alias("id"))
-    hits = hits.join(_nodes(spark, d), "id").select("path", "rank", "score", "file_path", "symbol_name", "node_type")
-    return paths.scanned(asked, paths.rules(spark), hits).select("path", "confidence", F.size("files").alias("n_files"))
+    hits = hits.join(_nodes(spark, d), "id").select("path", "rank", "score", "file_path", "symbol_name", "node_type", "docstring")
+    return paths.scanned(asked, paths.rules(spark), hits).select("path", "confidence", "description", F.size("files").alias("n_files"))
 
 
 @sql("""SELECT DISTINCT path, 'sysfs attribute handler for ' || CASE WHEN m = 0 THEN 'maps' WHEN m = 1 THEN 'mtu' WHEN m = 2 THEN 'stat' ELSE 'page ' || page_id END || ' in ' || CASE m WHEN 0 THEN 'proc ' || page_id WHEN 1 THEN 'sys class net eth' || page_id WHEN 2 THEN 'sys block sd' || page_id ELSE 'sys kernel mm' END || ' subsystem, show store read write function' AS query

@@ -32,12 +32,13 @@ _own: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset a folder of our own on a local master, and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or next(iter(_own), None)
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        _own.append(found)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        found = _own[0]
     return found.rstrip("/")
 
 

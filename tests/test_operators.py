@@ -302,6 +302,9 @@ def test_prompt_shrinks_and_is_marked(spark):
 def test_providers():
     prompts.PROVIDERS["echo"] = lambda model, prompt: iter([model, ":", prompt])
     assert prompts.answer("echo:m1", "hi") == "m1:hi" and prompts.provider("llama3") == ("ollama", "llama3")
+    assert prompts.provider("openai:gpt-4o") == ("openai", "gpt-4o") and prompts.provider("ollama:coder:6.7b") == ("ollama", "coder:6.7b")
+    with pytest.raises(LookupError):
+        prompts.answer("openai:gpt-4o", "hi")
     with pytest.raises(LookupError):
         prompts.answer("llama3", "hi")
 

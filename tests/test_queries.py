@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.plans import catalog, oracle, workflows  # noqa: F401
+from lodestone.plans import catalog, oracle, repository, workflows  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
