@@ -186,11 +186,14 @@ def unmatched(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def node_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """metric, key, n: nodes and edges in all, by type."""
+    """metric, key, n: nodes, different symbols and edges in all, and by type; nodes by layer if they have one."""
 
     def counted(rows: DataFrame, metric: str, key: str) -> DataFrame:
         return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "key", "n")
 
     total = nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("metric"), F.lit("").alias("key"), "n")
     total = total.unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("metric"), F.lit("").alias("key"), "n"))
+    total = total.unionByName(nodes.agg(F.countDistinct("symbol_name").alias("n")).select(F.lit("symbols").alias("metric"), F.lit("").alias("key"), "n"))
+    if "layer" in nodes.columns:
+        total = total.unionByName(counted(nodes, "layer", "layer").withColumn("key", F.col("key").cast("string")))
     return total.unionByName(counted(nodes, "node_type", "node_type")).unionByName(counted(edges, "edge_type", "edge_type"))

@@ -8,20 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.functions.address import offset_ref, to_hex
 from lodestone.operators import asof
 
-#: Structures that references are looked for from the start.
-CORE_STRUCTS = [
-    "task_struct", "mm_struct", "vm_area_struct", "file", "inode",
-    "socket", "sk_buff", "net_device", "super_block", "dentry",
-    "page", "address_space", "bio", "request", "wait_queue_head",
-    "mutex", "spinlock_t", "rcu_head", "kobject", "device",
-    "pci_dev", "platform_device", "irq_desc", "timer_list",
-    "work_struct", "delayed_work", "completion", "semaphore",
-    "rq", "cfs_rq", "rt_rq", "sched_entity", "sched_class",
-    "pglist_data", "zone", "page_pool", "kmem_cache",
-    "sock", "tcp_sock", "inet_sock", "net", "net_proto_family",
-    "gendisk", "block_device", "elevator_queue",
-    "rwlock_t", "rwsem",
-]
 #: Symbols whose address tells whether addresses are shown at all.
 PROBED = ("_text", "startup_64")
 

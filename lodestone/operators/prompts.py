@@ -15,10 +15,17 @@ MARGIN, LEAST, CODE_SHARE, MOST_NODES, STEP = 200, 256, 0.75, 12, 2
 MARKER = "\n... [truncated for token budget]"
 
 
+#: Characters of a node's comment and of its code that a prompt shows.
+SHOWN_DOC, SHOWN_CODE = 300, 1000
+
+
 def context_block(node: Column) -> Column:
-    """A node's header and code; ``node``: file_path, line, symbol_name, node_type, docstring, code."""
-    head = F.concat(F.lit("// "), line_ref(node["file_path"], node["line"]), F.lit(" ("), node["node_type"], F.lit(" "), node["symbol_name"], F.lit(")"))
-    return F.concat_ws("\n", head, F.when(node["docstring"] != "", node["docstring"]), F.when(node["code"] != "", node["code"]))
+    """A node as a prompt shows it; ``node``: file_path, line_start, line_end, symbol_name, node_type, docstring, code."""
+    # Fixed value: the form of the block.
+    head = F.concat(F.lit("=== "), F.upper(node["node_type"]), F.lit(": "), node["symbol_name"], F.lit(" ==="))
+    place = F.concat(F.lit("File: "), node["file_path"], F.lit("  Lines: "), node["line_start"].cast("string"), F.lit("–"), node["line_end"].cast("string"))
+    doc = F.when(node["docstring"] != "", F.concat(F.lit("Doc: "), F.substring(node["docstring"], 1, SHOWN_DOC)))
+    return F.concat_ws("\n", head, place, doc, F.substring(F.coalesce(node["code"], F.lit("")), 1, SHOWN_CODE))
 
 
 def cut(text: Column, most: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import first_sentence, path_subsystem
 from lodestone.operators.ranking import numbered
 from lodestone.session import written
 
@@ -76,6 +77,30 @@ def caller_queries(edges: DataFrame) -> DataFrame:
     return pairs.join(n, "dst").select("dst", F.col("src").alias("positive"), "n_callers")
 
 
+def callers_index(nodes: DataFrame) -> DataFrame:
+    """callee, callers (ids), subsystems: who names a callee in its calls, and where those live; nodes (id, file_path, calls)."""
+    pairs = nodes.select(F.explode(F.array_distinct("calls")).alias("callee"), "id", path_subsystem(F.col("file_path")).alias("subsystem")).where("callee <> ''")
+    return pairs.groupBy("callee").agg(F.sort_array(F.collect_set("id")).alias("callers"), F.sort_array(F.collect_set("subsystem")).alias("subsystems"))
+
+
+def callee_queries(nodes: DataFrame) -> DataFrame:
+    """query, positives (all callers), difficulty, source for every callee."""
+    index = callers_index(nodes)
+    return index.select(F.concat(F.lit("find functions that call "), "callee").alias("query"), F.col("callers").alias("positives"), F.lit(0.7).alias("difficulty"), F.lit("caller_callee").alias("source"))
+
+
+#: Characters of the shortest function that a question is made of.
+LEAST_CODE = 30
+
+
+def strategies(nodes: DataFrame, least: int = LEAST_CODE) -> list[DataFrame]:
+    """The rows of all four strategies: nodes (id, symbol_name, file_path, code, docstring, calls) whose code has ``least`` characters."""
+    own = nodes.where(F.length("code") >= least)
+    groups = own.select("id", path_subsystem(F.col("file_path")).alias("subsystem"), F.length("code").alias("size"))
+    named = own.where(F.coalesce("symbol_name", F.lit("")) != "")
+    return [symbol_queries(named), sentence_queries(own, first_sentence(F.col("docstring"), F.col("code"))), callee_queries(own), subsystem_queries(groups)]
+
+
 #: What well-known subsystems are about.
 TOPICS = {
     "mm": "memory management",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import embedder
-from lodestone.functions.text import path_subsystem, tokens
+from lodestone.functions.text import first_sentence, path_subsystem, tokens
 from lodestone.functions.vectors import cosine
 from lodestone.operators import asof, bm25, graph, metrics, patches, search, traindata, vector_search
 from lodestone.session import shared_dir, table, written
@@ -481,9 +481,7 @@ def synth_symbol(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def synth_sentence(spark: SparkSession, d: str) -> DataFrame:
-    sentence = F.regexp_extract(F.regexp_replace("text", r"[ \n\t]+", " "), r"^(.*?\.) ", 1)
-    good = F.when(F.length(sentence).between(15, 300), sentence)
-    return traindata.sentence_queries(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), good).select("query", F.get("positives", 0).alias("positive"))
+    return traindata.sentence_queries(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), first_sentence(F.col("text"))).select("query", F.get("positives", 0).alias("positive"))
 
 
 @query

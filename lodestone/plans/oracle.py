@@ -199,7 +199,9 @@ ORACLE: dict[str, str] = {
     "curriculum_ratio": """SELECT doc_id, CAST(e AS INTEGER) AS epoch, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.8::DOUBLE * (e / 3.0::DOUBLE + (1.0::DOUBLE - e / 3.0::DOUBLE) * (1.0::DOUBLE - (doc_id % 11) / 10.0::DOUBLE)))), 6) AS ratio
         FROM documents, (SELECT unnest(range(0, 4)) AS e)""",
     "synth_symbol": "SELECT 'how does ' || p_name || ' work' AS query, p_partkey AS positive, 0.5::DOUBLE AS difficulty FROM part",
-    "synth_sentence": r"SELECT query, positive FROM (SELECT doc_id AS positive, regexp_extract(regexp_replace(text, '[ \n\t]+', ' ', 'g'), '^(.*?\.) ', 1) AS query FROM documents) WHERE length(query) BETWEEN 15 AND 300",
+    "synth_sentence": r"""WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '(?m)^\s*\*+\s?', ' ', 'g'), '/\*+|\*+/', ' ', 'g'), '\s+', ' ', 'g')) AS flat FROM documents WHERE trim(text) <> ''),
+        t AS (SELECT doc_id, CASE WHEN regexp_extract(flat, '^(.*?\.)\s', 1) <> '' THEN regexp_extract(flat, '^(.*?\.)\s', 1) ELSE flat END AS s FROM f)
+        SELECT s AS query, doc_id AS positive FROM t WHERE length(s) BETWEEN 15 AND 300 AND length(s) - length(replace(replace(s, '{', ''), ';', '')) <= 3""",
     "synth_topk_len": "SELECT doc_id, source, n_chars, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, source, n_chars, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE n >= 3 AND rank <= 5",
     "easy_negatives_hash": """WITH pool AS (SELECT doc_id AS id, source, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS pos, count(*) OVER () AS total FROM documents),
         g AS (SELECT source, min(pos) AS start, count(*) AS size, any_value(total) - count(*) AS rest FROM pool GROUP BY source),

@@ -139,17 +139,26 @@ def synth_subsystem(spark: SparkSession, d: str) -> DataFrame:
     return traindata.subsystem_queries(nodes).select("query", F.array_join(F.transform("positives", lambda x: x.cast("string")), ",").alias("positives"))
 
 
-def _synth(spark: SparkSession, d: str) -> DataFrame:
-    own = _nodes(spark, d)
-    symbols = traindata.symbol_queries(own.select("id", "symbol_name"))
-    groups = traindata.subsystem_queries(own.select("id", F.get(F.split("file_path", "/"), 0).alias("subsystem"), F.length("code").alias("size")))
-    return traindata.generated([symbols, groups], 42, 100)
-
-
-@sql(None)
+_SUBSYSTEMS = "CASE grp " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in traindata.TOPICS.items()) + " ELSE replace(grp, '_', ' ') END"
+
+
+@sql(rf"""WITH n AS (SELECT doc_id AS id, 'fn' || doc_id AS symbol, source AS grp, text AS code, list_distinct(list_transform(string_split_regex(text[1:200], '[^a-zA-Z]+'), lambda x: lower(x))) AS calls FROM documents WHERE length(text) >= 30),
+        f AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(trim(code), '(?m)^\s*\*+\s?', ' ', 'g'), '/\*+|\*+/', ' ', 'g'), '\s+', ' ', 'g')) AS flat FROM n WHERE trim(code) <> ''),
+        t AS (SELECT id, CASE WHEN regexp_extract(flat, '^(.*?\.)\s', 1) <> '' THEN regexp_extract(flat, '^(.*?\.)\s', 1) ELSE flat END AS s FROM f),
+        g AS (SELECT grp, id, count(*) OVER (PARTITION BY grp) AS k, row_number() OVER (PARTITION BY grp ORDER BY length(code) DESC, id) AS r FROM n),
+        made AS (
+            SELECT 'how does ' || symbol || ' work' AS query, '[' || id || ']' AS positives, 'symbol' AS source FROM n
+            UNION ALL SELECT s, '[' || id || ']', 'docstring' FROM t WHERE length(s) BETWEEN 15 AND 300 AND length(s) - length(replace(replace(s, '{{', ''), ';', '')) <= 3
+            UNION ALL SELECT 'find functions that call ' || c, '[' || string_agg(CAST(id AS VARCHAR), ', ' ORDER BY id) || ']', 'caller_callee' FROM (SELECT id, unnest(calls) AS c FROM n) WHERE c <> '' GROUP BY c
+            UNION ALL SELECT 'explain ' || {_SUBSYSTEMS} || ' in ' || grp, '[' || string_agg(CAST(id AS VARCHAR), ', ' ORDER BY r) || ']', 'subsystem' FROM g WHERE k >= 3 AND r <= 5 GROUP BY grp
+        ), placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || query || ':' || positives), query) AS r FROM made)
+        SELECT source, query, md5(positives) AS positives, md5('42:' || source || ':' || query || ':' || positives) AS place FROM placed WHERE r <= 2000""")
 def synth_generated(spark: SparkSession, d: str) -> DataFrame:
-    """Both strategies' rows, at most a hundred each (the generator's limit), in a seeded order."""
-    return _synth(spark, d).select("source", "query", F.array_join("positives", ",").alias("positives"), "place")
+    """All four strategies over the documents as functions, at most 2000 rows each (the generator's limit), in a seeded order; calls are the words of a text's first 200 characters."""
+    text = F.col("text")
+    calls = F.array_distinct(F.transform(F.split(F.substring(text, 1, 200), "[^a-zA-Z]+"), F.lower))
+    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("fn"), "doc_id").alias("symbol_name"), F.col("source").alias("file_path"), text.alias("code"), text.alias("docstring"), calls.alias("calls"))
+    return traindata.generated(traindata.strategies(nodes)).select("source", "query", F.md5(F.col("positives").cast("string").cast("binary")).alias("positives"), "place")
 
 
 @sql("WITH r AS (SELECT doc_id, CAST(CAST('0x' || substr(md5('42:' || doc_id), 1, 12) AS BIGINT) % 100 AS INTEGER) AS x FROM documents) SELECT doc_id, CASE WHEN x < 10 THEN 'val' ELSE 'train' END AS split FROM r")
@@ -313,7 +322,7 @@ def type_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @sql(f"""WITH {oracle._EDGES}, {_NODES} SELECT 'nodes' AS metric, '' AS "key", count(*) AS n FROM nodes UNION ALL SELECT 'edges', '', count(*) FROM edges
-        UNION ALL SELECT 'node_type', node_type, count(*) FROM nodes GROUP BY node_type UNION ALL SELECT 'edge_type', edge_type, count(*) FROM edges GROUP BY edge_type""")
+        UNION ALL SELECT 'symbols', '', count(DISTINCT symbol_name) FROM nodes UNION ALL SELECT 'node_type', node_type, count(*) FROM nodes GROUP BY node_type UNION ALL SELECT 'edge_type', edge_type, count(*) FROM edges GROUP BY edge_type""")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_stats(_nodes(spark, d), catalog._edges(spark, d))
 
@@ -341,6 +350,7 @@ _NODE_SCHEMA = "id string, symbol_name string, node_type string, layer int"
 
 @sql(f"""WITH {_NODES}, l AS (SELECT id, symbol_name, CASE WHEN line % 10 = 0 THEN 'updated' ELSE node_type END AS node_type FROM nodes WHERE line % 5 <> 0 OR line % 10 = 0)
         SELECT 'nodes' AS metric, '' AS "key", count(*) AS n FROM l UNION ALL SELECT 'node_type', node_type, count(*) FROM l GROUP BY node_type
+        UNION ALL SELECT 'symbols', '', count(DISTINCT symbol_name) FROM l UNION ALL SELECT 'layer', '1', count(*) FROM l
         UNION ALL SELECT 'edges', '', count(*) FROM nodes a WHERE a.line % 5 <> 0 UNION ALL SELECT 'edge_type', 'SELF', count(*) FROM nodes a WHERE a.line % 5 <> 0""")
 def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of layer 1 and the edges inside it saved, read, upserted, saved and counted."""
@@ -569,13 +579,19 @@ def three_arms(spark: SparkSession, d: str) -> DataFrame:
 # --- prompts ------------------------------------------------------------------------------------
 
 
-@sql("""WITH r AS (SELECT conv_id AS query, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id) SELECT query, n AS nodes FROM r WHERE n <= 12 AND length(t) <= 6000""")
+@sql("""WITH c AS (SELECT conv_id AS query, list(coalesce(text, '') ORDER BY turn) AS b FROM conversations GROUP BY conv_id),
+        f AS (SELECT query, b, greatest(1, length('You explain code.' || chr(10) || 'why?') // 4) AS fixed FROM c),
+        s AS (SELECT query, b, fixed, CAST(floor(greatest(256, 700 - fixed - 200) * 0.75) AS BIGINT) * 4 AS most FROM f),
+        k AS (SELECT *, least(len(b), coalesce(list_max(list_filter([2, 4, 6, 8, 10, 12], lambda n: length(array_to_string(b[1:n], chr(10) || chr(10))) <= most)), 2)) AS nodes FROM s),
+        j AS (SELECT query, fixed, most, nodes, array_to_string(b[1:nodes], chr(10) || chr(10)) AS code FROM k),
+        p AS (SELECT query, fixed, nodes, '=== CODE ===' || chr(10) || CASE WHEN length(code) > most THEN code[1:most] || chr(10) || '... [truncated for token budget]' ELSE code END || chr(10) || chr(10) || '[no live state]' AS body FROM j)
+        SELECT query, CAST(nodes AS INTEGER) AS nodes, CAST(fixed + greatest(1, length(body) // 4) AS INTEGER) AS tokens,
+        md5('You explain code.' || chr(10) || chr(10) || body || chr(10) || chr(10) || '=== QUESTION ===' || chr(10) || 'why?') AS prompt FROM p""")
 def prompt_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as questions: those whose turns all fit keep all of them."""
+    """All conversations as questions with their turns as blocks, in a budget so small that long ones shrink and some are cut off."""
     rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda s: s["text"]).alias("blocks"))
     asked = rows.select("query", F.lit("why?").alias("question"), F.lit("You explain code.").alias("system"), "blocks", F.lit("").alias("live"))
-    fits = (F.size("blocks") <= 12) & (F.length(F.array_join("blocks", "\n\n")) <= 6000)
-    return prompts.assembled(asked.where(fits), 8192).select("query", "nodes")
+    return prompts.assembled(asked, 700).select("query", "nodes", "tokens", F.md5("prompt").alias("prompt"))
 
 
 @sql("SELECT o_orderkey AS query, string_agg(r, ',' ORDER BY l_linenumber, r) AS sources FROM (SELECT DISTINCT o_orderkey, l_linenumber, 'Brand/' || l_partkey || ':' || l_linenumber AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey")
@@ -585,6 +601,8 @@ def prompt_sources(spark: SparkSession, d: str) -> DataFrame:
     return prompts.sources(primaries).withColumn("sources", F.array_join("sources", ","))
 
 
-@sql(f"WITH {_NODES} SELECT id, '// ' || file_path || CASE WHEN line > 0 THEN ':' || line ELSE '' END || ' (' || node_type || ' ' || symbol_name || ')' || chr(10) || code AS block FROM nodes")
+@sql(f"""WITH {_NODES} SELECT id, '=== ' || upper(node_type) || ': ' || symbol_name || ' ===' || chr(10) || 'File: ' || file_path || '  Lines: ' || line || '–' || (line + length(code)) || chr(10) || 'Doc: ' || repeat(symbol_name, 60)[1:300] || chr(10) || repeat(code, 40)[1:1000] AS block FROM nodes""")
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).select("id", prompts.context_block(F.struct("file_path", "line", "symbol_name", "node_type", "docstring", "code")).alias("block"))
+    """Parts as nodes with long comments and code, of which a block shows the beginnings."""
+    node = F.struct("file_path", F.col("line").alias("line_start"), (F.col("line") + F.length("code")).alias("line_end"), "symbol_name", "node_type", F.repeat("symbol_name", F.lit(60)).alias("docstring"), F.repeat("code", F.lit(40)).alias("code"))
+    return _nodes(spark, d).select("id", node.alias("node")).select("id", prompts.context_block(F.col("node")).alias("block"))

@@ -20,6 +20,20 @@ from lodestone.functions.text import includes
 NODE = "id string, node_type string, symbol_name string, file_path string, line_start int, line_end int, code string, docstring string, calls array<string>, names array<string>"
 #: Parts of paths that are not indexed.
 SKIPPED = [".mod.c", ".tmp.", "compat_ioctl", "/test/", "/tests/", "/.git/", "/tools/testing/"]
+#: Structures that references are looked for from the start.
+CORE_STRUCTS = [
+    "task_struct", "mm_struct", "vm_area_struct", "file", "inode",
+    "socket", "sk_buff", "net_device", "super_block", "dentry",
+    "page", "address_space", "bio", "request", "wait_queue_head",
+    "mutex", "spinlock_t", "rcu_head", "kobject", "device",
+    "pci_dev", "platform_device", "irq_desc", "timer_list",
+    "work_struct", "delayed_work", "completion", "semaphore",
+    "rq", "cfs_rq", "rt_rq", "sched_entity", "sched_class",
+    "pglist_data", "zone", "page_pool", "kmem_cache",
+    "sock", "tcp_sock", "inet_sock", "net", "net_proto_family",
+    "gendisk", "block_device", "elevator_queue",
+    "rwlock_t", "rwsem",
+]
 #: Bytes of the largest file that is read.
 MOST_BYTES = 2 << 20
 #: Words that are followed by a parenthesis without being calls.
@@ -128,7 +142,7 @@ def skipped(path: Column) -> Column:
     return found
 
 
-def nodes(sources: DataFrame, known: list[str] | None = None) -> DataFrame:
+def nodes(sources: DataFrame, known: list[str] | None = CORE_STRUCTS) -> DataFrame:
     """Node rows of sources (path, content): uses_structs holds names of structs of the corpus or of ``known``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
