@@ -55,10 +55,5 @@ def decoded(raw: Column, fields: Column, little: bool = True) -> Column:
 
     Fields of 1, 2, 4 or 8 bytes that lie wholly in the buffer; values are decimals, as eight bytes go beyond a long.
     """
-    inside = F.filter(fields, lambda f: f["byte_size"].isin(1, 2, 4, 8) & (f["byte_offset"] >= 0) & (f["byte_offset"] + f["byte_size"] <= F.octet_length(raw)))
-
-    def value(f: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), f["byte_size"]), lambda i: F.hex(F.substring(raw, f["byte_offset"] + i, F.lit(1))))
-        return F.conv(F.array_join(F.reverse(each) if little else each, ""), 16, 10).cast("decimal(20,0)")
-
-    return F.map_from_entries(F.transform(inside, lambda f: F.struct(f["field"], value(f))))
+    valued = F.transform(fields, lambda f: F.struct(f["field"].alias("field"), F.when(f["byte_offset"] >= 0, decode_unsigned(raw, f["byte_offset"], f["byte_size"], little)).alias("value")))
+    return F.map_from_entries(F.filter(valued, lambda f: f["value"].isNotNull()))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import query_text
+from lodestone.operators.vector_search import HyperplaneIndex
+
 #: Patterns of well-known paths, with the files, functions and structures behind them, and a description (our own words).
 #: The first that matches a whole path wins.
 KNOWN_PATHS = [
@@ -93,3 +98,14 @@ def scanned(paths: DataFrame, table: DataFrame, hits: DataFrame | None = None, l
     values = live.groupBy(F.trim("path").alias("path")).agg(F.max("value").alias("live_value")) if live is not None else None
     found = found.join(values, "path", "left") if values is not None else found.withColumn("live_value", F.lit(None).cast("string"))
     return found.select("path", *(F.coalesce(c, none).alias(c) for c in ("files", "functions", "structs")), F.coalesce("description", F.lit(UNKNOWN)).alias("description"), "live_value", "confidence")
+
+
+def handler_hits(asked: DataFrame, index: HyperplaneIndex, embed: Callable[[Column], Column], k: int = 5, share: float = 0.7) -> DataFrame:
+    """path, rank, id, score: for each path (path) the k functions of the index that its handlers' question is nearest to.
+
+    ``index``: rows (id, v, node_type); only functions are searched.
+    """
+    trimmed = asked.select(F.trim("path").alias("path")).distinct()
+    number = F.xxhash64("path").alias("query")
+    found = index.search(trimmed.select(number, embed(query_text(handler_query(F.col("path")))).alias("q")), k, share, where="node_type = 'function'")
+    return found.join(trimmed.select(number, "path"), "query").select("path", "rank", "id", "score")

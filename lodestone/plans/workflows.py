@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import chunking
+from lodestone.functions import chunking, render
 from lodestone.functions import text as texts
 from lodestone.functions.embedding import embedder
 from lodestone.operators import bm25, evaluate, graph, lookup, paths, prompts, proposals, search, store, traindata, vector_search
@@ -184,7 +184,16 @@ def mined_commits(spark: SparkSession, d: str) -> DataFrame:
     return traindata.mined(log, starts, ranges, 64).select("sha", F.array_join("positives", ",").alias("positives"))
 
 
-@sql(None)
+_SAME = "(SELECT d.source FROM documents d WHERE d.doc_id = p.doc) = (SELECT d.source FROM placed b JOIN documents d ON d.doc_id = b.doc WHERE b.query = p.query AND b.r = 1)"
+
+
+@sql(f"""WITH {oracle._scores()}, {oracle._negatives(_SAME).replace("negatives AS", "close AS", 1)}, {oracle._negatives().replace("negatives AS", "wide AS", 1)},
+        short AS (SELECT query FROM (SELECT DISTINCT query FROM positives) q WHERE (SELECT count(*) FROM close c WHERE c.query = q.query) < 8),
+        hard AS (SELECT query, doc, score, rank FROM close WHERE query NOT IN (SELECT query FROM short) UNION ALL SELECT query, doc, score, rank FROM wide WHERE query IN (SELECT query FROM short)),
+        gaps AS (SELECT q.query, coalesce(round(b.pos - n.score, 6), 0.0::DOUBLE) AS gap FROM (SELECT DISTINCT query FROM positives) q
+            LEFT JOIN (SELECT query, max(score) AS pos FROM scores SEMI JOIN positives USING (query, doc) GROUP BY query) b USING (query) LEFT JOIN (SELECT query, score FROM hard WHERE rank = 1) n USING (query)),
+        lists AS (SELECT query, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY rank) AS hard, CAST(count(*) AS INTEGER) AS n_hard FROM hard GROUP BY query)
+        SELECT query, gap, round(1.0::DOUBLE - (rank() OVER (ORDER BY gap) - 1) / CAST(greatest(count(*) OVER () - 1, 1) AS DOUBLE), 6) AS difficulty, n_hard, 8 AS n_easy, hard FROM gaps JOIN lists USING (query)""")
 def enriched_triplets(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items with hard negatives of their best document's source, easy ones, and a difficulty."""
     scores = catalog._index(spark, d).scores(catalog._asked(spark, d))
@@ -510,6 +519,24 @@ def handler_queries(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("path", paths.handler_query(F.col("path")).alias("query"))
 
 
+@sql(None)
+def handler_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five functions nearest to every path's handlers' question."""
+    embed = embedder(64)
+    rows = _nodes(spark, d).select(F.substring("id", 2, 20).cast("long").alias("id"), embed("code").alias("v"), "node_type")
+    index = vector_search.HyperplaneIndex.build(rows, _folder(spark, "planes"), bits=6)
+    return paths.handler_hits(_probed(spark, d), index, embed, 5, catalog.SHARE)
+
+
+@sql(f"""WITH p AS (SELECT page_id, page_id % 4 AS m, CASE page_id % 4 WHEN 0 THEN '/proc/' || page_id || '/maps' WHEN 1 THEN '/sys/class/net/eth' || page_id || '/mtu' WHEN 2 THEN '/sys/block/sd' || page_id || '/stat' ELSE '/sys/kernel/mm/page_' || page_id END AS path FROM pages),
+        r AS (SELECT DISTINCT path, CASE WHEN m = 3 THEN 'low' ELSE 'high' END AS c, {_rule_values(1)} AS f, {_rule_values(2)} AS g, {_rule_values(3)} AS s, {_rule_values(4)} AS t FROM p)
+        SELECT path, 'X-RAY: ' || path || chr(10) || 'Confidence: ' || c || chr(10) || chr(10) || 'Source: ' || CASE f WHEN '' THEN 'unknown' ELSE replace(f, ',', ', ') END || chr(10) || 'Handlers: ' || CASE g WHEN '' THEN 'unknown' ELSE replace(g, ',', ', ') END
+        || chr(10) || 'Structs: ' || CASE s WHEN '' THEN 'unknown' ELSE replace(s, ',', ', ') END || chr(10) || chr(10) || t AS text FROM r""")
+def path_scan_text(spark: SparkSession, d: str) -> DataFrame:
+    found = paths.scanned(_probed(spark, d), paths.rules(spark))
+    return found.select("path", render.scan_text(F.struct(*found.columns)).alias("text"))
+
+
 @sql("SELECT CAST(i AS INTEGER) AS ordinal, p AS pattern FROM (SELECT unnest(range(16)) AS i, unnest([" + ", ".join("'" + r[0] + "'" for r in paths.KNOWN_PATHS) + "]) AS p)")
 def path_rules(spark: SparkSession, d: str) -> DataFrame:
     return paths.rules(spark).select("ordinal", "pattern")
@@ -559,7 +586,13 @@ def batch_recall(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.batch_recall(scores, 2)
 
 
-@sql(None)
+@sql(f"""WITH {oracle._scores()}, {oracle._GOLD}, top AS (SELECT * FROM placed WHERE r <= 20),
+        words AS (SELECT item_id AS query, list_distinct({oracle._tokens("text")}) AS q FROM benchmark),
+        near AS (SELECT p.query, p.doc, round(CAST(len(list_intersect(w.q, {oracle._tokens("d.text")})) AS DOUBLE) / greatest(len(w.q), 1), 6) AS score FROM top p JOIN documents d ON d.doc_id = p.doc JOIN words w ON w.query = p.query),
+        learned AS (SELECT query, doc, rank FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM near) WHERE rank <= 10),
+        ruled AS (SELECT query, id AS doc, rank FROM ({oracle._rerank("WHEN 'en' THEN 1.0::DOUBLE WHEN 'de' THEN 0.9::DOUBLE", "0.7", "top", 10)})),
+        m AS (SELECT 'keyword' AS arm, * FROM ({oracle._metrics("(SELECT query, doc, r AS rank FROM top WHERE r <= 10)")}) UNION ALL SELECT 'rule', * FROM ({oracle._metrics("ruled")}) UNION ALL SELECT 'learned', * FROM ({oracle._metrics("learned")}))
+        SELECT arm, round(avg(ndcg_retrieved), 6) AS ndcg_retrieved, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM m GROUP BY arm""")
 def three_arms(spark: SparkSession, d: str) -> DataFrame:
     """Keyword search, rules and a model's slot (here the share of the question's words in the text) side by side."""
     found = catalog._index(spark, d).search(catalog._asked(spark, d), 20)
@@ -573,7 +606,7 @@ def three_arms(spark: SparkSession, d: str) -> DataFrame:
     asked = catalog._asked(spark, d).withColumnRenamed("text", "question")
     learned = evaluate.learned_rerank(met.select("query", "id", "text").join(asked, "query"), overlap, 10)
     ruled = search.rule_rerank(met.drop("text"), {"en": 1.0, "de": 0.9}, 0.7, 10)
-    return evaluate.compared({"keyword": found.select("query", "rank", "doc"), "rule": evaluate.baseline(ruled), "learned": evaluate.baseline(learned)}, catalog._gold(spark, d))
+    return evaluate.compared({"keyword": found.where("rank <= 10").select("query", "rank", "doc"), "rule": evaluate.baseline(ruled), "learned": evaluate.baseline(learned)}, catalog._gold(spark, d))
 
 
 # --- prompts ------------------------------------------------------------------------------------

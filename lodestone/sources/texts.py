@@ -47,3 +47,15 @@ def cache_key(files: DataFrame) -> DataFrame:
     """path, key of binary files: time, size and crc32 of the first 64 KiB."""
     key = F.concat_ws("-", F.unix_seconds("modificationTime").cast("string"), F.col("length").cast("string"), F.crc32(F.substring("content", 1, 65536)).cast("string"))
     return files.select("path", key.alias("key"))
+
+
+#: Characters of a live value that are kept.
+LIVE_CHARS = 256
+
+
+def live_values(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root), value of the files there as they are now: white space around them goes, and so does what is beyond LIVE_CHARS."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
+    path = F.regexp_replace("path", "^.*?" + root.removeprefix("file://").rstrip("/").replace(".", r"\."), "")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), r"^\s+|\s+$", "")
+    return files.select(path.alias("path"), F.substring(text, 1, LIVE_CHARS).alias("value"))
