@@ -7,7 +7,7 @@ they are ranked, so that the order of a sum never decides a rank.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_term, raw_tokens, tokens
@@ -15,6 +15,12 @@ from lodestone.operators.ranking import running
 from lodestone.session import written
 
 K1, B = 1.5, 0.75
+#: Folders of a saved index, and postings of a file of one.
+BUCKETS, FILE_ROWS = 64, 5_000_000
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 class Index:
@@ -31,22 +37,39 @@ class Index:
         self.stats = n.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl"))
 
     def save(self, path: str) -> None:
-        """Write the index: postings (files sorted by term, dealt by term and document, so a very common term is spread), frequencies, lengths and statistics."""
-        self.postings.sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
-        saved = self.postings.sparkSession.read.parquet(f"{path}/postings")
-        saved.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-        saved.groupBy("doc").agg(F.sum("tf").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
-        total = saved.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
+        """Write the index: postings with what a score needs (the document's length, the term's frequency), frequencies, lengths and statistics.
+
+        Postings lie in BUCKETS folders by a hash of the term, so a search reads those of its terms alone; a folder is
+        dealt by document, so a very common term is many tasks.
+        """
+        spark = self.postings.sparkSession
+        raw = written(self.postings, "postings")
+        raw.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+        raw.groupBy("doc").agg(F.sum("tf").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+        frequencies, lengths = (spark.read.parquet(f"{path}/{name}") for name in ("frequencies", "lengths"))
+        whole = raw.join(lengths, "doc").join(frequencies, "term").withColumn("bucket", bucket_of(F.col("term")))
+        whole.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(1 + raw.count() // FILE_ROWS))).sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        total = raw.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
         self.counted.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        self.postings.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         """A saved index; searches read the written tables and tokenise no document."""
         own = cls.__new__(cls)
-        own.postings, own.frequencies, own.lengths, own.stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "frequencies", "lengths", "stats"))
+        own.frequencies, own.lengths, own.stats = (spark.read.parquet(f"{path}/{name}") for name in ("frequencies", "lengths", "stats"))
+        columns = spark.read.parquet(f"{path}/columns").schema
+        own.postings = spark.read.schema(columns.add("length", "long").add("df", "long").add("bucket", "integer")).parquet(f"{path}/postings")
         own.counted = own.stats.select("n")
         return own
 
+    def _of(self, asked: DataFrame) -> DataFrame:
+        """term, doc, tf, length, df of the postings that the terms asked for may be in."""
+        if "length" not in self.postings.columns:
+            return self.postings.join(self.frequencies, "term").join(self.lengths, "doc")
+        buckets = [r["bucket"] for r in asked.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect()]  # at most BUCKETS
+        return self.postings.where(F.col("bucket").isin(buckets))
+
     def scores(self, queries: DataFrame, dedup_terms: bool = True) -> DataFrame:
         """query, doc, score for every document with a term of the query (query, text)."""
         asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
@@ -54,7 +77,7 @@ class Index:
         n, avg = self.stats.select(F.col("n").cast("double")).scalar(), self.stats.select("avg_dl").scalar()
         idf = F.ln((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
         tf = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / avg))
-        met = asked.join(self.frequencies, "term").join(self.postings, "term").join(self.lengths, "doc")
+        met = asked.join(self._of(asked), "term")
         return met.groupBy("query", "doc").agg(F.round(F.sum(idf * tf), 6).alias("score"))
 
     def search(self, queries: DataFrame, k: int = 100) -> DataFrame:

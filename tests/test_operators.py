@@ -328,7 +328,14 @@ def test_saved_index_equals_the_one_in_memory(spark, tmp_path):
     index = bm25.Index(docs)
     index.save(f"file://{tmp_path}/i")
     asked = spark.createDataFrame([(7, "beta alpha")], "query long, text string")
-    assert sorted(bm25.Index.load(spark, f"file://{tmp_path}/i").search(asked).collect()) == sorted(index.search(asked).collect())
+    saved = bm25.Index.load(spark, f"file://{tmp_path}/i")
+    assert sorted(saved.search(asked).collect()) == sorted(index.search(asked).collect())
+    one = spark.createDataFrame([(1, "gamma")], "query long, text string")
+    terms = {r["term"] for r in saved._of(one.selectExpr("query", "text AS term")).collect()}
+    assert "gamma" in terms and saved.search(one).count() == 1
+    empty = bm25.Index(docs.limit(0))
+    empty.save(f"file://{tmp_path}/e")
+    assert bm25.Index.load(spark, f"file://{tmp_path}/e").search(asked).count() == 0
 
 
 def test_a_store_without_versions_is_empty(spark, tmp_path):
