@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.session import written
 
@@ -114,9 +117,34 @@ def latest_state(events: DataFrame, key: str = "id", at: str = "at") -> DataFram
 
 
 def tree_hash(manifest: DataFrame, by: str = "snapshot_id") -> DataFrame:
-    """sha256 of the sorted lines 'path sha256' of each snapshot."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha256"))), "\n")
-    return manifest.groupBy(by).agg(F.sha2(lines.cast("binary"), 256).alias("tree_hash"))
+    """sha256 of the sorted lines 'path sha256' of each snapshot.
+
+    Lines are streamed in order into the digest, so no snapshot's manifest is ever one row; snapshots are read in parallel.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, digest = None, None
+        for batch in batches:
+            names, sums = [], []
+            for own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or own != name:
+                    if digest is not None:
+                        names.append(name), sums.append(digest.hexdigest())
+                    name, digest = own, hashlib.sha256(line.encode())
+                else:
+                    digest.update(f"\n{line}".encode())
+            yield put(names, sums)
+        if digest is not None:
+            yield put([name], [digest.hexdigest()])
+
+    rows = manifest.select(by, F.concat_ws(" ", "path", "sha256").alias("line"))
+    kind = rows.schema[by].dataType
+
+    def put(names: list, sums: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, arrow), pa.array(sums, pa.string())], [by, "tree_hash"])
+
+    arrow = to_arrow_type(kind)
+    return rows.repartition(by).sortWithinPartitions(by, "line").mapInArrow(run, f"{by} {kind.simpleString()}, tree_hash string")
 
 
 def file_at(snapshots: DataFrame, files: DataFrame, snapshot_id: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from lodestone.functions.embedding import embedder
 from lodestone.functions.text import first_sentence, path_subsystem, tokens
 from lodestone.functions.vectors import cosine
 from lodestone.operators import asof, bm25, graph, metrics, patches, search, traindata, vector_search
-from lodestone.session import shared_dir, table, written
+from lodestone.session import folder, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +37,7 @@ def _index(spark: SparkSession, d: str) -> bm25.Index:
     files = [(f, s.getLen(), s.getModificationTime()) for f in sorted(docs.inputFiles()) for s in (path(f).getFileSystem(conf).getFileStatus(path(f)),)]
     key = (spark.sparkContext.applicationId, *files)
     if key not in _SAVED:
-        at = f"{shared_dir(spark)}/lodestone/bm25-{uuid.uuid4().hex}"
+        at = folder(spark, "bm25")
         bm25.Index(docs.select(F.col("doc_id").alias("doc"), "text")).save(at)
         _SAVED[key] = at
     return bm25.Index.load(spark, _SAVED[key])
@@ -142,7 +141,7 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query
 def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
     """Every 50th vector's 10 best in the nearest buckets of a hyperplane index on disk."""
-    at = f"{shared_dir(spark)}/lodestone/planes-{uuid.uuid4().hex}"
+    at = folder(spark, "planes")
     index = vector_search.HyperplaneIndex.build(_vectors(spark, d).select("id", "v"), at, bits=8)
     return vector_search.HyperplaneIndex.load(spark, index.path).search(_vector_queries(spark, d), 10, SHARE)
 

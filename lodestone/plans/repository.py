@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.address import decoded
 from lodestone.operators import mining, mod_store, proposals
 from lodestone.operators.extraction import Cache
-from lodestone.plans.workflows import _folder, sql
-from lodestone.session import table
+from lodestone.plans.workflows import sql
+from lodestone.session import folder, table
 
 #: Lines of a function.
 TALL = 4
@@ -56,7 +56,7 @@ def mined_repository(spark: SparkSession, d: str) -> DataFrame:
     subject = F.when(F.col("id") % 11 == 5, "Merge branch of many changes").otherwise(F.concat(F.lit("mm: change number "), "id", F.lit(" of a document")))
     date = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 1000).cast("int")).cast("string")
     log = own.select(F.concat_ws("\n", F.concat_ws("|", sha, date, subject), path, F.lit("README")).alias("value"))
-    rows = mining.mined(log, diffs, tree, blobs, "2018-01-01", Cache(spark, _folder(spark, "ranges")))
+    rows = mining.mined(log, diffs, tree, blobs, "2018-01-01", Cache(spark, folder(spark, "ranges")))
     return rows.withColumn("date", F.col("date").cast("string")).withColumn("positives", F.array_join("positives", ",")).withColumn("changed_files", F.array_join("changed_files", ","))
 
 
@@ -86,7 +86,7 @@ def preview_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def _worked(spark: SparkSession, d: str) -> tuple[mod_store.ModStore, DataFrame, DataFrame]:
     """A store in which four of seven proposals were accepted and applied in two rounds, the files before, and after."""
-    store = mod_store.ModStore(spark, _folder(spark, "mods"))
+    store = mod_store.ModStore(spark, folder(spark, "mods"))
     files = _files(spark, d).select("path", "content")
     store.propose(_hunks(spark, d), 1)
     now = files

@@ -5,7 +5,6 @@ Each calls the library's function on the nearest test table; SQL is left out whe
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from lodestone.functions import text as texts
 from lodestone.functions.embedding import embedder
 from lodestone.operators import bm25, evaluate, graph, lookup, paths, prompts, proposals, search, store, traindata, vector_search
 from lodestone.plans import catalog, oracle
-from lodestone.session import shared_dir, table
+from lodestone.session import folder, table
 from lodestone.sources import texts as text_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +33,6 @@ def sql(text: str | None) -> Callable[[Query], Query]:
     return put
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
 # --- stand-ins ------------------------------------------------------------------------
 
 
@@ -363,7 +358,7 @@ _NODE_SCHEMA = "id string, symbol_name string, node_type string, layer int"
         UNION ALL SELECT 'edges', '', count(*) FROM nodes a WHERE a.line % 5 <> 0 UNION ALL SELECT 'edge_type', 'SELF', count(*) FROM nodes a WHERE a.line % 5 <> 0""")
 def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of layer 1 and the edges inside it saved, read, upserted, saved and counted."""
-    own = store.Store(spark, _folder(spark, "store"), _NODE_SCHEMA)
+    own = store.Store(spark, folder(spark, "store"), _NODE_SCHEMA)
     nodes = _nodes(spark, d).select("id", "symbol_name", "node_type", "line", F.when(F.col("line") % 5 == 0, 2).otherwise(1).alias("layer"))
     edges = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("SELF").alias("edge_type"))
     own.save(nodes.drop("line"), edges, layer=1)
@@ -374,7 +369,7 @@ def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @sql(f"WITH {oracle._scores().split('placed AS')[0].rstrip().rstrip(',').removeprefix('WITH ')} SELECT query, CAST(rank AS INTEGER) AS rank, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scores) WHERE rank <= 20")
 def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
     """The index is written, and a search reads the written tables."""
-    at = _folder(spark, "bm25")
+    at = folder(spark, "bm25")
     bm25.Index(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")).save(at)
     return bm25.Index.load(spark, at).search(catalog._asked(spark, d), 20).select("query", "rank", "doc", "score")
 
@@ -382,7 +377,7 @@ def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
 @sql("SELECT 'how does ' || p_brand || ' work' AS query, 'p' || p_partkey AS positives, 0.5::DOUBLE AS difficulty, 'symbol' AS source FROM part")
 def triplets_written(spark: SparkSession, d: str) -> DataFrame:
     """Training rows written as JSON lines and read back by their schema."""
-    at = _folder(spark, "triplets")
+    at = folder(spark, "triplets")
     store.write_triplets(traindata.symbol_queries(_nodes(spark, d).select("id", "symbol_name")), at)
     rows = text_sources.json_lines(spark, at, "query string, positives array<string>, difficulty double, source string")
     return rows.withColumn("positives", F.array_join("positives", ","))
@@ -505,7 +500,7 @@ def path_scan_vectors(spark: SparkSession, d: str) -> DataFrame:
     asked = _probed(spark, d).select(F.trim("path").alias("path")).distinct()
     number = (-F.xxhash64("path")).alias("query")
     vectors = _nodes(spark, d).select(F.substring("id", 2, 20).cast("long").alias("id"), embed("code").alias("v"))
-    index = vector_search.HyperplaneIndex.build(vectors, _folder(spark, "planes"), bits=6)
+    index = vector_search.HyperplaneIndex.build(vectors, folder(spark, "planes"), bits=6)
     near = index.search(asked.select(number, embed(paths.scan_query(F.col("path"))).alias("q")), 5, catalog.SHARE)
     hits = near.join(asked.select(number, "path"), "query").select("path", "rank", "score", F.concat(F.lit("p"), "id").alias("id"))
     hits = hits.join(_nodes(spark, d), "id").select("path", "rank", "score", "file_path", "symbol_name", "node_type", "docstring")
@@ -524,7 +519,7 @@ def handler_search(spark: SparkSession, d: str) -> DataFrame:
     """The five functions nearest to every path's handlers' question."""
     embed = embedder(64)
     rows = _nodes(spark, d).select(F.substring("id", 2, 20).cast("long").alias("id"), embed("code").alias("v"), "node_type")
-    index = vector_search.HyperplaneIndex.build(rows, _folder(spark, "planes"), bits=6)
+    index = vector_search.HyperplaneIndex.build(rows, folder(spark, "planes"), bits=6)
     return paths.handler_hits(_probed(spark, d), index, embed, 5, catalog.SHARE)
 
 
