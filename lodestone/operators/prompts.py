@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +85,22 @@ def answer_stream(name: str, prompt: str) -> Iterator[str]:
 
 def answer(name: str, prompt: str) -> str:
     return "".join(answer_stream(name, prompt))
+
+
+def synthesized(asked: DataFrame, sources: DataFrame, model: str, answers: Callable[[str, str], Iterator[str]] | None = None) -> DataFrame:
+    """query, answer, sources, model, tokens: every prompt (query, prompt, tokens) answered, with the sources (query, sources) that it cites.
+
+    ``answers``: (model, prompt) -> pieces of text, as in PROVIDERS, whose entry for the model's provider it is by default;
+    it goes to the tasks, so it has to be one that can be sent there.  A query without sources has an empty list.
+    """
+    kind, name = provider(model)
+    own = answers or PROVIDERS.get(kind)
+    if own is None:
+        raise LookupError(f"no provider {kind!r}")
+
+    @F.arrow_udf("string")
+    def answered(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else "".join(own(name, t)) for t in texts.to_pylist()], pa.string())
+
+    met = asked.join(sources, "query", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    return met.select("query", answered("prompt").alias("answer"), "sources", F.lit(model).alias("model"), "tokens")

@@ -309,6 +309,15 @@ def test_providers():
         prompts.answer("llama3", "hi")
 
 
+def test_answers_come_with_their_sources(spark):
+    asked = spark.createDataFrame([(1, "why?", 10), (2, "how?", 5), (3, None, 1)], "query int, prompt string, tokens int")
+    cited = spark.createDataFrame([(1, ["a.c:3", "b.c:1"])], "query int, sources array<string>")
+    got = {r["query"]: tuple(r)[1:] for r in prompts.synthesized(asked, cited, "own:m1", lambda model, prompt: iter([model, " says ", prompt])).collect()}
+    assert got == {1: ("m1 says why?", ["a.c:3", "b.c:1"], "own:m1", 10), 2: ("m1 says how?", [], "own:m1", 5), 3: (None, [], "own:m1", 1)}
+    with pytest.raises(LookupError):
+        prompts.synthesized(asked, cited, "nobody:m1")
+
+
 def test_gold_ids_of_files_and_symbols(spark):
     nodes = spark.createDataFrame([("a.c::f", "f"), ("b.c::f", "f"), ("a.c::g", "g")], "id string, symbol_name string")
     gold = spark.createDataFrame([(1, ["z"], None, None), (2, None, ["g", "none"], ["a.c", "b.c"])], "query int, relevant_ids array<string>, expected_symbols array<string>, expected_files array<string>")
