@@ -14,6 +14,7 @@ from lodestone.operators import mining, mod_store, proposals
 from lodestone.operators.extraction import Cache
 from lodestone.plans.workflows import sql
 from lodestone.session import folder, table
+from lodestone.sources import debug_info, dwarf
 
 #: Lines of a function.
 TALL = 4
@@ -147,3 +148,28 @@ def struct_decode(spark: SparkSession, d: str) -> DataFrame:
     layout = F.array(*(F.struct(F.lit(n).alias("field"), F.lit(o).alias("byte_offset"), F.lit(s).alias("byte_size")) for n, o, s in _LAYOUT))
     raw = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     return table(spark, d, "documents").select("doc_id", F.explode(decoded(raw, layout)).alias("field", "value")).withColumn("value", F.col("value").cast("string"))
+
+
+# --- line-number programs -------------------------------------------------------------------------------
+
+#: Files of the programs, and what stands before their operations: DWARF 4, lines by -5 to 8, opcodes of the machine below 13.
+_LINE_FILES = b"/src/linux/mm\0\0slab.c\0\x01\0\0\0"
+_LINE_HEAD = bytes([1, 1, 1, 0xFB, 14, 13, 0, 1, 1, 1, 1, 0, 0, 0, 1, 0, 0, 1]) + _LINE_FILES
+_LINE_SIZE = 2 + 4 + len(_LINE_HEAD) + 3 + 11 + 16 + 3
+
+
+@sql("""WITH m AS (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents),
+        o AS (SELECT doc_id, h, i, greatest(CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER), 13) - 13 AS op FROM m, unnest(range(16)) AS t(i)),
+        s AS (SELECT doc_id, i, CAST('0x' || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS UBIGINT) + CAST(sum(op // 14) OVER w AS BIGINT) AS a,
+                     CAST(1001 + sum(op % 14 - 5) OVER w AS INTEGER) AS line FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+        SELECT CAST(doc_id AS VARCHAR) AS unit, CAST(a AS VARCHAR) AS address, 'mm/slab.c' AS file_path, line, 0 AS "column", TRUE AS is_stmt FROM s WHERE a > 0""")
+def line_program(spark: SparkSession, d: str) -> DataFrame:
+    """The md5 of every document as a line-number program: its bytes are special operations, its first six the address at which they begin."""
+    h = F.md5(F.coalesce("text", F.lit("")))
+    pairs = [F.substring(h, 2 * i + 1, 2) for i in range(16)]
+    ops = F.concat(*(F.when(p < "0d", "0d").otherwise(p) for p in pairs))
+    head = _LINE_SIZE.to_bytes(4, "little") + bytes([4, 0]) + len(_LINE_HEAD).to_bytes(4, "little") + _LINE_HEAD
+    # 03: a thousand lines on; 00 09 02: the address; 00 01 01: the end of the sequence.
+    program = F.unhex(F.concat(F.lit(head.hex() + "03e807" + "000902"), *pairs[:6], F.lit("0000"), ops, F.lit("000101")))
+    rows = debug_info.lines(dwarf.line_entries(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("unit"), program.alias("program"))))
+    return rows.select("unit", F.col("address").cast("string").alias("address"), "file_path", "line", "column", "is_stmt")

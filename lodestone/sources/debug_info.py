@@ -1,8 +1,4 @@
-"""Address, line and layout tables of a binary, from extracted rows.
-
-Reading the binary itself needs a debug-information library, which isn't a
-dependency here; any reader that yields these rows will do.
-"""
+"""Address, line and layout tables of a binary, from the rows of ``dwarf`` or of any reader that yields them."""
 
 from __future__ import annotations
 
