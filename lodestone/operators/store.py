@@ -15,12 +15,12 @@ class Store:
 
     Every save is a new version, numbered, and published whole by a rename that only one
     writer of a number can make; readers of an older one aren't disturbed.  A store
-    without a version is empty.  A version says what form its tables have
-    (``SCHEMA_VERSION``); others are refused.
+    without a version is empty.  A version says what form its tables have: older ones are
+    read (columns that they lack are null), newer ones are refused.
     """
 
-    #: The form of the tables that this code writes and reads.
-    SCHEMA_VERSION = 1
+    #: The form of the tables that this code writes.
+    SCHEMA_VERSION = 2
 
     def __init__(self, spark: SparkSession, root: str, node_schema: str, edge_schema: str = "src string, dst string, edge_type string"):
         self.spark, self.schemas, self.folder = spark, {"nodes": node_schema, "edges": edge_schema}, Folder(spark, root)
@@ -33,11 +33,23 @@ class Store:
         version = max(self.versions(), default=0) if version is None else version
         if not version:
             return self.spark.createDataFrame([], self.schemas[name])
-        form = self.folder.read([f"v{version:08d}"], "meta", "schema_version int").first()
-        if form is None or form["schema_version"] != self.SCHEMA_VERSION:
-            raise ValueError(f"version {version} has another form: {form}")
+        if (form := self.schema_version(version)) > self.SCHEMA_VERSION:
+            raise ValueError(f"version {version} has the form {form}, newer than {self.SCHEMA_VERSION}")
         return self.folder.read([f"v{version:08d}"], name, self.schemas[name])
 
+    def schema_version(self, version: int | None = None) -> int:
+        """The form that a version, or the newest one, says that it has: 1 if it says nothing or no number, the current one for an empty store."""
+        version = max(self.versions(), default=0) if version is None else version
+        if not version:
+            return self.SCHEMA_VERSION
+        if not self.folder.exists(f"v{version:08d}/meta"):
+            return 1
+        said = self.spark.read.parquet(f"{self.folder.root}/v{version:08d}/meta").first()  # one row
+        try:
+            return int(said["schema_version"])
+        except (TypeError, ValueError):
+            return 1
+
     @property
     def nodes(self) -> DataFrame:
         return self._read("nodes")
@@ -85,7 +97,9 @@ class Store:
         return lookup.by_symbol(self.nodes, names)
 
     def stats(self) -> DataFrame:
-        return graph.node_stats(self.nodes, self.edges)
+        """metric, key, n: counts of the newest version, and its schema_version."""
+        form = self.spark.range(1).select(F.lit("schema_version").alias("metric"), F.lit("").alias("key"), F.lit(self.schema_version()).cast("long").alias("n"))
+        return graph.node_stats(self.nodes, self.edges).unionByName(form)
 
 
 def write_triplets(rows: DataFrame, path: str) -> None:

@@ -355,7 +355,7 @@ _NODE_SCHEMA = "id string, symbol_name string, node_type string, layer int"
 @sql(f"""WITH {_NODES}, l AS (SELECT id, symbol_name, CASE WHEN line % 10 = 0 THEN 'updated' ELSE node_type END AS node_type FROM nodes WHERE line % 5 <> 0 OR line % 10 = 0)
         SELECT 'nodes' AS metric, '' AS "key", count(*) AS n FROM l UNION ALL SELECT 'node_type', node_type, count(*) FROM l GROUP BY node_type
         UNION ALL SELECT 'symbols', '', count(DISTINCT symbol_name) FROM l UNION ALL SELECT 'layer', '1', count(*) FROM l
-        UNION ALL SELECT 'edges', '', count(*) FROM nodes a WHERE a.line % 5 <> 0 UNION ALL SELECT 'edge_type', 'SELF', count(*) FROM nodes a WHERE a.line % 5 <> 0""")
+        UNION ALL SELECT 'edges', '', count(*) FROM nodes a WHERE a.line % 5 <> 0 UNION ALL SELECT 'edge_type', 'SELF', count(*) FROM nodes a WHERE a.line % 5 <> 0 UNION ALL SELECT 'schema_version', '', 2""")
 def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of layer 1 and the edges inside it saved, read, upserted, saved and counted."""
     own = store.Store(spark, folder(spark, "store"), _NODE_SCHEMA)

@@ -64,6 +64,29 @@ def test_a_version_of_another_form_is_refused(spark, tmp_path, monkeypatch):
         own.nodes.count()
 
 
+def test_older_forms_are_read(spark, tmp_path):
+    """Without a form, or with none that is a number, it is the first; the statistics tell it; a layer is saved alone."""
+    own = store.Store(spark, f"file://{tmp_path}/s", NODE)
+    assert own.schema_version() == 2 and own.nodes.count() == 0
+    old = spark.createDataFrame([("a", "f", "function")], "id string, symbol_name string, node_type string")
+    edges = spark.createDataFrame([("a", "a", "CALLS")], "src string, dst string, edge_type string")
+    own.folder.publish("v00000001", {"nodes": old, "edges": edges})
+    assert own.schema_version() == 1 and [tuple(r) for r in own.nodes.collect()] == [("a", "f", "function", None)]
+    own.folder.publish("v00000002", {"nodes": old, "edges": edges, "meta": spark.createDataFrame([("odd",)], "schema_version string")})
+    assert own.schema_version() == 1 and own.edges.count() == 1
+
+    def told():
+        return {(r["metric"], r["key"]): r["n"] for r in own.stats().collect()}
+
+    assert told()[("schema_version", "")] == 1
+    mixed = spark.createDataFrame([("a", "f", "function", 1), ("b", "f", "binary", 2), ("c", "f", "live", 3), ("d", "g", "struct", 1)], NODE)
+    linked = spark.createDataFrame([("a", "b", "SOURCE_TO_BINARY"), ("b", "c", "BINARY_TO_LIVE"), ("a", "d", "USES_STRUCT")], edges.schema)
+    for _ in range(2):
+        own.save(mixed, linked, layer=1)
+        assert sorted(r["id"] for r in own.nodes.collect()) == ["a", "d"] and [tuple(r) for r in own.edges.collect()] == [("a", "d", "USES_STRUCT")]
+        assert told()[("schema_version", "")] == 2 and told()[("layer", "1")] == 2 and ("layer", "2") not in told()
+
+
 # --- extraction and mining -------------------------------------------------------------------
 
 CODE = "int f(void)\n{\n\treturn 1;\n}\n\nstatic int g(int a)\n{\n\treturn f() + a;\n}\n"
