@@ -7,9 +7,12 @@ up to REPLICAS centroids whose distance is within SPREAD of the nearest.  Centro
 are held in memory with a neighbour graph, and every look-up, of vectors and of
 queries, is a beam search on that graph, at any size.  A query reads the lists
 whose distance is within a ratio of its nearest list's, and at least so many that
-k others are among them.  That ratio is fitted: for
-PROBES sample queries the true neighbours are found among all rows, and the
-smallest ratio is taken that reaches the recall asked for.
+k others are among them.  That ratio is fitted: for sample queries, PROBES of the
+queries' rows and PROBES of their different vectors, so that neither copies nor rows
+that never ask outvote the rest, the true neighbours are found among all rows, and
+the smallest ratio is taken that reaches the recall asked for in both samples.  The
+sample is then looked up on the graph, and the beam doubles until the lists that the
+walk finds reach that recall, too.
 
 Lists are stored as blocks of at most BLOCK vectors.  A list that is long (one
 vector a third of all rows) is dealt to parts by its measured size, and a query
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import Scratch, scratch, tidily
@@ -41,10 +44,10 @@ from lodestone.llm.vectors import best, blob, clean, matrix, width
 LIST_ROWS, MOST_LISTS = 192, 8192
 #: Training rows: at least, for each list, and at most.
 LEAST_TRAIN, TRAIN_EACH, MOST_TRAIN = 8192, 8, 65_536
-PROBES = 128
+PROBES = 256
 REPLICAS, SPREAD = 2, 1.04
 BLOCK, QUERY_BLOCK = 4096, 512
-#: Neighbours of a centroid in the graph, centroids at which a walk begins, and the least beam.
+#: Neighbours of a centroid in the graph, hubs at which a walk begins (its nearest), and the least beam.
 DEGREE, ENTRIES, BEAM = 16, 8, 16
 #: Pairs a task holds before it reduces them to each query's best.
 HELD = 400_000
@@ -52,6 +55,16 @@ HELD = 400_000
 PART_ROWS = 32_768
 
 
+def hubs(c: np.ndarray, n: int) -> np.ndarray:
+    """n rows far apart: each next one is the farthest from those before, so that groups that lie apart have one each."""
+    chosen = [0]
+    away = ((c - c[0]) ** 2).sum(1)
+    while len(chosen) < n:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((c - c[chosen[-1]]) ** 2).sum(1))
+    return np.unique(chosen)
+
+
 class Graph:
     """Centroids with a neighbour graph; finds the nearest centroids of many points at once."""
 
@@ -68,7 +81,7 @@ class Graph:
         # A ring and long links on top of the near neighbours keep every centroid within reach.
         links = [near] + [((np.arange(k) + step) % k)[:, None] for step in sorted({1, k // 3, k // 7}) if step]
         self.links = np.concatenate(links, axis=1)
-        self.entries = np.unique(np.linspace(0, k - 1, min(k, ENTRIES)).astype(np.int64))
+        self.hubs = hubs(centroids, min(k, max(ENTRIES, 2 * int(k**0.5))))
         self.visited = 0
 
     def search(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +114,14 @@ class Graph:
             dist[a, b] = np.maximum(0, own[who[a]] + self.sq[c] - 2 * np.einsum("ij,ij->i", p[who[a]], self.c[c]))
             return dist
 
-        width = max(beam, len(self.entries))
+        first = min(ENTRIES, len(self.hubs))
+        width = max(beam, first)
         ids = np.zeros((n, width), dtype=np.int64)
         dist = np.full((n, width), np.inf)
         opened = np.zeros((n, width), dtype=bool)
-        start = np.broadcast_to(self.entries, (n, len(self.entries)))
-        ids[:, : len(self.entries)], dist[:, : len(self.entries)] = start, measured(rows, start)
+        far = self.sq[self.hubs] - 2 * p @ self.c[self.hubs].T
+        start = self.hubs[np.argpartition(far, first - 1, axis=1)[:, :first]]
+        ids[:, :first], dist[:, :first] = start, measured(rows, start)
         live = rows
         while len(live):
             todo = np.where(opened[live], np.inf, dist[live])
@@ -199,10 +214,28 @@ def leading(found: list[tuple], k: int) -> tuple:
     return query[rank < k], ids[rank < k], score[rank < k]
 
 
+def wanted(graph: Graph, point: np.ndarray, ratio: float, beam: int, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(point, list): the lists that each point reads, by a walk with a beam that widens while the last list found still counts."""
+    todo = np.arange(len(point))
+    met: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(todo):
+        which, dist = graph.search(point[todo], beam)
+        held = np.cumsum(sizes[which], axis=1)
+        short = held - sizes[which] < REPLICAS * (k + 1)  # lists without which k others might not be found
+        near = ((dist <= ratio * dist[:, :1] + 1e-12) | short) & np.isfinite(dist)
+        more = near[:, -1] & (beam < len(graph.c))
+        row, col = np.nonzero(near & ~more[:, None])
+        met.append((todo[row], which[row, col]))
+        todo, beam = todo[more], 2 * beam
+    row, lists = (np.concatenate(x) for x in zip(*met, strict=True))
+    return row, lists
+
+
 class Index:
     """Posting lists over all vectors of a table, in the shared folder."""
 
-    def __init__(self, rows: DataFrame, own: Scratch, k: int = 20, recall: float = 0.94, id_col: str = "vec_id", vec_col: str = "embedding"):
+    def __init__(self, rows: DataFrame, own: Scratch, k: int = 20, recall: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding", asked: Column | None = None):
+        """``asked``: which rows (vec_id) will be queries; all of them if not said."""
         self.spark, self.k = rows.sparkSession, k
         found = clean(rows, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
         self.vectors = own.put(found, "vectors")
@@ -232,7 +265,8 @@ class Index:
         self.sizes = np.zeros(len(self.graph.c), dtype=np.int64)
         self.sizes[list(sizes)] = list(sizes.values())
         self.longest = max(sizes.values(), default=0)
-        self.ratio = self._fit(recall)
+        self.beam = 4 * BEAM
+        self.ratio = self._fit(recall, F.lit(True) if asked is None else asked)
         self.lists = own.put(self._blocks(placed), "lists")
 
     def _local(self, some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -262,12 +296,18 @@ class Index:
         dealt = placed.select("list", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), "vec_id", "v")
         return dealt.repartition("list", "part").sortWithinPartitions("list", "part", "vec_id").mapInArrow(tidily(to_blocks), "list int, part int, ids binary, m binary")
 
-    def _fit(self, recall: float) -> float:
-        """The distance ratio at which the sample queries find ``recall`` of their true neighbours."""
+    def _fit(self, recall: float, asked: Column) -> float:
+        """The distance ratio at which both samples of queries find ``recall`` of their true neighbours; sets the beam that finds their lists."""
         if len(self.graph.c) == 1:
             return 1.0
         d, k = self.d, self.k
-        ids, q = self._local(self.vectors.orderBy(F.xxhash64("vec_id", F.lit(21))).limit(PROBES))
+        rows = self.vectors.where(asked)
+        apart = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v")
+        samples = [self._local(some.orderBy(F.xxhash64("vec_id", F.lit(21))).limit(PROBES)) for some in (rows, apart)]
+        ids, once = np.unique(np.concatenate([i for i, _ in samples]), return_index=True)
+        q = np.concatenate([m for _, m in samples])[once]
+        if not len(ids):
+            return 1.0
         shared = self.spark.sparkContext.broadcast((ids, q))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,18 +322,29 @@ class Index:
 
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         true = self.vectors.select("vec_id", "v").mapInArrow(tidily(scan), "query_id long, vec_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
-        t = true.join(self.vectors, "vec_id").select("query_id", "v").toArrow()  # PROBES * k rows at most
+        t = true.join(self.vectors, "vec_id").select("query_id", "v").toArrow()  # 2 * PROBES * k rows at most
         which, home = Index._homes(self.graph, lift(matrix(t.column("v").combine_chunks(), d), self.top))
-        at = {i: n for n, i in enumerate(ids.tolist())}
-        of = np.array([at[i] for i in t.column("query_id").to_pylist()], dtype=np.int64)
+        of = np.searchsorted(ids, t.column("query_id").to_numpy())
         c, p = self.graph.c, aim(q, self.top)
         dist = np.sqrt(np.maximum(0, (p**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * p @ c.T))
         need = np.where(home, dist[of[:, None], which], np.inf).min(axis=1) / np.maximum(dist.min(axis=1)[of], 1e-12)
-        return float(np.quantile(need, recall, method="higher")) * (1 + 1e-9) if len(need) else 1.0
+        own = [np.isin(ids[of], i) for i, _ in samples]
+        own = [o for o in own if o.any()]
+        if not own:
+            return 1.0
+        ratio = max(float(np.quantile(need[o], recall, method="higher")) for o in own) * (1 + 1e-9)
+        while True:  # a beam of all centroids finds every list
+            row, lists = wanted(self.graph, p, ratio, self.beam, self.sizes, k)
+            read = np.zeros(dist.shape, dtype=bool)
+            read[row, lists] = True
+            found = (read[of[:, None], which] & home).any(axis=1)
+            if self.beam >= len(c) or min(float(found[o].mean()) for o in own) >= recall - 0.01:
+                return ratio
+            self.beam *= 2
 
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score; ``queries``: vec_id, v as ``self.vectors`` has them."""
-        d, k, top, ratio, parts, sizes = self.d, self.k, self.top, self.ratio, self.parts, self.sizes
+        d, k, top, ratio, parts, sizes, beam = self.d, self.k, self.top, self.ratio, self.parts, self.sizes, self.beam
         shared = self.spark.sparkContext.broadcast(self.graph)
 
         def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,18 +353,7 @@ class Index:
                 for start in range(0, batch.num_rows, QUERY_BLOCK):
                     own = batch.slice(start, QUERY_BLOCK)
                     ids, q = own.column(0).to_numpy(), matrix(own.column(1), d)
-                    point, todo, beam = aim(q, top), np.arange(len(ids)), 4 * BEAM
-                    met: list[tuple[np.ndarray, np.ndarray]] = []
-                    while len(todo):  # a wider beam for the queries whose last list found still counts
-                        which, dist = graph.search(point[todo], beam)
-                        held = np.cumsum(sizes[which], axis=1)
-                        short = held - sizes[which] < REPLICAS * (k + 1)  # lists without which k others might not be found
-                        wanted = ((dist <= ratio * dist[:, :1] + 1e-12) | short) & np.isfinite(dist)
-                        more = wanted[:, -1] & (beam < len(graph.c))
-                        row, col = np.nonzero(wanted & ~more[:, None])
-                        met.append((todo[row], which[row, col]))
-                        todo, beam = todo[more], 2 * beam
-                    row, lists = (np.concatenate(x) for x in zip(*met, strict=True))
+                    row, lists = wanted(graph, aim(q, top), ratio, beam, sizes, k)
                     order = np.argsort(lists, kind="stable")
                     row, lists = row[order], lists[order]
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]]).tolist()
@@ -345,10 +385,10 @@ class Index:
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def ann_topk(rows: DataFrame, k: int = 20, every: int = 20, recall: float = 0.94, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def ann_topk(rows: DataFrame, k: int = 20, every: int = 20, recall: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest found for every row whose id is divisible by ``every``."""
     with scratch(rows.sparkSession, "ann", 10_000) as own:
-        index = Index(rows, own, k, recall, id_col, vec_col)
+        index = Index(rows, own, k, recall, id_col, vec_col, F.col("vec_id") % every == 0)
         if not index.d:
             return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         return own.keep(index.search(index.vectors.where(F.col("vec_id") % every == 0)), "found")

@@ -136,3 +136,22 @@ def test_graph_finds_the_nearest_centroids():
 def test_a_null_column_of_vectors(spark):
     rows = spark.range(3).select(F.col("id").alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"))
     assert ann_topk(rows).count() == 0 and exact_topk.exact_topk(rows).count() == 0
+
+
+def test_ann_fits_its_ratio_to_the_rows_that_ask(spark):
+    """Most rows are near copies that find each other in one list; the queries are none of them and need many lists."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(6000, 32))
+    easy = np.arange(6000) % 20 > 4
+    m[easy] = rng.normal(size=(15, 32))[rng.integers(0, 15, easy.sum())] + 0.001 * rng.normal(size=(easy.sum(), 32))
+    m = m.astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_topk(rows).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, 6000, 20):
+        score = m @ m[q]
+        score[q] = -np.inf
+        recall.append(len(got[q] & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.93
