@@ -19,12 +19,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
+#: Pairs of a query and a row that a task holds at once.
+SLICE = 1_000_000
 #: Rows of a file of a bucket.
 FILE_ROWS = 1_000_000
 
@@ -43,6 +45,11 @@ def whole(rows: DataFrame, vector: str) -> DataFrame:
     return rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad)
 
 
+def dealt(name: str, parts: int | Column) -> Column:
+    """The part of a name, an int on both sides: a cogroup doesn't cast its keys, and an int and a long of one value go to different tasks."""
+    return F.pmod(F.xxhash64(name), parts if isinstance(parts, Column) else F.lit(parts)).cast("int")
+
+
 def by_blocks(queries: DataFrame, rows: DataFrame, block: Block, schema: str, rounded: int = 6) -> DataFrame:
     """``block`` of every block of queries (query, q, ...) and every block of rows (id, v).
 
@@ -53,11 +60,31 @@ def by_blocks(queries: DataFrame, rows: DataFrame, block: Block, schema: str, ro
     queries, rows = whole(queries, "q"), whole(rows.select("id", "v"), "v")
     few, many = queries.count(), rows.count()
     parts, blocks = max(1, -(-few // BLOCK_QUERIES)), max(1, -(-many // BLOCK_ROWS))
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(parts))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = queries.withColumn("_q", dealt("query", parts)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("_r", dealt("id", blocks)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(_task(block, rounded, schema), schema)
 
 
+def products(q: np.ndarray, v: np.ndarray, digits: int) -> np.ndarray:
+    """Inner products rounded half away from zero; what lies so near a half that the order of a sum decides is summed in order, as SQL does."""
+    scale = 10.0**digits
+    rough = (q @ v.T) * scale
+    whole = np.trunc(rough)
+    part = np.abs(rough - whole)
+    size = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1]
+    near = np.flatnonzero(np.abs(part - 0.5) <= np.abs(size) * scale * q.shape[1] * 2.0**-51)
+    out = whole + np.where(part >= 0.5, np.sign(rough), 0.0)
+    for a in range(0, len(near), SLICE):
+        i, j = np.divmod(near[a : a + SLICE], len(v))
+        exact = np.zeros(len(i))
+        for d in range(q.shape[1]):
+            exact += q[i, d] * v[j, d]
+        exact *= scale
+        low = np.trunc(exact)
+        out[i, j] = low + np.where(np.abs(exact - low) >= 0.5, np.sign(exact), 0.0)
+    return out / scale + 0.0
+
+
 def _task(block: Block, rounded: int, schema: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = [c.strip().split()[0] for c in schema.split(", ")]
 
@@ -65,8 +92,13 @@ def _task(block: Block, rounded: int, schema: str) -> Callable[[pa.Table, pa.Tab
         if not (left.num_rows and right.num_rows):
             return pa.table({n: [] for n in names}).cast(_arrow(schema))
         asked, ids = left["query"].to_numpy(), right["id"].to_numpy()
-        scores = np.round(_matrix(left["q"]) @ _matrix(right["v"]).T, rounded) + 0.0
-        return block(asked, ids, asked[:, None] == ids[None, :], scores, left).cast(_arrow(schema))
+        q, v = _matrix(left["q"]), _matrix(right["v"])
+        step = max(1, SLICE // len(ids))
+        made = []
+        for a in range(0, len(asked), step):
+            own = asked[a : a + step]
+            made.append(block(own, ids, own[:, None] == ids[None, :], products(q[a : a + step], v, rounded), left.slice(a, step)).cast(_arrow(schema)))
+        return pa.concat_tables(made)
 
     return run
 
@@ -283,11 +315,11 @@ class HyperplaneIndex:
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1)).cast("int")
         keys = ["bucket", "_q", "_r"]
-        asked = self._asked(queries, share).withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // BLOCK_QUERIES)))))
+        asked = self._asked(queries, share).withColumn("_q", dealt("query", max(1, -(-queries.count() // BLOCK_QUERIES))))
         sized = F.broadcast(sizes.select("bucket", blocks.alias("blocks")))  # a row a bucket, at most 2 ** bits
         left = asked.join(sized, "bucket").withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("query", "q", *(F.col(c).alias(c) for c in keys))
         met = asked.select("bucket", "_q").distinct()
-        right = rows.select(F.col("id").cast("long").alias("id"), "v", "bucket").join(sized, "bucket").withColumn("_r", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(met, "bucket").select("id", "v", *(F.col(c).alias(c) for c in keys))
+        right = rows.select(F.col("id").cast("long").alias("id"), "v", "bucket").join(sized, "bucket").withColumn("_r", dealt("id", F.col("blocks"))).join(met, "bucket").select("id", "v", *(F.col(c).alias(c) for c in keys))
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_task(best_of_block(k), digits, _BEST), _BEST)
         return ranked(found, k)
 

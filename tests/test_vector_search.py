@@ -135,3 +135,33 @@ def test_long_texts_are_means_of_their_chunks(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string").select("i", embedder(16, 100, 12)("t").alias("v")).orderBy("i").collect()
     assert np.allclose([r["v"] for r in rows], embedded(pa.array(TEXTS), 16, 400, 48), atol=1e-6)
     assert embedded(pa.array([], pa.string()), 16, 400, 50).shape == (0, 16)
+
+
+def test_blocks_meet_in_many_tasks(spark, vectors, monkeypatch):
+    """Keys of both sides have one type: with several tasks an int and a long of one value lie apart, and nothing was found."""
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(vector_search, "BLOCK_QUERIES", 9)
+    monkeypatch.setattr(vector_search, "SLICE", 200)
+    rows = _frame(spark, vectors)
+    asked = rows.where("id % 30 = 0").selectExpr("id AS query", "v AS q")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["query"], r["rank"]): r["id"] for r in vector_search.knn(asked, rows, 5).collect()}
+        index = HyperplaneIndex.build(rows, f"{shared_dir(spark)}/lodestone/test-tasks", bits=2)
+        near = {(r["query"], r["rank"]): r["id"] for r in index.search(asked, 5, share=1.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(q, n + 1): i for q in range(0, 600, 30) for n, (i, _) in enumerate(_exact(vectors, q, 5))}
+    assert got == want and near == want
+
+
+def test_products_round_as_a_sum_in_order_does():
+    rng = np.random.default_rng(4)
+    q, v = np.round(rng.standard_normal((40, 7)), 1), np.round(rng.standard_normal((300, 7)), 1)
+    got = vector_search.products(q, v, 1)
+    for i in range(40):
+        for j in range(300):
+            x = 0.0
+            for a, b in zip(q[i].tolist(), v[j].tolist(), strict=True):
+                x += a * b
+            assert got[i, j] == math.copysign(math.floor(abs(x * 10) + 0.5), x) / 10
