@@ -383,3 +383,22 @@ def test_scratch_is_refused_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_references_by_a_summary_and_suffixes_without_products(spark, capfd):
+    rows = [("a", "s", ["s", "t"]), ("b", "s", ["s"]), ("b", "s", ["t", "x"]), ("c", "t", ["t", None]), ("d", None, ["s"]), (None, "s", ["s"])]
+    nodes = spark.createDataFrame(rows, "id string, symbol_name string, calls array<string>")
+    want = graph.reference_edges(nodes, "calls", "CALLS").groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("first"), F.max("dst").alias("last"))
+    found = graph.reference_summary(nodes, "calls")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    # 3,000 paths that end alike would be 9 million pairs; the join's widest step may not exceed two a reference.
+    files = spark.range(3000).selectExpr("id", "concat('d', id, '/x.h') AS file_path")
+    refs = spark.range(3000).selectExpr("id AS src", "0 AS ordinal", "'x.h' AS ref")
+    met = graph.suffix_join(refs, files)
+    assert {(r["src"], r["dst"]) for r in met.collect()} == {(i, 1 if i == 0 else 0) for i in range(3000)}
+    capfd.readouterr()
+    met.explain()
+    assert "WindowGroupLimit" in capfd.readouterr().out  # two files a suffix are kept before the join
+    twice = spark.createDataFrame([(1, "a/x.h"), (1, "b/x.h"), (2, "c/x.h")], "id long, file_path string")
+    one = spark.createDataFrame([(1, 0, "x.h"), (3, 0, "x.h")], "src long, ordinal int, ref string")
+    assert sorted(map(tuple, graph.suffix_join(one, twice).collect())) == [(1, 0, "x.h", 2), (3, 0, "x.h", 1)]
