@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from lodestone.functions.chunking import CHARS, pieces
 
 #: The hash of a token: its lower-cased bytes as digits of an odd base modulo 2 ** 64, mixed.
 BASE = 0x9E3779B97F4A7C15
+#: Chunks that are hashed at once, and bytes of the texts that are cut at once.
+CHUNKS, RUN = 256, 2_000_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[*range(65, 91), *range(97, 123), 95]] = 1
@@ -95,7 +98,8 @@ def embedded(texts: pa.Array, dimensions: int, size: int, overlap: int, model: C
     listed = pieces(texts, size, overlap)
     counts = np.diff(np.frombuffer(listed.buffers()[1], np.int32, len(listed) + 1)).astype(np.int64) if len(listed) else np.zeros(0, np.int64)
     flat = listed.flatten()
-    vectors = model(flat, dimensions)
+    # A run of chunks at a time: a token's hash takes several numbers for each byte.
+    vectors = np.concatenate([model(flat.slice(a, CHUNKS), dimensions) for a in range(0, len(flat), CHUNKS)] or [np.zeros((0, dimensions))])
     out = np.zeros((len(texts), dimensions))
     some = counts > 0
     if some.any():
@@ -104,12 +108,20 @@ def embedded(texts: pa.Array, dimensions: int, size: int, overlap: int, model: C
     return unit(out)
 
 
+def runs(texts: pa.Array) -> list[pa.Array]:
+    """A batch in runs of about RUN bytes, a text at least: what a task holds doesn't grow with the batch's texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // RUN)) + 1 if len(size) else np.zeros(0, np.int64)
+    bounds = [0, *cuts.tolist(), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+
+
 def embedder(dimensions: int = 768, max_tokens: int = 450, overlap: int = 50, model: Callable[[pa.Array, int], np.ndarray] = chunk_vectors) -> Callable[[Column | str], Column]:
     """From a text column to its vectors: chunked, embedded and pooled in one pass over Arrow batches."""
 
     @F.arrow_udf("array<float>")
     def embed(texts: pa.Array) -> pa.Array:
-        found = embedded(texts, dimensions, CHARS * max_tokens, CHARS * overlap, model).astype(np.float32)
+        found = np.concatenate([embedded(t, dimensions, CHARS * max_tokens, CHARS * overlap, model).astype(np.float32) for t in runs(texts)] or [np.zeros((0, dimensions), np.float32)])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dimensions), pa.array(found.ravel()))
 
     return embed

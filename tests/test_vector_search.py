@@ -165,3 +165,21 @@ def test_products_round_as_a_sum_in_order_does():
             for a, b in zip(q[i].tolist(), v[j].tolist(), strict=True):
                 x += a * b
             assert got[i, j] == math.copysign(math.floor(abs(x * 10) + 0.5), x) / 10
+
+
+def test_a_batch_is_embedded_in_runs(monkeypatch):
+    from lodestone.functions import embedding
+
+    texts = pa.array(["one two three " * 40, None, "", "x" * 5000, "four five"] * 7)
+    whole = embedded(texts, 16, 200, 20)
+    most = []
+
+    def watched(chunks, dimensions):
+        most.append(len(chunks))
+        return chunk_vectors(chunks, dimensions)
+
+    monkeypatch.setattr(embedding, "CHUNKS", 3)
+    monkeypatch.setattr(embedding, "RUN", 700)
+    parts = embedding.runs(texts)
+    assert sum(map(len, parts)) == len(texts) and len(parts) > 5
+    assert np.array_equal(whole, np.concatenate([embedded(t, 16, 200, 20, watched) for t in parts])) and max(most) == 3
