@@ -15,8 +15,8 @@ from lodestone.operators.ranking import running
 from lodestone.session import written
 
 K1, B = 1.5, 0.75
-#: Folders of a saved index, and postings of a file of one.
-BUCKETS, FILE_ROWS = 64, 5_000_000
+#: Folders of a saved index, and documents of a file of one; documents that a pool holds beside negatives and positives.
+BUCKETS, FILE_DOCS, SPARE = 64, 500_000, 50
 
 
 def bucket_of(term: Column) -> Column:
@@ -27,58 +27,79 @@ class Index:
     """Postings, document lengths, document frequencies and corpus statistics of ``docs`` (doc, text)."""
 
     def __init__(self, docs: DataFrame):
-        # One pass over the texts; what is derived from the postings reuses their shuffle.
-        self.postings = docs.select("doc", F.explode(raw_tokens(F.col("text"))).alias("raw")).where(is_term(F.col("raw"))).groupBy(F.lower("raw").alias("term"), "doc").agg(F.count("*").alias("tf"))
-        self.lengths = self.postings.groupBy("doc").agg(F.sum("tf").alias("length"))
+        # Texts are dealt by document once; terms are counted and lengths summed where they lie.
+        raw = docs.select("doc", "text").repartition("doc").select("doc", F.explode(raw_tokens(F.col("text"))).alias("raw")).where(is_term(F.col("raw")))
+        counted = raw.groupBy("doc", F.lower("raw").alias("term")).agg(F.count("*").alias("tf"))
+        self.postings = counted.select("term", "doc", "tf", F.sum("tf").over(Window.partitionBy("doc")).alias("length"))
         self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         # Documents without tokens count, too.
-        n = self.counted = docs.agg(F.count("*").alias("n"))
-        total = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
-        self.stats = n.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl"))
+        self.counted = docs.agg(F.count("*").alias("n"))
+        self.stats = self._stats(self.postings)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.postings.groupBy("doc").agg(F.max("length").alias("length"))
+
+    def _stats(self, postings: DataFrame) -> DataFrame:
+        total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
+        return self.counted.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl"))
 
     def save(self, path: str) -> None:
-        """Write the index: postings with what a score needs (the document's length, the term's frequency), frequencies, lengths and statistics.
+        """Write the index: postings with the document's length, frequencies and statistics.
 
         Postings lie in BUCKETS folders by a hash of the term, so a search reads those of its terms alone; a folder is
-        dealt by document, so a very common term is many tasks.
+        dealt by document, so a very common term is many tasks.  Postings are shuffled once; a term's frequency is read
+        off the written ones.
         """
         spark = self.postings.sparkSession
-        raw = written(self.postings, "postings")
-        raw.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-        raw.groupBy("doc").agg(F.sum("tf").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
-        frequencies, lengths = (spark.read.parquet(f"{path}/{name}") for name in ("frequencies", "lengths"))
-        whole = raw.join(lengths, "doc").join(frequencies, "term").withColumn("bucket", bucket_of(F.col("term")))
-        whole.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(1 + raw.count() // FILE_ROWS))).sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        total = raw.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
-        self.counted.select("n", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(total.scalar() / F.greatest("n", F.lit(1))).alias("avg_dl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        many = 1 + self.counted.first()["n"] // FILE_DOCS
+        spread = self.postings.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(many)))
+        spread.sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.postings.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
+        saved = self._postings(spark, path)
+        saved.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+        self._stats(saved).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+    @staticmethod
+    def _postings(spark: SparkSession, path: str) -> DataFrame:
+        columns = spark.read.parquet(f"{path}/columns").schema
+        return spark.read.schema(columns.add("bucket", "integer")).parquet(f"{path}/postings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         """A saved index; searches read the written tables and tokenise no document."""
         own = cls.__new__(cls)
-        own.frequencies, own.lengths, own.stats = (spark.read.parquet(f"{path}/{name}") for name in ("frequencies", "lengths", "stats"))
-        columns = spark.read.parquet(f"{path}/columns").schema
-        own.postings = spark.read.schema(columns.add("length", "long").add("df", "long").add("bucket", "integer")).parquet(f"{path}/postings")
+        own.frequencies, own.stats = (spark.read.parquet(f"{path}/{name}") for name in ("frequencies", "stats"))
+        own.postings = cls._postings(spark, path)
         own.counted = own.stats.select("n")
         return own
 
-    def _of(self, asked: DataFrame) -> DataFrame:
-        """term, doc, tf, length, df of the postings that the terms asked for may be in."""
-        if "length" not in self.postings.columns:
-            return self.postings.join(self.frequencies, "term").join(self.lengths, "doc")
-        buckets = [r["bucket"] for r in asked.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect()]  # at most BUCKETS
-        return self.postings.where(F.col("bucket").isin(buckets))
+    def holding(self, asked: DataFrame) -> DataFrame:
+        """term, doc, tf, length of the postings of the terms asked for."""
+        found = self.postings
+        if "bucket" in found.columns:
+            buckets = [r["bucket"] for r in asked.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect()]  # at most BUCKETS
+            found = found.where(F.col("bucket").isin(buckets))
+        return found.join(asked.select("term").distinct(), "term", "left_semi").select("term", "doc", "tf", "length")
+
+    _of = holding
 
     def scores(self, queries: DataFrame, dedup_terms: bool = True) -> DataFrame:
-        """query, doc, score for every document with a term of the query (query, text)."""
+        """query, doc, score for every document with a term of the query (query, text).
+
+        Postings are dealt by document before they meet the queries: a document's terms are together then, and
+        its scores are summed without another shuffle.
+        """
         asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
-        asked = asked.distinct() if dedup_terms else asked
+        asked = asked.distinct() if dedup_terms else asked.groupBy("query", "term").agg(F.count("*").alias("times"))
+        # Written, so that its size is known where it meets the postings: sent to every task if small, joined by term beyond.
+        asked = written(asked.join(self.frequencies, "term"), "asked")
         n, avg = self.stats.select(F.col("n").cast("double")).scalar(), self.stats.select("avg_dl").scalar()
         idf = F.ln((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
         tf = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / avg))
-        met = asked.join(self._of(asked), "term")
-        return met.groupBy("query", "doc").agg(F.round(F.sum(idf * tf), 6).alias("score"))
+        met = self.holding(asked).repartition("doc").join(asked, "term")
+        times = F.lit(1) if dedup_terms else F.col("times")
+        return met.groupBy("query", "doc").agg(F.round(F.sum(idf * tf * times), 6).alias("score"))
 
     def search(self, queries: DataFrame, k: int = 100) -> DataFrame:
         """query, rank, doc, score: each query's k best."""
@@ -90,6 +111,11 @@ def ranked(scores: DataFrame, k: int, by: str = "query") -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def pool(scores: DataFrame, k: int, positives: int) -> DataFrame:
+    """query, doc, score: what hard negatives, gaps and up to ``positives`` best of a query are taken from; written, as it is read several times."""
+    return written(ranked(scores, k + SPARE + positives).select("query", "doc", "score"), "pool")
+
+
 def hard_negatives(scores: DataFrame, positives: DataFrame, k: int = 16, prefix: DataFrame | None = None) -> DataFrame:
     """The best-scored documents that aren't positives.
 
@@ -98,7 +124,7 @@ def hard_negatives(scores: DataFrame, positives: DataFrame, k: int = 16, prefix:
     """
     count = positives.groupBy("query").agg(F.count("*").alias("n_pos"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
-    pool = scores.withColumn("pool_rank", rank).join(count, "query", "left").where(F.col("pool_rank") <= k + 50 + F.coalesce("n_pos", F.lit(0)))
+    pool = scores.withColumn("pool_rank", rank).join(count, "query", "left").where(F.col("pool_rank") <= k + SPARE + F.coalesce("n_pos", F.lit(0)))
     kept = pool.join(positives, ["query", "doc"], "left_anti")
     if prefix is not None:
         kept = kept.join(prefix, ["query", "doc"], "left_semi")

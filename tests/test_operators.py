@@ -402,3 +402,18 @@ def test_references_by_a_summary_and_suffixes_without_products(spark, capfd):
     twice = spark.createDataFrame([(1, "a/x.h"), (1, "b/x.h"), (2, "c/x.h")], "id long, file_path string")
     one = spark.createDataFrame([(1, 0, "x.h"), (3, 0, "x.h")], "src long, ordinal int, ref string")
     assert sorted(map(tuple, graph.suffix_join(one, twice).collect())) == [(1, 0, "x.h", 2), (3, 0, "x.h", 1)]
+
+
+def test_postings_are_shuffled_once_and_pools_suffice(spark, capfd):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 23}" for j in range(i % 9))) for i in range(120)] + [(5, "w1 twice")], "doc long, text string")
+    index = bm25.Index(docs)
+    capfd.readouterr()
+    index.lengths.explain()
+    assert capfd.readouterr().out.count("Exchange hashpartitioning") == 1
+    assert index.lengths.where("doc = 5").first()["length"] == 5 - 0 + 2
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q} w3") for q in range(5)], "query long, text string")
+    scores = index.scores(asked)
+    pool = bm25.pool(scores, 4, 2)
+    best = bm25.ranked(scores, 2).select("query", "doc")
+    assert sorted(bm25.hard_negatives(pool, best, 4).collect()) == sorted(bm25.hard_negatives(scores, best, 4).collect())
+    assert pool.groupBy("query").count().agg(F.max("count")).first()[0] <= 56
