@@ -52,6 +52,8 @@ MOST_SENT = 64 << 20
 KEY_BYTES, SET_BYTES = 56, 128
 #: Hubs of a list in each round, before pairs of different components are compared in full.
 HUBS = (1, 16)
+#: Earlier shingles of its set that a row carries where pairs of different components are compared.
+EARLIER = 32
 #: Longs of the sketch by which joins of long lists leave out pairs that can't link.
 SKETCH = 8
 #: Bits of a row's number below its task's.
@@ -336,8 +338,20 @@ class Join:
 
     def _across(self, rows: DataFrame) -> DataFrame:
         """All pairs of a list that lie in different components."""
-        met = rows.alias("a").join(rows.alias("b"), "token").where((F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component")) & self._near("a", "b") & self._alike())
-        return met.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
+        return self._met(rows).distinct()
+
+    def _met(self, rows: DataFrame) -> DataFrame:
+        """a, b: pairs of different components, where their first common shingle is.
+
+        A row carries up to EARLIER shingles of its set that come before its own.  At the first one that two sets share
+        no earlier one is in both, however many are carried: no pair is lost, and one that shares many isn't made at each.
+        """
+        # A set's rows are its prefix at most.
+        first = rows.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, EARLIER).alias("first"))
+        before = F.transform(F.filter("first", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+        rows = self.own.put(rows.join(first, "set_id").withColumn("before", before).drop("first"), "carried")
+        met = rows.alias("a").join(rows.alias("b"), "token").where((F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component")) & self._near("a", "b") & self._alike() & ~F.arrays_overlap("a.before", "b.before"))
+        return met.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
 
     # -- verification
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, langid, licenses, mixing
 from lodestone.llm.components import components
-from lodestone.llm.scratch import Scratch, scratch_path
+from lodestone.llm.scratch import Scratch, scratch, scratch_path
 from lodestone.llm.sharding import Conflict, Shard, Store, shard
 from lodestone.llm.shingles import sets_of
 
@@ -293,6 +293,25 @@ def test_classes_at_a_lower_threshold(spark, monkeypatch, bucket):
     assert got == _brute(rows, 80) != _brute(rows)
 
 
+def test_pairs_across_components_are_made_once(spark):
+    """Forty near copies share most of their shingles; each pair of them is made at the first one, not at all."""
+    rng = np.random.default_rng(3)
+    base, rows = list(range(100)), []
+    for i in range(40):
+        own = list(base)
+        own[rng.integers(100)] = 1000 + i
+        rows.append((i, " ".join(map(str, own))))
+    with scratch(spark, "once") as own:
+        join = jaccard.Join(spark.createDataFrame(rows, "doc_id long, text string"), own)
+        posted = join._posted(join._prefixes()).withColumn("share", F.lit(41))
+        open_ = own.put(join._open(posted, spark.createDataFrame([], "a long, b long")), "open")
+        wide = open_.alias("a").join(open_.alias("b"), "token").where((F.col("a.set_id") < F.col("b.set_id")) & join._near("a", "b") & join._alike())
+        every = {tuple(r) for r in wide.select("a.set_id", F.col("b.set_id").alias("b")).collect()}
+        made, repeated = [tuple(r) for r in join._met(open_).collect()], wide.count()
+    assert repeated > 3 * len(every)
+    assert len(made) == len(every) and set(made) == every
+
+
 def test_classes_of_messy_rows(messy, nothing):
     got = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in jaccard.jaccard_classes(messy).collect())
     assert got[1, True, 1] == 2 and got[2, True, 1] == 1
