@@ -27,6 +27,7 @@ class Index:
     """Postings, document lengths, document frequencies and corpus statistics of ``docs`` (doc, text)."""
 
     def __init__(self, docs: DataFrame):
+        self.docs = docs.select("doc", "text")
         # Texts are dealt by document once; terms are counted and lengths summed where they lie.
         raw = docs.select("doc", "text").repartition("doc").select("doc", F.explode(raw_tokens(F.col("text"))).alias("raw")).where(is_term(F.col("raw")))
         counted = raw.groupBy("doc", F.lower("raw").alias("term")).agg(F.count("*").alias("tf"))
@@ -34,7 +35,27 @@ class Index:
         self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         # Documents without tokens count, too.
         self.counted = docs.agg(F.count("*").alias("n"))
-        self.stats = self._stats(self.postings)
+        # Tokens are counted where a text lies; a repeated id doesn't change their sum.
+        self.stats = self._stats(self.docs.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("tf")))
+
+    def whole(self) -> DataFrame:
+        """doc, text: a row for each id; texts of repeated ids are put together, others stay where they lie."""
+        ids = written(self.docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.struct("doc").alias("same")), "repeated")
+        if ids.isEmpty():
+            return self.docs
+        # A struct is equal to itself with a null id, too.
+        keyed = self.docs.withColumn("same", F.struct("doc"))
+        again = keyed.join(ids, "same", "left_semi").groupBy("doc").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+        return keyed.join(ids, "same", "left_anti").select("doc", "text").unionByName(again)
+
+    def terms(self) -> DataFrame:
+        """term, df, cf: documents that have a term, and how often all do.
+
+        A text is cut, and its terms told apart, where it lies; only a term's sums are shuffled.
+        """
+        each = F.concat(F.transform(F.array_distinct("all"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))), F.transform("all", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))))
+        cut = self.whole().select(tokens(F.coalesce("text", F.lit(""))).alias("all"))
+        return cut.select(F.explode(each).alias("t")).groupBy("t.term").agg(F.sum("t.d").alias("df"), F.sum("t.c").alias("cf"))
 
     @property
     def lengths(self) -> DataFrame:

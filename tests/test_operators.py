@@ -417,3 +417,14 @@ def test_postings_are_shuffled_once_and_pools_suffice(spark, capfd):
     best = bm25.ranked(scores, 2).select("query", "doc")
     assert sorted(bm25.hard_negatives(pool, best, 4).collect()) == sorted(bm25.hard_negatives(scores, best, 4).collect())
     assert pool.groupBy("query").count().agg(F.max("count")).first()[0] <= 56
+
+
+def test_sums_of_terms_need_no_postings(spark, capfd):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta Alpha"), (2, "alpha gamma"), (None, "gamma"), (None, "gamma beta"), (3, ""), (4, None)], "doc long, text string")
+    index = bm25.Index(docs)
+    assert {tuple(r) for r in index.terms().collect()} == {("alpha", 2, 3), ("beta", 3, 4), ("gamma", 2, 3)}
+    assert index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).exceptAll(index.terms()).isEmpty()
+    assert tuple(index.stats.first()) == (7, 10 / 7)
+    capfd.readouterr()
+    index.stats.explain()
+    assert "hashpartitioning" not in capfd.readouterr().out  # texts lie where they are
