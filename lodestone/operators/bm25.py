@@ -108,19 +108,37 @@ class Index:
     def scores(self, queries: DataFrame, dedup_terms: bool = True) -> DataFrame:
         """query, doc, score for every document with a term of the query (query, text).
 
-        Postings are dealt by document before they meet the queries: a document's terms are together then, and
+        An index that isn't saved reads the texts, and writes none of it.  Postings are dealt by document before they meet the queries: a document's terms are together then, and
         its scores are summed without another shuffle.
         """
         asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
         asked = asked.distinct() if dedup_terms else asked.groupBy("query", "term").agg(F.count("*").alias("times"))
-        # Written, so that its size is known where it meets the postings: sent to every task if small, joined by term beyond.
-        asked = written(asked.join(self.frequencies, "term"), "asked")
-        n, avg = self.stats.select(F.col("n").cast("double")).scalar(), self.stats.select("avg_dl").scalar()
+        saved = "bucket" in self.postings.columns
+        if saved:
+            frequencies, stats = self.frequencies, self.stats
+        else:
+            asked = written(asked, "terms")
+            frequencies, stats = self._asked_frequencies(asked), written(self.stats, "stats")
+        n, avg = stats.select(F.col("n").cast("double")).scalar(), stats.select("avg_dl").scalar()
         idf = F.ln((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
         tf = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / avg))
-        met = self.holding(asked).repartition("doc").join(asked, "term")
+        # Written, so that its size is known where it meets the postings: sent to every task if small, joined by term beyond.
+        # Both factors are worked out before they meet: a posting meets every query that has its term.
+        asked = written(asked.join(frequencies, "term").withColumn("idf", idf), "asked")
+        held = self.holding(asked).repartition("doc") if saved else self._counted(asked)
+        held = held.select("doc", "term", tf.alias("weight"))
         times = F.lit(1) if dedup_terms else F.col("times")
-        return met.groupBy("query", "doc").agg(F.round(F.sum(idf * tf * times), 6).alias("score"))
+        return held.join(asked, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("idf") * F.col("weight") * times), 6).alias("score"))
+
+    def _asked_frequencies(self, asked: DataFrame) -> DataFrame:
+        """term, df of the terms asked for."""
+        each = self.whole().select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        return each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+    def _counted(self, asked: DataFrame) -> DataFrame:
+        """term, doc, tf, length of the terms asked for: texts are dealt by document once, and no other term is kept."""
+        each = self.whole().repartition("doc").select("doc", tokens(F.col("text")).alias("all")).select("doc", F.size("all").cast("long").alias("length"), F.explode("all").alias("term"))
+        return each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
     def search(self, queries: DataFrame, k: int = 100) -> DataFrame:
         """query, rank, doc, score: each query's k best."""

@@ -428,3 +428,13 @@ def test_sums_of_terms_need_no_postings(spark, capfd):
     capfd.readouterr()
     index.stats.explain()
     assert "hashpartitioning" not in capfd.readouterr().out  # texts lie where they are
+
+
+def test_an_index_in_memory_scores_without_postings(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 23}" for j in range(i % 9))) for i in range(90)] + [(5, "w1 twice"), (7, None)], "doc long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q} w3") for q in range(5)], "query long, text string")
+    index = bm25.Index(docs)
+    index.save(f"file://{tmp_path}/i")
+    want = [sorted(bm25.Index.load(spark, f"file://{tmp_path}/i").scores(asked, d).collect()) for d in (True, False)]
+    monkeypatch.setattr(bm25.Index, "holding", None)  # all postings are made there
+    assert want == [sorted(index.scores(asked, d).collect()) for d in (True, False)] and want[0]
