@@ -8,14 +8,11 @@ blobs that no published part has, and publishes them whole as a new part.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.publish import Folder
-from lodestone.sources.c_source import extract
+from lodestone.sources.c_source import extract, in_runs
 
 #: Changes with what ``ranges`` gives; parts of other versions are never read.
 VERSION = 1
@@ -30,16 +27,11 @@ def blob_name(content: Column) -> Column:
 def ranges(blobs: DataFrame) -> DataFrame:
     """blob, ordinal, name, start, end (lines from 1, inclusive) of the functions of distinct blobs (blob, content), in the order of the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RANGES.split(", ")]
-        for batch in batches:
-            rows = []
-            for blob, content in zip(batch["blob"], batch["content"], strict=True):
-                own = sorted((r["line_start"], r["line_end"], r["symbol_name"]) for r in extract("", content or "") if r["node_type"] == "function")
-                rows += [(blob, i, name, start, end) for i, (start, end, name) in enumerate(own)]
-            yield pd.DataFrame(rows, columns=names)
+    def own(blob: str, content: str) -> list[dict]:
+        rows = sorted((r["line_start"], r["line_end"], r["symbol_name"]) for r in extract("", content) if r["node_type"] == "function")
+        return [{"blob": blob, "ordinal": i, "name": name, "start": start, "end": end} for i, (start, end, name) in enumerate(rows)]
 
-    return blobs.select("blob", "content").mapInPandas(run, RANGES)
+    return in_runs(blobs.select("blob", "content"), RANGES, own)
 
 
 class Cache:

@@ -6,13 +6,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.session import written
+from lodestone.sources.c_source import in_runs
 
 LINE = "struct<line_no:int,text:string>"
 HUNK = f"diff_id string, hunk int, file_path string, old_start int, new_start int, before_context array<string>, removed_lines array<{LINE}>, added_lines array<{LINE}>, after_context array<string>"
@@ -58,13 +58,10 @@ def parse_diff(text: str, root: str = "") -> Iterator[dict]:
 def hunks(diffs: DataFrame, root: str = "") -> DataFrame:
     """Hunks of diffs (diff_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in HUNK.split(", ")]
-        for batch in batches:
-            rows = [{"diff_id": i, "hunk": n, **h} for i, t in zip(batch["diff_id"], batch["text"], strict=True) for n, h in enumerate(parse_diff(t or "", root))]
-            yield pd.DataFrame(rows, columns=names)
+    def own(diff: str, text: str) -> list[dict]:
+        return [{"diff_id": diff, "hunk": n, **h} for n, h in enumerate(parse_diff(text, root))]
 
-    return diffs.select("diff_id", "text").mapInPandas(run, HUNK)
+    return in_runs(diffs.select("diff_id", "text"), HUNK, own)
 
 
 def start_line(df: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def preview(files: DataFrame, hunks: DataFrame) -> DataFrame:
 def preview_nodes(files: DataFrame, hunks: DataFrame) -> DataFrame:
     """id, change (new, removed, changed): what the hunks would do to the nodes of the files that they touch; only those are parsed."""
     touched = files.join(hunks.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi").select("path", "content")
-    return node_diff(c_source.nodes(touched), c_source.nodes(preview(files, hunks)))
+    return node_diff(c_source.bodies(touched), c_source.bodies(preview(files, hunks)))
 
 
 def dry_run(files: DataFrame, hunks: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ resolved in a second step, against all struct names of the corpus.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestone.functions.text import includes
 
@@ -36,6 +38,10 @@ CORE_STRUCTS = [
 ]
 #: Bytes of the largest file that is read.
 MOST_BYTES = 2 << 20
+#: Characters of texts and rows that leave a task at once, and what a row counts for.
+RUN, ROW = 1 << 20, 200
+#: What two versions of a node are compared by.
+BODY = "id string, node_type string, code string, docstring string"
 #: Words that are followed by a parenthesis without being calls.
 _NO_CALLS = {"if", "for", "while", "switch", "return", "sizeof", "typeof", "defined", "do", "else", "case"}
 _NAME = re.compile(r"[A-Za-z_]\w*")
@@ -142,16 +148,56 @@ def skipped(path: Column) -> Column:
     return found
 
 
-def nodes(sources: DataFrame, known: list[str] | None = CORE_STRUCTS) -> DataFrame:
-    """Node rows of sources (path, content): uses_structs holds names of structs of the corpus or of ``known``."""
+def runs(batch: pa.RecordBatch, made: Callable[..., list[dict]]) -> Iterator[list[dict]]:
+    """What ``made`` gives for each row of a batch, in runs of about RUN characters, of the texts and ROW a row."""
+    held, size = [], 0
+    for at in range(batch.num_rows):
+        *keys, text = (c[at].as_py() for c in batch.columns)
+        found = made(*keys, text or "")
+        held += found
+        size += len(text or "") + ROW * len(found)
+        if size >= RUN:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split()[0] for c in NODE.split(", ")]
+def in_runs(rows: DataFrame, schema: str, made: Callable[..., list[dict]]) -> DataFrame:
+    """The rows that ``made`` gives for the values of each row, whose last is a text (null: empty).
+
+    A task takes one text at a time out of a batch, and what it made leaves by runs: neither grows with a batch's rows.
+    """
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in extract(p, c or "")]
-            yield pd.DataFrame(rows, columns=names)
+            for held in runs(batch, made):
+                yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+    return rows.mapInArrow(run, kind)
+
+
+def _file_nodes(sources: DataFrame) -> DataFrame:
+    """A node for every file that includes any."""
+    empty = F.array().cast("array<string>")
+    heads = sources.withColumn("includes", includes(F.col("content"))).where(F.size("includes") > 0)
+    return heads.select(
+        F.concat("path", F.lit("::__file__")).alias("id"), F.lit("file").alias("node_type"), F.element_at(F.split("path", "/"), -1).alias("symbol_name"), F.col("path").alias("file_path"), F.lit(1).alias("line_start"),
+        F.size(F.split("content", "\n")).alias("line_end"), F.substring("content", 1, 512).alias("code"), F.lit("").alias("docstring"), empty.alias("calls"), empty.alias("uses_structs"), "includes",
+    )
+
 
-    found = sources.select("path", "content").mapInPandas(run, NODE)
+def bodies(sources: DataFrame) -> DataFrame:
+    """id, node_type, code, docstring of the nodes of sources (path, content): one pass, no references."""
+    found = in_runs(sources.select("path", "content"), BODY, extract)
+    return found.unionByName(_file_nodes(sources).select(*found.columns))
+
+
+def nodes(sources: DataFrame, known: list[str] | None = CORE_STRUCTS) -> DataFrame:
+    """Node rows of sources (path, content): uses_structs holds names of structs of the corpus or of ``known``."""
+    found = in_runs(sources.select("path", "content"), NODE, extract)
     structs = found.where("node_type IN ('struct', 'union')").select("symbol_name")
     if known:
         structs = structs.union(sources.sparkSession.createDataFrame([(k,) for k in known], "symbol_name string"))
@@ -160,9 +206,4 @@ def nodes(sources: DataFrame, known: list[str] | None = CORE_STRUCTS) -> DataFra
     uses = named.join(structs.distinct().withColumnRenamed("symbol_name", "name"), "name").groupBy("id", "node_type").agg(F.array_sort(F.collect_set("name")).alias("uses_structs"))
     empty = F.array().cast("array<string>")
     rows = found.drop("names").join(uses, ["id", "node_type"], "left").withColumn("uses_structs", F.coalesce("uses_structs", empty)).withColumn("includes", empty)
-    heads = sources.withColumn("includes", includes(F.col("content"))).where(F.size("includes") > 0)
-    files = heads.select(
-        F.concat("path", F.lit("::__file__")).alias("id"), F.lit("file").alias("node_type"), F.element_at(F.split("path", "/"), -1).alias("symbol_name"), F.col("path").alias("file_path"), F.lit(1).alias("line_start"),
-        F.size(F.split("content", "\n")).alias("line_end"), F.substring("content", 1, 512).alias("code"), F.lit("").alias("docstring"), empty.alias("calls"), empty.alias("uses_structs"), "includes",
-    )
-    return rows.unionByName(files)
+    return rows.unionByName(_file_nodes(sources))

@@ -1,11 +1,13 @@
 """Stores, extraction by content, mining, previews and layouts."""
 
+import pyarrow as pa
 import pytest
 
 from lodestone.functions.address import decoded
 from lodestone.operators import extraction, mining, mod_store, patches, paths, proposals, store
 from lodestone.operators.extraction import Cache
 from lodestone.publish import Folder, Taken
+from lodestone.sources import c_source
 
 NODE = "id string, symbol_name string, node_type string, layer int"
 HUNK = patches.HUNK
@@ -135,6 +137,17 @@ def test_a_preview_parses_touched_files_only(spark):
     assert sorted(map(tuple, proposals.preview_nodes(files, hunks).collect())) == [("a.c::g", "removed"), ("a.c::h", "new")]
 
 
+def test_rows_of_sources_leave_in_runs(spark):
+    """A task held the rows of a whole batch of files."""
+    batch = pa.RecordBatch.from_pydict({"path": [f"{i}.c" for i in range(9000)], "content": [CODE if i % 9 else None for i in range(9000)]})
+    held = list(c_source.runs(batch, c_source.extract))
+    assert sum(map(len, held)) == 16000 and max(map(len, held)) < 5000
+    files = spark.createDataFrame([("a.c", CODE), ("b.c", None), ("c.c", '#include "x.h"\n' + CODE)], "path string, content string")
+    own = ["id", "node_type", "code", "docstring"]
+    found = sorted(map(tuple, c_source.bodies(files).collect()))
+    assert len(found) == 5 and found == sorted(map(tuple, c_source.nodes(files).select(*own).collect()))
+
+
 # --- proposals and snapshots --------------------------------------------------------------------
 
 
