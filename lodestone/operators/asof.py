@@ -38,6 +38,37 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str] | None =
     return found.join(carried, [*by, "_bucket"], "left").select("_left.*", F.coalesce("match", "_carry").alias("match"))
 
 
+def asof_all(left: DataFrame, sides: dict[str, DataFrame], on: str, bucket: Column | None = None) -> DataFrame:
+    """Every ``on`` of left once (nulls go) and, as a struct by name, the last row of each side that isn't beyond it.
+
+    ``sides``: name -> rows (on, a struct of that name), one for each ``on``; ``bucket`` as above.  All go through
+    one shuffle and one sort, however many sides there are.
+    """
+    bucket = F.lit(0) if bucket is None else bucket
+    kinds = {name: rows.schema[name].dataType for name, rows in sides.items()}
+
+    def columns(own: str | None = None) -> list[Column]:
+        return [bucket.alias("_bucket"), F.col(on).alias("_on"), F.lit(0 if own else 1).alias("_side"), *((F.col(n) if n == own else F.lit(None).cast(kind)).alias(n) for n, kind in kinds.items())]
+
+    rows = left.where(F.col(on).isNotNull())
+    spine = rows.select(bucket.alias("_bucket")).distinct()
+    both = rows.select(*columns())
+    for name, side in sides.items():
+        own = side.where(F.col(on).isNotNull())
+        both = both.unionByName(own.select(*columns(name)))
+        last = own.groupBy(bucket.alias("_bucket")).agg(F.max_by(name, on).alias(name))
+        spine = spine.unionByName(last, allowMissingColumns=True)
+    # A row a bucket: what the buckets before it end with.
+    ends = spine.groupBy("_bucket").agg(*(F.first(n, ignorenulls=True).alias(n) for n in sides))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_bucket", *(F.last(n, ignorenulls=True).over(before).alias(f"_{n}") for n in sides))
+    order = Window.partitionBy("_bucket").orderBy("_on", "_side")
+    here = order.rowsBetween(Window.unboundedPreceding, 0)
+    again = F.coalesce((F.lag("_on").over(order) == F.col("_on")) & (F.lag("_side").over(order) == 1), F.lit(False))
+    found = both.select("_bucket", "_on", "_side", *(F.last(n, ignorenulls=True).over(here).alias(n) for n in sides), again.alias("_again")).where("_side = 1 AND NOT _again")
+    return found.join(carry, "_bucket", "left").select(F.col("_on").alias(on), *(F.coalesce(n, f"_{n}").alias(n) for n in sides))
+
+
 def F_struct(df: DataFrame):
     from pyspark.sql.types import StructType
 

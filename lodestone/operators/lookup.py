@@ -117,15 +117,20 @@ def addr2line(addresses: DataFrame, live: DataFrame, binary: DataFrame, lines: D
     ``live``: address, name, line_no; ``binary``: addr_start, addr_end, name, source_file, source_line;
     ``lines``: address, file_path, line; ``nodes``: id, symbol_name.  ``slide``: live less static addresses.
     """
-    asked = addresses.select("address").distinct()
-    near = asof.nearest_symbol(asked, live, bucket).select(F.col("address").alias("given"), F.when(F.col("match").isNotNull(), offset_ref(F.col("match.name"), F.col("address"), F.col("match.address"))).alias("live_ref"))
-    kind = asked.schema["address"].dataType
-    still = asked.select(F.col("address").alias("given"), (F.col("address") - F.lit(slide)).cast(kind).alias("address"))
-    inside = asof.containing_function(still, binary, bucket).select("given", F.col("match.name").alias("function"), F.col("match.source_file").alias("source_file"), F.col("match.source_line").alias("source_line"))
-    at = asof.asof_join(still, lines, "address", bucket=bucket).select("given", F.col("match.file_path").alias("file_path"), F.col("match.line").alias("line"))
-    first = nodes.groupBy(F.col("symbol_name").alias("function")).agg(F.min("id").alias("node"))
-    met = near.join(inside, "given").join(at, "given").join(first, "function", "left")
-    return met.select(F.col("given").alias("address"), to_hex(F.col("given")).alias("hex"), "live_ref", "function", F.coalesce("file_path", "source_file").alias("file"), F.coalesce("line", "source_line").alias("line"), "node")
+    kind = addresses.schema["address"].dataType
+    still = (F.col("address") - F.lit(slide)).cast(kind).alias("address")
+    named = live.where("address > 0").groupBy("address").agg(F.min_by("name", F.struct(F.col("line_no").isNull(), "line_no", "name")).alias("name"))
+    near = named.select(still, F.struct("name", F.col("address").alias("start")).alias("near"))
+    # Nodes are met by functions, of which there are fewer than addresses.
+    first = nodes.groupBy(F.col("symbol_name").alias("name")).agg(F.min("id").alias("node"))
+    inside = binary.join(first, "name", "left").groupBy(F.col("addr_start").cast(kind).alias("address")).agg(F.max(F.struct("addr_end", "name", "source_file", "source_line", "node")).alias("inside"))
+    at = lines.groupBy(F.col("address").cast(kind).alias("address")).agg(F.max(F.struct("file_path", "line")).alias("at"))
+    met = asof.asof_all(addresses.select(still), {"near": near, "inside": inside, "at": at}, "address", bucket)
+    found = met.withColumn("inside", F.when(F.col("address") < F.col("inside.addr_end"), F.col("inside"))).withColumn("given", (F.col("address") + F.lit(slide)).cast(kind))
+    return found.select(
+        F.col("given").alias("address"), to_hex(F.col("given")).alias("hex"), F.when(F.col("near").isNotNull(), offset_ref(F.col("near.name"), F.col("given"), F.col("near.start"))).alias("live_ref"), F.col("inside.name").alias("function"),
+        F.coalesce("at.file_path", "inside.source_file").alias("file"), F.coalesce("at.line", "inside.source_line").alias("line"), F.col("inside.node").alias("node"),
+    )
 
 
 def line_ref(path: Column, line: Column) -> Column:

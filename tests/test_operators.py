@@ -1,5 +1,6 @@
 import bisect
 import json
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import address, text
 from lodestone.functions.embedding import embedder
 from lodestone.functions.vectors import cosine
-from lodestone.operators import asof, bm25, evaluate, graph, metrics, patches, paths, prompts, proposals, search, store, traindata
+from lodestone.operators import asof, bm25, evaluate, graph, lookup, metrics, patches, paths, prompts, proposals, search, store, traindata
 from lodestone.sources import c_source, debug_info, texts
 from lodestone.sources import texts as text_sources
 from lodestone.streaming import index
@@ -153,6 +154,24 @@ def test_containing_function(spark):
     assert got == {9: None, 10: "f", 19: "f", 20: None, 34: "g", 40: None}
 
 
+def test_an_address_goes_through_one_shuffle_to_its_symbol_function_line_and_node(spark):
+    """Each of the three look-ups read and shuffled all addresses, and their results were joined."""
+    dec = "decimal(20)"
+    frame = lambda rows, names: spark.createDataFrame([tuple(Decimal(v) if "decimal" in n and v is not None else v for v, n in zip(r, names.split(", "), strict=True)) for r in rows], names)
+    asked = frame([(5,), (1010,), (1010,), (1060,), (5200,), (9000,), (None,)], f"address {dec}")
+    live = frame([(1000, "b", 2), (1000, "a", 1), (0, "none", 0), (5100, "far", 3)], f"address {dec}, name string, line_no int")
+    binary = frame([(900, 950, "f", "s.c", 7), (900, 920, "short", "s.c", 8), (5000, 5150, "g", "g.c", 9)], f"addr_start {dec}, addr_end {dec}, name string, source_file string, source_line int")
+    lines = frame([(900, "l.c", 70), (940, "l.c", 71)], f"address {dec}, file_path string, line int")
+    nodes = spark.createDataFrame([("n2", "f"), ("n1", "f"), ("x", "short")], "id string, symbol_name string")
+    expected = {5: (None, None, None, None, None), 1010: ("a+0xa", "f", "l.c", 70, "n1"), 1060: ("a+0x3c", None, "l.c", 71, None), 5200: ("far+0x64", "g", "l.c", 71, None), 9000: ("far+0xf3c", None, "l.c", 71, None)}
+    for bucket in (None, F.floor(F.col("address") / 100), F.floor(F.col("address") / 1000)):
+        found = lookup.addr2line(asked, live, binary, lines, nodes, 100, bucket)
+        got = [(int(r["address"]), (r["live_ref"], r["function"], r["file"], r["line"], r["node"])) for r in found.collect()]
+        assert len(got) == 5 and dict(got) == expected
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2  # rows, and a row a bucket
+    assert found.columns == ["address", "hex", "live_ref", "function", "file", "line", "node"]
+
+
 def test_layouts(spark):
     members = spark.createDataFrame([("s", "a", "int", 0, 4), ("s", "", "anon1", 8, 16), ("anon1", "b", "long", 0, 8), ("anon1", "", "anon2", 8, 8), ("anon2", "c", "int", 4, 4), ("anon2", "a", "int", 0, 4)], debug_info.MEMBER)
     got = {(r["struct_name"], r["field"]): r["byte_offset"] for r in debug_info.layouts(members).where("struct_name = 's'").collect()}
