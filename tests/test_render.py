@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import render
+from lodestone.functions import render, text
 from lodestone.functions.embedding import embedder
 from lodestone.operators import paths, traindata
 from lodestone.operators.graph import node_stats
@@ -70,3 +70,26 @@ def test_generator_and_statistics(spark):
     edges = spark.createDataFrame([("0", "1", "CALLS")], "src string, dst string, edge_type string")
     stats = {(r["metric"], r["key"]): r["n"] for r in node_stats(nodes.withColumn("node_type", F.lit("function")).withColumn("layer", F.lit(1)), edges).collect()}
     assert stats == {("nodes", ""): 6, ("edges", ""): 1, ("symbols", ""): 6, ("layer", "1"): 6, ("node_type", "function"): 6, ("edge_type", "CALLS"): 1}
+
+
+def test_a_first_sentence_is_worked_out_once(spark):
+    """Its steps were written out anew wherever it was named: dozens of passes over every text."""
+    rows = spark.createDataFrame(
+        [
+            (1, "/** Returns the\n * value of x. Then more. */"),
+            (2, "Short."),
+            (3, "no full stop here at all"),
+            (4, "A sentence; with { more ; signs { than fit. End"),
+            (5, "x" * 301 + ". End"),
+            (6, "A sentence that fits. " + "y" * 400),
+            (7, "   \n\n\n * starred line that goes on. and on"),
+            (8, " "),
+            (9, None),
+        ],
+        "id long, text string",
+    )
+    found = traindata.sentence_queries(rows, text.first_sentence(F.col("text")))
+    assert {r["positives"][0]: r["query"] for r in found.collect()} == {1: "Returns the value of x.", 3: "no full stop here at all", 6: "A sentence that fits.", 7: "starred line that goes on."}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 3
+    code = rows.select(text.first_sentence(F.lit(""), F.lit("int a; /* the comment of a block */\n// and a line")).alias("b"), text.first_sentence(F.lit(None).cast("string"), F.lit("int a; // the comment of a line\n")).alias("l")).first()
+    assert (code["b"], code["l"]) == ("the comment of a block", "the comment of a line")
