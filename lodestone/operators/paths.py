@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_text
 from lodestone.operators.vector_search import HyperplaneIndex
+from lodestone.session import written
 
 #: Patterns of well-known paths, with the files, functions and structures behind them, and a description (our own words).
 #: The first that matches a whole path wins.
@@ -70,15 +71,16 @@ def matched(paths: DataFrame, table: DataFrame) -> DataFrame:
 UNKNOWN = "No rule and no indexed code matches this path."
 
 
-def scanned(paths: DataFrame, table: DataFrame, hits: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+def scanned(paths: DataFrame, table: DataFrame, hits: DataFrame | None = None, live: DataFrame | None = None, ruled: DataFrame | None = None) -> DataFrame:
     """path, files, functions, structs, description, live_value, confidence: high by rule, medium by the vector hits of what has none, else low.
 
     ``hits``: path, rank, score, file_path, symbol_name, node_type, docstring (up to five a path; the best's docstring
-    describes the path); ``live``: path, value, as it was read on the running system.
+    describes the path); ``live``: path, value, as it was read on the running system; ``ruled``: what ``matched``
+    gives for the paths, where that is known already.
     """
     asked = paths.select(F.trim("path").alias("path")).distinct()
     none = F.array().cast("array<string>")
-    found = asked.join(matched(paths, table).join(table, "ordinal").select("path", "files", "functions", "structs", "description"), "path", "left")
+    found = asked.join((matched(paths, table) if ruled is None else ruled).join(table, "ordinal").select("path", "files", "functions", "structs", "description"), "path", "left")
     by_rule = F.col("files").isNotNull()
     if hits is None:
         found = found.withColumn("confidence", F.when(by_rule, "high").otherwise("low"))
@@ -100,6 +102,19 @@ def scanned(paths: DataFrame, table: DataFrame, hits: DataFrame | None = None, l
     return found.select("path", *(F.coalesce(c, none).alias(c) for c in ("files", "functions", "structs")), F.coalesce("description", F.lit(UNKNOWN)).alias("description"), "live_value", "confidence")
 
 
+def nearest(asked: DataFrame, index: HyperplaneIndex, embed: Callable[[Column], Column], k: int, share: float, nodes: DataFrame | None = None) -> DataFrame:
+    """path, rank, id, score, and what ``nodes`` (id, ...) says of the hits: for each question (path, question) the k nearest rows of the index.
+
+    Questions of one vector have the same hits, so each vector is searched once and its hits are
+    dealt to its paths.  Ids are not below 0 and a vector's number is, so none is taken for the query itself.
+    """
+    number = F.xxhash64("q").bitwiseOR(F.lit(-(2**63))).alias("query")
+    vectors = written(asked.select("path", embed(F.col("question")).alias("q")).select("path", number, "q"), "asked")
+    found = index.search(written(vectors.select("query", "q").distinct(), "questions"), k, share)
+    found = written(found if nodes is None else found.join(nodes, "id"), "hits")
+    return vectors.select("query", "path").join(found, "query").drop("query")
+
+
 def handler_hits(asked: DataFrame, index: HyperplaneIndex, embed: Callable[[Column], Column], k: int = 5, share: float = 0.7) -> DataFrame:
     """path, rank, id, score: for each path (path) the k functions of the index that its handlers' question is nearest to.
 

@@ -135,6 +135,16 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
 _BEST = "query long, id long, score double"
 
 
+def first_of_equals(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Of the rows (id, ...) that agree in ``by``, from which their vector is made, the k + 1 of the smallest ids.
+
+    Their scores are equal for every query and ties go to the smaller id, so no other is among a query's k
+    best, even if one of them is the query itself.  Tasks keep k + 1 of each before anything is shuffled.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).drop("_rank")
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")

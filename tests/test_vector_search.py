@@ -183,3 +183,38 @@ def test_a_batch_is_embedded_in_runs(monkeypatch):
     parts = embedding.runs(texts)
     assert sum(map(len, parts)) == len(texts) and len(parts) > 5
     assert np.array_equal(whole, np.concatenate([embedded(t, 16, 200, 20, watched) for t in parts])) and max(most) == 3
+
+
+def test_equal_questions_and_codes_are_searched_once(spark, monkeypatch):
+    """Paths whose questions have one vector share a search, and of equal codes only those that can be found are embedded; the hits stay those of the whole search."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import paths
+
+    embed = embedder(16)
+    names = [f"{a} {b}" for a in ("page", "red", "show", "kernel") for b in ("read", "ring", "x")]
+    nodes = spark.createDataFrame([(i, names[i * 7 % 12], f"f{i}.c") for i in range(300)], "id long, code string, file_path string")
+    codes = vector_search.first_of_equals(nodes.select("id", "code"), ["code"], 5)
+    assert sorted(r["id"] for r in codes.collect()) == list(range(72))
+    asked = spark.createDataFrame([(f"/sys/kernel/mm/page_{i}",) for i in range(60)] + [("",)], "path string").select("path", paths.scan_query(F.col("path")).alias("question"))
+    everything = HyperplaneIndex.build(nodes.select("id", embed("code").alias("v")), f"{shared_dir(spark)}/lodestone/test-all", bits=3)
+    number = (-F.xxhash64("path")).alias("query")
+    plain = everything.search(asked.select(number, embed("question").alias("q")), 5, 0.7).join(asked.select(number, "path"), "query").join(nodes.select("id", "file_path"), "id")
+    few = HyperplaneIndex.build(codes.select("id", embed("code").alias("v")), f"{shared_dir(spark)}/lodestone/test-few", bits=3)
+    searched, search_of = [], HyperplaneIndex.search
+    monkeypatch.setattr(HyperplaneIndex, "search", lambda self, queries, *a, **b: searched.append(queries.count()) or search_of(self, queries, *a, **b))
+    found = paths.nearest(asked, few, embed, 5, 0.7, nodes.select("id", "file_path"))
+    columns = ["path", "rank", "id", "score", "file_path"]
+    assert sorted(found.select(columns).collect()) == sorted(plain.select(columns).collect()) and found.count() == 61 * 5
+    assert searched == [asked.select(embed("question").alias("q")).distinct().count()] and searched[0] <= 33
+
+
+def test_a_path_with_a_rule_is_not_searched(spark, monkeypatch):
+    from lodestone.operators import paths
+    from lodestone.plans import workflows
+
+    asked, nearest_of = [], paths.nearest
+    monkeypatch.setattr(paths, "nearest", lambda questions, *a, **b: asked.append(questions) or nearest_of(questions, *a, **b))
+    found = workflows.path_scan_vectors(spark, "/root/testdata/sf0.001")
+    level = {r["path"]: r["confidence"] for r in found.collect()}
+    assert {r["path"] for r in asked[0].collect()} == {p for p, c in level.items() if c == "medium"} and set(level.values()) == {"high", "medium"}
