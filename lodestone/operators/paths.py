@@ -102,15 +102,15 @@ def scanned(paths: DataFrame, table: DataFrame, hits: DataFrame | None = None, l
     return found.select("path", *(F.coalesce(c, none).alias(c) for c in ("files", "functions", "structs")), F.coalesce("description", F.lit(UNKNOWN)).alias("description"), "live_value", "confidence")
 
 
-def nearest(asked: DataFrame, index: HyperplaneIndex, embed: Callable[[Column], Column], k: int, share: float, nodes: DataFrame | None = None) -> DataFrame:
-    """path, rank, id, score, and what ``nodes`` (id, ...) says of the hits: for each question (path, question) the k nearest rows of the index.
+def nearest(asked: DataFrame, index: HyperplaneIndex, embed: Callable[[Column], Column], k: int, share: float, nodes: DataFrame | None = None, where: str | None = None) -> DataFrame:
+    """path, rank, id, score, and what ``nodes`` (id, ...) says of the hits: for each question (path, question) the k nearest rows of the index, of those that ``where`` holds for.
 
     Questions of one vector have the same hits, so each vector is searched once and its hits are
     dealt to its paths.  Ids are not below 0 and a vector's number is, so none is taken for the query itself.
     """
     number = F.xxhash64("q").bitwiseOR(F.lit(-(2**63))).alias("query")
     vectors = written(asked.select("path", embed(F.col("question")).alias("q")).select("path", number, "q"), "asked")
-    found = index.search(written(vectors.select("query", "q").distinct(), "questions"), k, share)
+    found = index.search(written(vectors.select("query", "q").distinct(), "questions"), k, share, where=where)
     found = written(found if nodes is None else found.join(nodes, "id"), "hits")
     return vectors.select("query", "path").join(found, "query").drop("query")
 
@@ -121,6 +121,5 @@ def handler_hits(asked: DataFrame, index: HyperplaneIndex, embed: Callable[[Colu
     ``index``: rows (id, v, node_type); only functions are searched.
     """
     trimmed = asked.select(F.trim("path").alias("path")).distinct()
-    number = F.xxhash64("path").alias("query")
-    found = index.search(trimmed.select(number, embed(query_text(handler_query(F.col("path")))).alias("q")), k, share, where="node_type = 'function'")
-    return found.join(trimmed.select(number, "path"), "query").select("path", "rank", "id", "score")
+    questions = trimmed.select("path", query_text(handler_query(F.col("path"))).alias("question"))
+    return nearest(questions, index, embed, k, share, where="node_type = 'function'").select("path", "rank", "id", "score")

@@ -218,3 +218,27 @@ def test_a_path_with_a_rule_is_not_searched(spark, monkeypatch):
     found = workflows.path_scan_vectors(spark, "/root/testdata/sf0.001")
     level = {r["path"]: r["confidence"] for r in found.collect()}
     assert {r["path"] for r in asked[0].collect()} == {p for p, c in level.items() if c == "medium"} and set(level.values()) == {"high", "medium"}
+
+
+def test_handlers_of_equal_questions_are_searched_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.text import query_text
+    from lodestone.operators import paths
+
+    embed = embedder(16)
+    names = [f"{a} {b}" for a in ("page", "red", "show", "kernel") for b in ("read", "ring", "x")]
+    nodes = spark.createDataFrame([(i, names[i * 7 % 12], "function" if i % 5 < 2 else "struct") for i in range(300)], "id long, code string, node_type string")
+    codes = vector_search.first_of_equals(nodes, ["code", "node_type"], 5)
+    kept = {(r["code"], r["node_type"], r["id"]) for r in codes.collect()}
+    assert len(kept) == 12 * 2 * 6 and kept == {(c, t, i) for c in names for t in ("function", "struct") for i in sorted(r["id"] for r in nodes.where(f"code = '{c}' AND node_type = '{t}'").collect())[:6]}
+    asked = spark.createDataFrame([(f"/proc/{i}/maps",) for i in range(60)] + [("/proc/1/maps ",)], "path string")
+    everything = HyperplaneIndex.build(nodes.select("id", embed("code").alias("v"), "node_type"), f"{shared_dir(spark)}/lodestone/test-all-handlers", bits=3)
+    trimmed, number = asked.select(F.trim("path").alias("path")).distinct(), F.xxhash64("path").alias("query")
+    plain = everything.search(trimmed.select(number, embed(query_text(paths.handler_query(F.col("path")))).alias("q")), 5, 0.7, where="node_type = 'function'").join(trimmed.select(number, "path"), "query")
+    few = HyperplaneIndex.build(codes.select("id", embed("code").alias("v"), "node_type"), f"{shared_dir(spark)}/lodestone/test-few-handlers", bits=3)
+    searched, search_of = [], HyperplaneIndex.search
+    monkeypatch.setattr(HyperplaneIndex, "search", lambda self, queries, *a, **b: searched.append(queries.count()) or search_of(self, queries, *a, **b))
+    found = paths.handler_hits(asked, few, embed, 5, 0.7)
+    columns = ["path", "rank", "id", "score"]
+    assert sorted(found.collect()) == sorted(plain.select(columns).collect()) and found.count() == 60 * 5 and searched[0] <= 33
