@@ -242,3 +242,80 @@ def test_handlers_of_equal_questions_are_searched_once(spark, monkeypatch):
     found = paths.handler_hits(asked, few, embed, 5, 0.7)
     columns = ["path", "rank", "id", "score"]
     assert sorted(found.collect()) == sorted(plain.select(columns).collect()) and found.count() == 60 * 5 and searched[0] <= 33
+
+
+def _rows_of(names, vectors, k=5):
+    return vector_search._Side(np.array(names, np.int64), np.array(vectors), k)
+
+
+def _best(side):
+    found = {int(n): [] for n in side.names}
+    for q, i, s in zip(*(side.found()[c].to_pylist() for c in ("query", "id", "score")), strict=True):
+        found[q].append((i, s))
+    return found
+
+
+def _plain_best(own, other, k):
+    s = vector_search.products(own.v.astype(np.float64), other.v.astype(np.float64), 6)
+    s[own.names[:, None] == other.names[None, :]] = -np.inf
+    order = {int(n): np.lexsort((other.names, -s[i])) for i, n in enumerate(own.names)}
+    return {n: [(int(other.names[j]), s[i, j]) for j in order[n][:k] if s[i, j] > -np.inf] for i, n in enumerate(own.names.tolist())}
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_blocks_that_meet_once_give_the_best_of_both(kind, monkeypatch):
+    rng = np.random.default_rng(5)
+    plain = rng.standard_normal((500, 8)).astype(kind)
+    copies = plain.copy()
+    copies[50:300] = copies[7]
+    close = (np.repeat(plain[:5], 60, axis=0) + rng.standard_normal((300, 8)) * 1e-7).astype(kind)
+    sets = [(plain, plain[::-1][:333]), (copies, copies[::-1]), (close, close[::-1]), (np.round(plain), np.round(plain[:90])), (plain[:2], plain[:1]), ((plain * 1e16).astype(kind), plain), (plain * 0, plain)]
+    for tiles in ((7, 48), (512, 1024)):
+        monkeypatch.setattr(vector_search, "TILE_QUERIES", tiles[0])
+        monkeypatch.setattr(vector_search, "TILE_ROWS", tiles[1])
+        for v, w in sets:
+            for k in (1, 5):
+                a, b = _rows_of(rng.permutation(len(v)), v, k), _rows_of(rng.permutation(len(w)) + len(v), w, k)
+                vector_search._meet(a, b, 6, both=True)
+                assert _best(a) == _plain_best(a, b, k) and _best(b) == _plain_best(b, a, k)
+                a = _rows_of(rng.permutation(len(v)), v, k)
+                vector_search._meet(a, vector_search._Side(a.names, a.v, k), 6)
+                assert _best(a) == _plain_best(a, a, k)
+
+
+def test_few_products_are_rounded(monkeypatch):
+    """Rough products leave out what can't be among the best; before, each pair was rounded."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((4000, 16)).astype(np.float32)
+    rounded, plainly = [], vector_search._rounded
+    monkeypatch.setattr(vector_search, "_rounded", lambda rough, *a: rounded.append(rough.size) or plainly(rough, *a))
+    table = pa.table({"id": np.arange(4000), "v": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 16).cast(pa.list_(pa.float32()))})
+    found = vector_search._nearest(5, 6, itself=True)(table, table.slice(0, 0))
+    assert found.num_rows == 20_000 and sum(rounded) < 0.02 * 4000**2
+
+
+def test_nearest_of_all_rows(spark, vectors, monkeypatch):
+    monkeypatch.setattr(vector_search, "LEAST_ROWS", 100)
+    rows = _frame(spark, vectors, BAD)
+    got = {}
+    for r in vector_search.knn_of_all(rows, 5).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    assert got == {q: [i for i, _ in _exact(vectors, q, 5)] for q in range(600)}
+    assert vector_search.knn_of_all(rows.limit(0), 5).count() == 0
+
+
+def test_walks_end_with_their_nodes(spark, monkeypatch):
+    """A query walks no further than its nodes need: a node with many neighbours isn't a row for each of them and query."""
+    from lodestone.operators import graph
+
+    hub = [(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 400)] + [(500, 501), (501, 502), (502, 503)]
+    edges = spark.createDataFrame([(*e, "NEAR") for e in hub], "src int, dst int, edge_type string")
+    seeds = spark.createDataFrame([(q, 0) for q in range(20)] + [(30, 500), (31, 1005), (32, 7)], "query int, id int")
+    sizes, plainly = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (sizes.append((name, (out := plainly(df, name)).count())), out)[1])
+    got = {}
+    for r in graph.neighborhoods(edges, seeds, 2, 6).collect():
+        got.setdefault(r["query"], set()).add((r["id"], r["hop"]))
+    assert all(got[q] == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)} for q in range(20))
+    assert got[30] == {(500, 0), (501, 1), (502, 2)} and got[31] == {(1005, 0), (5, 1), (0, 2)} and got[32] == {(7, 0), (0, 1), (1007, 1), (1, 2), (2, 2), (3, 2)}
+    assert sum(n for name, n in sizes if name == "frontiers") < 300
